@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -107,24 +108,18 @@ def rule_flag(
     return F.when(text.isNotNull(), X.bind(lowered, hits))
 
 
-def rule_flag_table(df: DataFrame, rules: DataFrame, text: str, key: str) -> DataFrame:
-    """``rule_flag`` for rule sets kept as a table (rule_pos, label, keyword).
+def rule_flag_table(text: Column, rules: DataFrame, max_rules: int = 10_000) -> Column:
+    """``rule_flag`` for rules kept as a table (rule_pos, label, keyword); the first match by position.
 
-    Rules are folded into one ordered array per rule set, bounded by the rule table's checked
-    size, and read through a scalar subquery: the texts are neither shuffled nor multiplied.
+    The rules become one constant array, so texts are neither shuffled nor multiplied; a table with
+    more than ``max_rules`` rows is refused.
     """
-    from marketprose.operators.lookups import fits_broadcast
-
-    if not fits_broadcast(rules):
-        raise ValueError("rule table too large for one array")
-    ordered = rules.agg(
-        F.array_sort(F.collect_list(F.struct("rule_pos", "label", F.lower("keyword").alias("keyword")))).alias("r")
-    ).scalar()
-    lowered = F.lower(F.col(text))
-    first = X.bind(
-        lowered, lambda low: F.element_at(F.concat(F.filter(ordered, lambda r: low.contains(r["keyword"])), F.array(F.lit(None))), 1)
-    )
-    return df.select(key, first["label"].alias("flag_case"))
+    rows = rules.select("rule_pos", "label", "keyword").orderBy("rule_pos", "keyword").limit(max_rules + 1).collect()
+    if len(rows) > max_rules:
+        raise ValueError(f"more than {max_rules} rules")
+    packed = json.dumps([{"label": r["label"], "keyword": r["keyword"].lower()} for r in rows])
+    table = F.from_json(F.lit(packed), "array<struct<label: string, keyword: string>>")
+    return X.bind(F.lower(text), lambda low: F.get(F.filter(table, lambda r: low.contains(r["keyword"])), 0)["label"])
 
 
 def split_label(date: Column, ranges: Sequence[tuple[str, str, str]] = W.SPLIT_RANGES, other: str = "exclude") -> Column:
