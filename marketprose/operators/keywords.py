@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketprose.functions import text as X
 from marketprose.operators.lookups import drop_stopwords, explode_tokens, keyed_join
@@ -24,10 +24,21 @@ def keyword_tokens(
     return tokens.filter(X.is_alpha(F.col("token"))) if alpha_only else tokens
 
 
+def appearance(tokens: DataFrame, doc: str) -> Column:
+    """A value that sorts tokens by (doc, pos).
+
+    For whole-number documents it is one number, which keeps the aggregation on hashes; array
+    positions stay below 10^10.
+    """
+    if dict(tokens.dtypes)[doc] in ("tinyint", "smallint", "int", "bigint"):
+        return F.col(doc).cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")
+    return F.struct(doc, "pos")
+
+
 def count_keywords(tokens: DataFrame, doc: str) -> DataFrame:
-    """(word, freq, first) where ``first`` is the earliest (doc, pos)."""
+    """(word, freq, first) where ``first`` sorts by the earliest (doc, pos)."""
     return tokens.groupBy(F.col("token").alias("word")).agg(
-        F.count("*").alias("freq"), F.min(F.struct(doc, "pos")).alias("first")
+        F.count("*").alias("freq"), F.min(appearance(tokens, doc)).alias("first")
     )
 
 
@@ -68,7 +79,7 @@ def cloud_words(text: Column, min_word_length: int = 0, include_numbers: bool =
 
 
 def _forms(tokens: DataFrame, doc: str) -> DataFrame:
-    return tokens.groupBy("form").agg(F.count("*").alias("n"), F.min(F.struct(doc, "pos")).alias("first"))
+    return tokens.groupBy("form").agg(F.count("*").alias("n"), F.min(appearance(tokens, doc)).alias("first"))
 
 
 def fold_forms(forms: DataFrame, normalize_plurals: bool = True) -> DataFrame:
@@ -76,28 +87,30 @@ def fold_forms(forms: DataFrame, normalize_plurals: bool = True) -> DataFrame:
 
     The standard form of a key is its commonest spelling, the earliest of equals. A key that ends in
     one s and also occurs without it takes the standard form and the total of the singular.
+
+    A word and its plural share ``stem``; rows move once, by stem, and every later step groups by
+    stem and more. A group is the spellings of one word.
     """
-    keyed = forms.withColumn("key", F.lower("form"))
-    one_s = F.col("key").endswith("s") & ~F.col("key").endswith("ss")
-    if normalize_plurals:
-        singular = keyed.select(F.col("key").alias("stem")).distinct().withColumn("has", F.lit(True))
-        keyed = keyed.withColumn("stem", F.when(one_s, F.left("key", F.length("key") - 1)))
-        keyed = keyed.join(singular, "stem", "left").withColumn("plural", F.coalesce("has", F.lit(False)))
-    else:
-        keyed = keyed.withColumns({"stem": F.lit(None).cast("string"), "plural": F.lit(False)})
-    spelled = keyed.select(
-        "key",
-        F.when(F.col("plural"), F.col("stem")).otherwise(F.col("key")).alias("base"),
-        F.when(F.col("plural"), F.left("form", F.length("form") - 1)).otherwise(F.col("form")).alias("spelling"),
-        "n",
-        F.struct("plural", "first").alias("seen"),
+    key = F.lower("form")
+    one_s = key.endswith("s") & ~key.endswith("ss") & F.lit(normalize_plurals)
+    keyed = forms.withColumns(
+        {"key": key, "one_s": one_s, "stem": F.when(one_s, F.left(key, F.length(key) - 1)).otherwise(key)}
+    )
+    has_singular = F.max(~F.col("one_s")).over(Window.partitionBy("stem"))
+    folded = keyed.withColumn("plural", F.col("one_s") & has_singular)
+    cut = lambda c: F.when(F.col("plural"), F.left(c, F.length(c) - 1)).otherwise(F.col(c))
+    spelled = folded.select(
+        "stem", "key", cut("key").alias("base"), cut("form").alias("spelling"), "n", F.struct("plural", "first").alias("seen")
+    )
+    merged = spelled.groupBy("stem", "base", "spelling").agg(
+        F.sum("n").alias("n"), F.min("seen").alias("seen"), F.collect_set("key").alias("keys")
     )
-    merged = spelled.groupBy("base", "spelling").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
-    standard = merged.groupBy("base").agg(
+    standard = merged.groupBy("stem", "base").agg(
         F.min_by("spelling", F.struct((-F.col("n")).alias("n"), "seen")).alias("standard"),
         F.sum("n").alias("total"),
+        F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"),
     )
-    return spelled.select("key", "base").distinct().join(standard, "base").select("key", "standard", "total")
+    return standard.select(F.explode("keys").alias("key"), "standard", "total")
 
 
 def log_likelihood(pair: Column, first: Column, second: Column, n: Column) -> Column:

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketprose.functions.words import SEARCH_TERMS
+from marketprose.sources.tables import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -77,15 +78,15 @@ def bind_tables(sql: str, sf_dir: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(bind_tables(ARTICLES, sf_dir))
+    return spread(spark.sql(bind_tables(ARTICLES, sf_dir)))
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(bind_tables(POSTS.replace('"', "`"), sf_dir))
+    return spread(spark.sql(bind_tables(POSTS.replace('"', "`"), sf_dir)))
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(bind_tables(SEARCH_ITEMS, sf_dir))
+    return spread(spark.sql(bind_tables(SEARCH_ITEMS, sf_dir)))
 
 
 def factors(spark: SparkSession, sf_dir: str) -> DataFrame:

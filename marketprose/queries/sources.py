@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from marketprose.functions.dates import coerce_date
+from marketprose.functions.text import collapse_whitespace
 from marketprose.operators import select as S
 from marketprose.operators.lookups import link_pages
 from marketprose.queries import inputs as I
@@ -145,11 +146,10 @@ def search_links(spark, sf_dir):
     P.with_items("SELECT DISTINCT trim(link) AS link FROM search_items WHERE feedname = 'articles' AND trim(link) <> ''"),
 )
 def stream_new_links(spark, sf_dir):
-    """All landed pages as a stream, one page per file, read until none is left."""
+    """All landed pages as a stream, one page per line, read until none is left."""
     landed = scratch_path(spark, "landed-pages")
-    pages = I.search_pages(spark, sf_dir).select("body", "query_pos", "page_start")
-    pages.select("body").write.option("maxRecordsPerFile", 1).text(landed)
+    I.search_pages(spark, sf_dir).select(collapse_whitespace(F.col("body"))).write.text(landed)
     out = scratch_path(spark, "new-links")
-    stream = ST.new_links(ST.stream_pages(spark, landed))
+    stream = ST.new_links(ST.stream_pages(spark, landed, whole_files=False))
     ST.write_new_links(stream, os.path.join(out, "rows"), os.path.join(out, "checkpoint")).awaitTermination()
     return spark.read.parquet(os.path.join(out, "rows")).select("link")

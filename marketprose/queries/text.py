@@ -258,7 +258,10 @@ def keyword_counts(spark, sf_dir):
     tokens = K.keyword_tokens(I.table(spark, sf_dir, "documents"), "text", "doc_id")
     counts = K.count_keywords(tokens.filter(~F.col("token").isin(list(SW.KEYWORDS))), "doc_id")
     return counts.select(
-        "word", "freq", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").cast("bigint").alias("first_pos")
+        "word",
+        "freq",
+        F.expr("first div 10000000000").alias("first_doc"),
+        F.expr("first % 10000000000").cast("bigint").alias("first_pos"),
     )
 
 

@@ -60,6 +60,15 @@ def write_table(
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a plain scan out to all cores when its files split into fewer tasks than there are cores.
+
+    Large tables have splits enough and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def union_tables(first: DataFrame, *more: DataFrame) -> DataFrame:
     """Tables stacked by column name; columns a table lacks are null."""
     for df in more:

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marketprose.functions.text import to_text
+from marketprose.functions.text import bind, to_text
+from marketprose.operators.select import once
 from marketprose.sources import schemas
 from marketprose.sources.search import page_json
 
 
-def stream_pages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Landed pages as a stream, one file each (``body``)."""
-    reader = spark.readStream.option("wholetext", True)
+def stream_pages(
+    spark: SparkSession, path: str, files_per_batch: int | None = None, whole_files: bool = True
+) -> DataFrame:
+    """Landed pages as a stream (``body``): one page per file, or one per line."""
+    reader = spark.readStream.option("wholetext", whole_files)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.text(path).withColumnRenamed("value", "body")
@@ -24,9 +27,12 @@ def page_links(items: Column, feed: str) -> Column:
         F.filter(items, lambda i: i["feedname"] == feed),
         lambda i: F.struct(to_text(i["link"]).alias("link"), to_text(i["title"]).alias("title"), i["pubdate"].alias("pubdate")),
     )
-    kept = F.filter(trimmed, lambda i: i["link"] != "")
-    links = F.transform(kept, lambda i: i["link"])
-    return F.filter(kept, lambda i, pos: F.array_position(links, i["link"]) == pos + 1)
+
+    def first_ones(kept: Column) -> Column:
+        links = F.transform(kept, lambda i: i["link"])
+        return bind(links, lambda l: F.filter(kept, lambda i, pos: F.array_position(l, i["link"]) == pos + 1))
+
+    return bind(F.filter(trimmed, lambda i: i["link"] != ""), first_ones)
 
 
 def new_links(pages: DataFrame, feed: str = "articles", within: tuple[str, str] | None = None) -> DataFrame:
@@ -38,7 +44,8 @@ def new_links(pages: DataFrame, feed: str = "articles", within: tuple[str, str]
     parsed = F.from_json(page_json(F.col("body")), schemas.SEARCH_PAGE)["items"]
     carried = [within[0]] if within else []
     items = pages.select(*carried, F.explode(F.array(parsed)).alias("items")).filter(F.col("items").isNotNull())
-    rows = items.select(*carried, F.inline(page_links(F.col("items"), feed)))
+    links = once(items, "links", page_links(F.col("items"), feed))
+    rows = links.select(*carried, F.inline("links"))
     if within:
         return rows.withWatermark(*within).dropDuplicatesWithinWatermark(["link"])
     return rows.dropDuplicates(["link"])
