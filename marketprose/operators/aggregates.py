@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketprose.functions.dates import coerce_date
-from marketprose.operators.select import unnest
+from marketprose.operators.select import once, unnest
 from marketprose.operators.windows import offsets
 
 
@@ -70,13 +70,16 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
     When all values are equal the range is widened by half a unit on either side.
     """
-    values = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
-    low, high = values.agg(F.min("x")).scalar(), values.agg(F.max("x")).scalar()
+    values = once(df, "x", F.col(column).cast("double")).select("x").filter("x IS NOT NULL")
+    # one row per value: the bounds and the bins both come from here, so the input is read once
+    counted = values.groupBy("x").agg(F.count("*").alias("n"))
+    bounds = counted.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    low, high = bounds["lo"], bounds["hi"]
     lo = F.when(low == high, low - 0.5).otherwise(low)
     hi = F.when(low == high, high + 0.5).otherwise(high)
     counts = (
-        values.groupBy(F.least(F.width_bucket("x", lo, hi, F.lit(bins)), F.lit(bins)).alias("bin"))
-        .agg(F.count("*").alias("freq"))
+        counted.groupBy(F.least(F.width_bucket("x", lo, hi, F.lit(bins)), F.lit(bins)).alias("bin"))
+        .agg(F.sum("n").alias("freq"))
     )
     spine = df.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin"))
     step = (hi - lo) / bins

@@ -123,6 +123,6 @@ def regroup_tokens(tokens: DataFrame, doc: str, value: Column, out: str = "token
     return tokens.groupBy(doc).agg(F.transform(F.array_sort(pairs), lambda s: s["v"]).alias(out))
 
 
-def link_pages(pages: DataFrame, links: DataFrame, url: str = "link", **join) -> DataFrame:
+def link_pages(pages: DataFrame, links: DataFrame, url: str = "link", how: str = "left", **join) -> DataFrame:
     """Pages with their row of the link table, where there is one; ``links`` has one row per url."""
-    return keyed_join(pages, links, url, "left", **join)
+    return keyed_join(pages, links, url, how, **join)

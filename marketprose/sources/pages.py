@@ -56,8 +56,8 @@ def first_text(*columns: Column) -> Column:
 def article_pages_to_records(pages: DataFrame, links: DataFrame | None = None, **join) -> DataFrame:
     """Articles (title, date, link, author, content) of the pages (link, html) that hold one.
 
-    Missing headlines and dates come from the link table (link, title, date), one row per link.
-    Only the parsed fields travel to the join, not the HTML.
+    Missing headlines and dates come from the link table (link, title, date), one row per link;
+    ``how="inner"`` keeps only pages it lists. Parsed fields travel to the join, not the HTML.
     """
     found = (
         pages.select("link", F.explode(F.array(first_article(F.col("html")))).alias("a"))

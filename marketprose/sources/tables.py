@@ -12,14 +12,19 @@ def _struct(schema: str | T.StructType) -> T.StructType:
 
 
 def read_table_csv(
-    spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType | None = None
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: str | T.StructType | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """CSV with a header row, quoted line breaks and doubled quotes.
+    """CSV with a header row, doubled quotes and, with ``multi_line``, line breaks inside quotes.
+
+    Such line breaks make a file one task; turn them off for large single files without any.
 
     With a schema, columns are matched by the header's names. Without one the types are inferred over
     the whole file. A first column without a name (a saved row index) is dropped.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is None:
         df = reader.option("inferSchema", True).csv(path)
         return df.drop("_c0") if df.columns[:1] == ["_c0"] else df
@@ -37,8 +42,12 @@ def write_table(
     fmt: str = "parquet",
     partition_by: Sequence[str] = (),
     mode: str = "overwrite",
+    rows_per_file: int = 1_000_000,
 ) -> str:
-    """Write Parquet, or CSV that ``read_table_csv`` reads back; no row index is written."""
+    """Write Parquet, or CSV that ``read_table_csv`` reads back; no row index is written.
+
+    CSV files hold at most ``rows_per_file`` rows, so that each stays one moderate task to read.
+    """
     writer = df.write.mode(mode).partitionBy(*partition_by)
     if fmt == "parquet":
         writer.parquet(path)
@@ -54,7 +63,7 @@ def write_table(
             "escape", '"'
         ).option("quote", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option(
             "emptyValue", '""'
-        ).csv(path)
+        ).option("maxRecordsPerFile", rows_per_file).csv(path)
     else:
         raise ValueError(f"unknown format {fmt!r}")
     return path
