@@ -100,17 +100,18 @@ def fold_forms(forms: DataFrame, normalize_plurals: bool = True) -> DataFrame:
     folded = keyed.withColumn("plural", F.col("one_s") & has_singular)
     cut = lambda c: F.when(F.col("plural"), F.left(c, F.length(c) - 1)).otherwise(F.col(c))
     spelled = folded.select(
-        "stem", "key", cut("key").alias("base"), cut("form").alias("spelling"), "n", F.struct("plural", "first").alias("seen")
+        "stem", cut("key").alias("base"), cut("form").alias("spelling"), "n", F.struct("plural", "first").alias("seen")
     )
     merged = spelled.groupBy("stem", "base", "spelling").agg(
-        F.sum("n").alias("n"), F.min("seen").alias("seen"), F.collect_set("key").alias("keys")
+        F.sum("n").alias("n"), F.min("seen").alias("seen"), F.max("seen.plural").alias("plural")
     )
     standard = merged.groupBy("stem", "base").agg(
         F.min_by("spelling", F.struct((-F.col("n")).alias("n"), "seen")).alias("standard"),
         F.sum("n").alias("total"),
-        F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"),
+        F.max("plural").alias("plural"),
     )
-    return standard.select(F.explode("keys").alias("key"), "standard", "total")
+    keys = F.when(F.col("plural"), F.array("base", F.concat("base", F.lit("s")))).otherwise(F.array("base"))
+    return standard.select(F.explode(keys).alias("key"), "standard", "total")
 
 
 def log_likelihood(pair: Column, first: Column, second: Column, n: Column) -> Column:
@@ -151,15 +152,12 @@ def cloud_counts(
     counts = folded.groupBy(F.col("standard").alias("term")).agg(F.first("total").alias("freq"))
     n = F.coalesce(forms.agg(F.sum("n")).scalar(), F.lit(0))
 
-    def pairs(w: Column) -> Column:
-        index = F.when(F.size(w) > 1, F.sequence(F.lit(0), F.size(w) - 2)).otherwise(F.array().cast("array<int>"))
-        usable = lambda i: ~F.lower(F.get(w, i)).isin(stops) & ~F.lower(F.get(w, i + 1)).isin(stops)
-        return F.transform(
-            F.filter(index, usable),
-            lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)).alias("form")),
-        )
-
-    doubles = once(words, "_p", pairs(F.col("_w"))).select(doc, F.inline("_p"))
+    doubles = (
+        once(words, "_p", F.zip_with("_w", F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+        .select(doc, F.posexplode("_p").alias("pos", "p"))
+        .filter(F.col("p.b").isNotNull() & ~F.lower("p.a").isin(stops) & ~F.lower("p.b").isin(stops))
+        .select(doc, "pos", F.concat_ws(" ", "p.a", "p.b").alias("form"))
+    )
     two = fold_forms(_forms(doubles, doc), normalize_plurals)
     two = two.groupBy(F.col("standard").alias("term")).agg(F.first("total").alias("freq"))
     two = written(
