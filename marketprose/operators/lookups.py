@@ -95,8 +95,14 @@ def mapping_table(spark: SparkSession, mapping: Mapping[str, object], ddl: str)
     return spark.createDataFrame(list(mapping.items()), ddl)
 
 
-def explode_tokens(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
-    """One row per token: the kept columns, ``pos`` from 0, ``token``."""
+def explode_tokens(df: DataFrame, tokens: Column, *keep: str, together: bool = False) -> DataFrame:
+    """One row per token: the kept columns, ``pos`` from 0, ``token``.
+
+    ``together`` moves the rows by the first kept column before they are taken apart, so that putting
+    the tokens back together needs no shuffle: texts are smaller than their token rows.
+    """
+    if together:
+        df = df.repartition(keep[0])
     return unnest(df, keep, tokens, "pos", "token")
 
 

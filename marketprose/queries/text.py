@@ -179,9 +179,10 @@ _TOKEN_ROWS = rf"""tokens AS (
          generate_subscripts(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_$]+'), 1) - 1 AS pos FROM documents)"""
 
 
-def _token_rows(spark, sf_dir):
+def _token_rows(spark, sf_dir, together=False):
     docs = I.table(spark, sf_dir, "documents")
-    return J.explode_tokens(docs, F.regexp_extract_all(F.lower("text"), F.lit(K.KEYWORD_TOKEN), F.lit(0)), "doc_id")
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit(K.KEYWORD_TOKEN), F.lit(0))
+    return J.explode_tokens(docs, tokens, "doc_id", together=together)
 
 
 @query(
@@ -204,7 +205,7 @@ def stop_anti(spark, sf_dir):
 def lexicon(spark, sf_dir):
     table = {**W.NOUN_LEMMAS, **{w: w + "*" for w in W.ENGLISH_STOPS}}
     lex = J.mapping_table(spark, table, "word string, lemma string")
-    joined = J.lexicon_join(_token_rows(spark, sf_dir), lex, spread=["doc_id", "pos"])
+    joined = J.lexicon_join(_token_rows(spark, sf_dir, together=True), lex, spread=["doc_id", "pos"])
     grouped = J.regroup_tokens(joined, "doc_id", F.coalesce("lemma", "token"))
     return grouped.select("doc_id", X.join_tokens(F.col("tokens")).alias("lemmas"))
 

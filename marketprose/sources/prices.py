@@ -11,7 +11,7 @@ from marketprose.sources import schemas
 
 def read_charts(spark: SparkSession, path: str) -> DataFrame:
     """Landed chart documents, one file each: (ticker, body); the file is named after the ticker."""
-    raw = spark.read.option("wholetext", True).text(path).withColumn("_file", F.input_file_name())
+    raw = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
     return raw.select(F.regexp_extract("_file", r"([^/]+?)(?:[-_.][^/]*)?$", 1).alias("ticker"), F.col("value").alias("body"))
 
 

@@ -48,9 +48,8 @@ def write_table(
 
     CSV files hold at most ``rows_per_file`` rows, so that each stays one moderate task to read.
     """
-    writer = df.write.mode(mode).partitionBy(*partition_by)
     if fmt == "parquet":
-        writer.parquet(path)
+        df.write.mode(mode).partitionBy(*partition_by).parquet(path)
     elif fmt == "csv":
         flat = [
             F.to_json(F.col(f.name)).alias(f.name)
@@ -58,12 +57,10 @@ def write_table(
             else F.col(f.name)
             for f in df.schema.fields
         ]
-        # empty text stays distinct from null; blanks at the edges are kept
-        df.select(*flat).write.mode(mode).partitionBy(*partition_by).option("header", True).option(
-            "escape", '"'
-        ).option("quote", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option(
-            "emptyValue", '""'
-        ).option("maxRecordsPerFile", rows_per_file).csv(path)
+        # blanks at the edges of a text are kept; empty text is read back as null
+        out = df.select(*flat).write.mode(mode).partitionBy(*partition_by).option("header", True).option("escape", '"')
+        out = out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        out.option("maxRecordsPerFile", rows_per_file).csv(path)
     else:
         raise ValueError(f"unknown format {fmt!r}")
     return path

@@ -15,10 +15,10 @@ def stream_pages(
     spark: SparkSession, path: str, files_per_batch: int | None = None, whole_files: bool = True
 ) -> DataFrame:
     """Landed pages as a stream (``body``): one page per file, or one per line."""
-    reader = spark.readStream.option("wholetext", whole_files)
+    reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(path).withColumnRenamed("value", "body")
+    return reader.text(path, wholetext=whole_files).withColumnRenamed("value", "body")
 
 
 def page_links(items: Column, feed: str) -> Column:
