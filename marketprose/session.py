@@ -19,6 +19,10 @@ def build_session(app: str = "marketprose", **conf: str) -> SparkSession:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # the stream's set of seen links grows past what fits in the heap
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
         # iterative fits leave a checkpoint per step; let Spark drop those no longer referenced
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **{k.replace("__", "."): v for k, v in conf.items()},
@@ -62,5 +66,8 @@ def written(df: DataFrame, name: str = "table", partition_by: tuple[str, ...] =
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint, with the partitioning kept."""
-    shared_folder(df.sparkSession)
+    folder = shared_folder(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -83,12 +83,13 @@ def test_count_matrix(spark):
 def test_svd_matches_numpy(docs):
     x, vocab = dense_tfidf(corpus())
     cells = V.tfidf(docs, "clean", "id", min_df=2)[0]
-    u, s, v = NM.truncated_svd(NM.Cells(cells, "id", "term", "tfidf"), 4)
+    factors = NM.Cells(cells, "id", "term", "tfidf")
+    u, s, v = NM.truncated_svd(factors, 4)
     want = np.linalg.svd(x, full_matrices=False)
     np.testing.assert_allclose(s, want[1][:4], rtol=1e-4)
     rows = {r["id"]: r["weights"] for r in u.collect()}
     got_u = np.array([rows.get(i, [0.0] * 4) for i in range(len(x))])
-    cols = {r["term"]: r["weights"] for r in v.collect()}
+    cols = {r["term"]: r["weights"] for r in factors.named(v).collect()}
     got_v = np.array([cols[w] for w in vocab])
     np.testing.assert_allclose(got_u * s @ got_v.T, (want[0][:, :4] * want[1][:4]) @ want[2][:4], atol=0.05)
 
@@ -113,7 +114,7 @@ def test_nmf_matches_dense_coordinate_descent(docs, limit):
     w = np.zeros((len(x), 3))
     for r in w0.collect():
         w[r["id"]] = r["weights"]
-    h = np.array([r["weights"] for r in sorted(h0.collect(), key=lambda r: r["term"])])
+    h = np.array([r["weights"] for r in sorted(source.named(h0).collect(), key=lambda r: r["term"])])
     losses, violations = [], []
     for _ in range(4):
         w, a = hals_sweep(w, h.T @ h, x @ h)
