@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from marketprose.functions.dates import coerce_date
 from marketprose.operators.select import once, unnest
 from marketprose.operators.windows import offsets
+from marketprose.session import written
 
 
 def calendar_spine(counts: DataFrame, month: str = "month", value: str = "n") -> DataFrame:
@@ -71,8 +72,8 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     When all values are equal the range is widened by half a unit on either side.
     """
     values = once(df, "x", F.col(column).cast("double")).select("x").filter("x IS NOT NULL")
-    # one row per value: the bounds and the bins both come from here, so the input is read once
-    counted = values.groupBy("x").agg(F.count("*").alias("n"))
+    # one row per value, written: the bounds and the bins both come from here, the input is read once
+    counted = written(values.groupBy("x").agg(F.count("*").alias("n")), "value-counts")
     bounds = counted.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
     low, high = bounds["lo"], bounds["hi"]
     lo = F.when(low == high, low - 0.5).otherwise(low)

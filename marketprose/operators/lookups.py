@@ -10,6 +10,7 @@ from marketprose.operators.select import unnest
 
 MAX_BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 4_000_000
+MAX_HOT_KEYS = 100_000
 NULL_SHARDS = 1024
 
 
@@ -44,14 +45,16 @@ def salted_join(
     """Shuffled join that splits every key holding more than ``hot_rows`` rows of ``big``.
 
     Rows of a hot key are dealt over shards by a hash of ``spread``; only the hot rows of ``dim``
-    are repeated, once per shard. The list of hot keys has at most rows / hot_rows entries, which
-    is why it may be broadcast.
+    are repeated, once per shard. Only the ``MAX_HOT_KEYS`` hottest keys are listed, so the list may be
+    broadcast; further keys are joined like any other, and each holds at most a 100,000th of the rows.
     """
     keys = list(keys)
     hot = (
         big.groupBy(*keys)
         .agg(F.count("*").alias("_n"))
         .filter(F.col("_n") > hot_rows)
+        .orderBy(F.desc("_n"), *keys)
+        .limit(MAX_HOT_KEYS)
         .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_shards"))
     )
     missing = sum((F.col(k).isNull().cast("int") for k in keys), F.lit(0)) > 0
