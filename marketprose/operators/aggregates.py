@@ -104,14 +104,20 @@ def daily_text(
 
     A day is part 0 alone unless it outgrows ``max_chars``; then its later documents go to parts
     1, 2, ... so that no day has to fit in one string. Null texts and null dates are left out.
-    ``bucket`` must not decrease with ``order``; the default suits whole-number ids.
+    ``bucket`` must not decrease with ``order``; by default it is 4096 whole-number ids, and for any
+    other order the partitions of a range sort, which is written so that it stays the same.
     """
     rows = articles.filter(F.col(date).isNotNull() & F.col(text).isNotNull()).select(
         F.col(date).alias("date"),
         F.col(order).alias("_o"),
         F.col(text).alias("_t"),
-        (F.floor(F.col(order) / 4096) if bucket is None else bucket).alias("_bucket"),
+        *([] if bucket is None else [bucket.alias("_bucket")]),
     )
+    if bucket is None and dict(rows.dtypes)["_o"] in ("tinyint", "smallint", "int", "bigint"):
+        rows = rows.withColumn("_bucket", F.floor(F.col("_o") / 4096))
+    elif bucket is None:
+        ranged = rows.repartitionByRange("date", "_o").withColumn("_bucket", F.spark_partition_id())
+        rows = written(ranged, "daily-text")
     width = F.length("_t") + 1
     inside = Window.partitionBy("date", "_bucket").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum(width).over(inside), F.lit(0))

@@ -72,10 +72,12 @@ def filter_year_text(df: DataFrame, column: str = "date", years: Sequence[int] =
 
 
 def filter_year(df: DataFrame, column: str = "date", years: Sequence[int] = (2023, 2024, 2025)) -> DataFrame:
-    """The same for a typed date, as a range test that prunes files and partitions."""
+    """The same for a date or timestamp, as range tests that prune files and partitions."""
+    kind = dict(df.dtypes)[column]
+    start = lambda year: F.lit(f"{year}-01-01").cast(kind)
     keep = F.lit(False)
     for year in years:
-        keep = keep | F.col(column).between(F.lit(f"{year}-01-01").cast("date"), F.lit(f"{year}-12-31").cast("date"))
+        keep = keep | ((F.col(column) >= start(year)) & (F.col(column) < start(year + 1)))
     return df.filter(keep)
 
 

@@ -85,8 +85,7 @@ def filter_year_regex(spark, sf_dir):
     "SELECT o_orderkey FROM orders WHERE year(o_orderdate) IN (1994, 1996)",
 )
 def filter_year_typed(spark, sf_dir):
-    orders = I.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
-    return S.filter_year(orders, "date", (1994, 1996)).select("o_orderkey")
+    return S.filter_year(I.table(spark, sf_dir, "orders"), "o_orderdate", (1994, 1996)).select("o_orderkey")
 
 
 def _sql_split(d: str) -> str:

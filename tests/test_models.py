@@ -144,6 +144,13 @@ def test_nmf_stops_and_separates_themes(docs):
     assert out.counts.agg(F.sum("n")).first()[0] == out.posts.count()
 
 
+def test_no_terms_left(docs):
+    cells, vocab = V.tfidf(docs, "clean", "id", min_df=1000)
+    assert vocab.count() == cells.count() == 0
+    with pytest.raises(ValueError):
+        NM.fit_nmf(cells, "id")
+
+
 def test_attach_topic_without_weights(spark):
     posts = spark.createDataFrame([(1,), (2,)], "id int")
     factors = spark.createDataFrame([(1, [0.1, 0.9])], "id int, weights array<double>")

@@ -92,6 +92,13 @@ def test_daily_text_parts_keep_order_and_everything(spark):
         parts[str(r["date"])].append(r["clean_text"])
     assert {d: " ".join(p) for d, p in parts.items()} == {d: " ".join(ts) for d, ts in want.items()}
     assert len(parts["2020-01-01"]) > 50
+    named = df.withColumn("doc_id", F.format_string("https://news.example.com/%06d", "doc_id"))
+    by_name = {str(r["date"]): r["clean_text"] for r in A.daily_text(named).collect()}
+    assert by_name == {d: " ".join(ts) for d, ts in want.items()}
+    pieces = defaultdict(list)
+    for r in A.daily_text(named, max_chars=2000).orderBy("date", "part").collect():
+        pieces[str(r["date"])].append(r["clean_text"])
+    assert pieces == parts
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
@@ -191,4 +198,4 @@ def test_typed_year_filter_reaches_the_scan(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     plan = df.select("close")._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters"):]
-    assert "EqualTo(ticker,TSLA)" in pushed and "GreaterThanOrEqual(date" in pushed
+    assert "EqualTo(ticker,TSLA)" in pushed and "GreaterThanOrEqual(date" in pushed and "LessThan(date" in pushed
