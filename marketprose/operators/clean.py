@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marketprose.functions import lexical as L
 from marketprose.functions import text as X
 from marketprose.functions import words as W
+from marketprose.operators import lookups as J
 from marketprose.operators import select as S
 from marketprose.operators.select import once
 from marketprose.operators.stopwords import CLEANING
@@ -50,6 +51,35 @@ def clean_nouns_tagged(
     return tagged.withColumn(out, X.join_tokens(F.transform(kept, _shaped))).drop("_tokens", "_tags")
 
 
+def clean_by_tables(
+    df: DataFrame,
+    doc: str,
+    text: str,
+    stops: DataFrame,
+    lemmas: DataFrame,
+    pos: DataFrame | None = None,
+    out: str = "clean",
+    **join,
+) -> DataFrame:
+    """(doc, clean) with word tables of any size: stops (word), lemmas (word, lemma), pos (word, pos).
+
+    With ``pos``, words tagged ``NN...`` stay, besides cashtags and numbers. Texts move once, by
+    document; while the tables are small enough to broadcast, that is the only shuffle of the tokens.
+    """
+    tokens = J.explode_tokens(df, X.split_tokens(X.basic_cleanup(X.to_text(F.col(text)))), doc, together=True)
+    tokens = J.drop_stopwords(tokens.filter(~X.is_short(F.col("token"))), stops, spread=[doc, "pos"], **join)
+    tagged = J.lexicon_join(tokens, lemmas.select("word", "lemma"), spread=[doc, "pos"], **join)
+    code = X.is_code(F.col("token"))
+    if pos is not None:
+        tags = pos.select("word", F.col("pos").alias("tag"))
+        tagged = J.lexicon_join(tagged, tags, spread=[doc, "pos"], **join).filter(code | F.col("tag").startswith("NN"))
+    word = F.when(code, F.upper("token")).otherwise(F.coalesce("lemma", "token"))
+    kept = J.regroup_tokens(tagged, doc, word)
+    return df.select(doc).join(kept, doc, "left").select(
+        doc, F.coalesce(X.join_tokens(F.col("tokens")), F.lit("")).alias(out)
+    )
+
+
 def preprocess_text(
     df: DataFrame,
     text_col: str | None = None,

@@ -81,6 +81,20 @@ on_posts(
 on_posts("basic_cleanup", X.basic_cleanup, P.cleanup('"fullText"'))
 on_posts("clean_simple", lambda t: C.clean_simple(X.to_text(t)), P.clean(P.to_text('"fullText"'), SW.CLEANING, False))
 on_posts("clean_nouns", lambda t: C.clean_nouns(X.to_text(t)), P.clean(P.to_text('"fullText"'), SW.CLEANING, True))
+@query(
+    "clean_by_tables",
+    P.with_posts(
+        f"""SELECT post_id, array_to_string(list_transform(list_filter({SQL_TOKENS},
+        lambda w: w NOT IN {P.words(SW.CLEANING)} AND length(w) > 2), lambda w: CASE WHEN {P.code('w')} THEN upper(w)
+        ELSE CASE w {' '.join(f'WHEN {P.q(k)} THEN {P.q(v)}' for k, v in W.NOUN_LEMMAS.items())} ELSE w END END), ' ') AS clean FROM posts"""
+    ),
+)
+def clean_by_tables(spark, sf_dir):
+    stops = J.word_table(spark, SW.CLEANING)
+    lemmas = J.mapping_table(spark, W.NOUN_LEMMAS, "word string, lemma string")
+    return C.clean_by_tables(I.posts(spark, sf_dir), "post_id", "fullText", stops, lemmas)
+
+
 on_posts(
     "lemmatize",
     lambda t: X.join_tokens(F.transform(tokens(t), lambda w: L.noun_lemma(w))),

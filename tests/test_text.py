@@ -51,6 +51,18 @@ def test_clean_with_own_tagger(spark):
     assert (column, out.first()["clean"]) == ("content", "rocket $TSLA")
 
 
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_clean_by_tables(spark, limit):
+    rows = [(1, "The media sees rockets, 100m $tsla seen"), (2, "the of"), (3, None), (4, "rockets rockets")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    stops = spark.createDataFrame([("the",), ("of",), ("the",)], "word string")
+    lemmas = spark.createDataFrame([("media", "medium"), ("rockets", "rocket"), ("seen", "see")], "word string, lemma string")
+    pos = spark.createDataFrame([("media", "NNS"), ("rockets", "NNS"), ("seen", "VBN")], "word string, pos string")
+    clean = lambda **k: {r["id"]: r["clean"] for r in C.clean_by_tables(df, "id", "t", stops, lemmas, max_bytes=limit, **k).collect()}
+    assert clean() == {1: "medium sees rocket 100M $TSLA see", 2: "", 3: "", 4: "rocket rocket"}
+    assert clean(pos=pos) == {1: "medium rocket 100M $TSLA", 2: "", 3: "", 4: "rocket rocket"}
+
+
 def test_detect_text_column(spark):
     df = spark.createDataFrame([("a", "b")], "text string, body string")
     assert S.detect_text_column(df) == "text"
