@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketprose.functions.dates import coerce_date
+from marketprose.operators.lookups import keyed_join
 from marketprose.operators.select import once, unnest
 from marketprose.operators.windows import offsets
 from marketprose.session import written
@@ -99,13 +100,17 @@ def daily_text(
     order: str = "doc_id",
     max_chars: int = 16 << 20,
     bucket: Column | None = None,
+    **join,
 ) -> DataFrame:
     """Texts of a day joined by a space in ``order``: (date, part, text).
 
     A day is part 0 alone unless it outgrows ``max_chars``; then its later documents go to parts
     1, 2, ... so that no day has to fit in one string. Null texts and null dates are left out.
-    ``bucket`` must not decrease with ``order``; by default it is 4096 whole-number ids, and for any
-    other order the partitions of a range sort, which is written so that it stays the same.
+
+    Documents are assigned to parts by bucket, from the lengths of the day's earlier buckets; only
+    those lengths are added up, and the texts move once, to their part. ``bucket`` must not decrease
+    with ``order``; by default it is 1024 whole-number ids, and for any other order the partitions of
+    a range sort, which is written so that it stays the same.
     """
     rows = articles.filter(F.col(date).isNotNull() & F.col(text).isNotNull()).select(
         F.col(date).alias("date"),
@@ -114,16 +119,13 @@ def daily_text(
         *([] if bucket is None else [bucket.alias("_bucket")]),
     )
     if bucket is None and dict(rows.dtypes)["_o"] in ("tinyint", "smallint", "int", "bigint"):
-        rows = rows.withColumn("_bucket", F.floor(F.col("_o") / 4096))
+        rows = rows.withColumn("_bucket", F.floor(F.col("_o") / 1024))
     elif bucket is None:
         ranged = rows.repartitionByRange("date", "_o").withColumn("_bucket", F.spark_partition_id())
         rows = written(ranged, "daily-text")
-    width = F.length("_t") + 1
-    inside = Window.partitionBy("date", "_bucket").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("before") + F.coalesce(F.sum(width).over(inside), F.lit(0))
-    parts = rows.join(offsets(rows, ["date"], "_bucket", width), ["date", "_bucket"]).withColumn(
-        "part", F.floor(start / max_chars).cast("bigint")
-    )
+    before = written(offsets(rows, ["date"], "_bucket", F.length("_t") + 1), "daily-offsets")
+    placed = keyed_join(rows, before, ["date", "_bucket"], "inner", spread=["_o"], **join)
+    parts = placed.withColumn("part", F.floor(F.col("before") / max_chars).cast("bigint"))
     texts = F.array_sort(F.collect_list(F.struct("_o", "_t")))
     return parts.groupBy("date", "part").agg(F.array_join(F.transform(texts, lambda s: s["_t"]), " ").alias(text))
 

@@ -358,16 +358,16 @@ def mean_word_count(spark, sf_dir):
     "daily_text_concat",
     P.with_articles(
         """SELECT date, part, string_agg(content, ' ' ORDER BY doc_id) AS content FROM (
-          SELECT *, CAST(floor(coalesce(sum(length(content) + 1) OVER (PARTITION BY date ORDER BY doc_id
-              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 20000) AS BIGINT) AS part
+          SELECT *, CAST(floor(coalesce(sum(length(content) + 1) OVER (PARTITION BY date ORDER BY doc_id // 64
+              RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2000) AS BIGINT) AS part
           FROM (SELECT doc_id, try_cast(date AS DATE) AS date, content FROM articles)
           WHERE date IS NOT NULL AND content IS NOT NULL) GROUP BY date, part"""
     ),
 )
 def daily_text_concat(spark, sf_dir):
-    # a small part size, so that the test data has days of several parts
+    # small buckets and parts, so that the test data has days of several parts
     dated = I.articles(spark, sf_dir).withColumn("date", coerce_date(F.col("date")))
-    return A.daily_text(dated, text="content", max_chars=20_000)
+    return A.daily_text(dated, text="content", max_chars=2_000, bucket=F.floor(F.col("doc_id") / 64))
 
 
 @query(

@@ -87,8 +87,9 @@ def test_daily_text_parts_keep_order_and_everything(spark):
     assert {d: r["clean_text"] for d, r in whole.items()} == {d: " ".join(ts) for d, ts in want.items()}
     assert {r["part"] for r in whole.values()} == {0}
     parts = defaultdict(list)
-    for r in A.daily_text(df, max_chars=2000).orderBy("date", "part").collect():
-        assert len(r["clean_text"]) < 2000 + 50
+    fine = F.floor(F.col("doc_id") / 16)
+    for r in A.daily_text(df, max_chars=2000, bucket=fine).orderBy("date", "part").collect():
+        assert len(r["clean_text"]) < 2000 + 16 * 40
         parts[str(r["date"])].append(r["clean_text"])
     assert {d: " ".join(p) for d, p in parts.items()} == {d: " ".join(ts) for d, ts in want.items()}
     assert len(parts["2020-01-01"]) > 50
@@ -96,9 +97,9 @@ def test_daily_text_parts_keep_order_and_everything(spark):
     by_name = {str(r["date"]): r["clean_text"] for r in A.daily_text(named).collect()}
     assert by_name == {d: " ".join(ts) for d, ts in want.items()}
     pieces = defaultdict(list)
-    for r in A.daily_text(named, max_chars=2000).orderBy("date", "part").collect():
+    for r in A.daily_text(named, max_chars=2000, max_bytes=0).orderBy("date", "part").collect():
         pieces[str(r["date"])].append(r["clean_text"])
-    assert pieces == parts
+    assert {d: " ".join(p) for d, p in pieces.items()} == {d: " ".join(ts) for d, ts in want.items()}
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
