@@ -87,7 +87,10 @@ def pos_tag(word: Column, lexicon: Mapping[str, Iterable[str]] | None = None) ->
     ruled = F.when(word.rlike(r"^\p{N}"), F.lit("NUM"))
     for endings, min_length, tag in W.POS_ENDINGS:
         ruled = ruled.when(_ends(word, endings) & (F.length(word) >= min_length), F.lit(tag))
-    return choose(word, W.POS_WORDS if lexicon is None else lexicon, ruled.otherwise(F.lit("NOUN")))
+    table = W.POS_WORDS if lexicon is None else lexicon
+    known = _checked([w for members in table.values() for w in members])
+    # one hash probe sends words outside the lexicon straight to the rules
+    return F.when(word.isin(known), choose(word, table, F.lit("NOUN"))).otherwise(ruled.otherwise(F.lit("NOUN")))
 
 
 def token_lemma(word: Column, pos: Column) -> Column:

@@ -24,10 +24,8 @@ def sentiment_words(text: Column) -> Column:
     """Whitespace tokens of two or more characters; one mark before or after a plain word is cut off."""
     tokens = F.filter(F.split(text, f"[{X.SPACE}]+"), lambda w: F.length(w) > 1)
     plain = rf"[^{_ASCII_PUNCT}]{{2,}}"
-    return F.transform(
-        tokens,
-        lambda w: F.regexp_replace(F.regexp_replace(w, rf"^{_MARK}({plain})\z", "$1"), rf"^({plain}){_MARK}\z", "$1"),
-    )
+    cut = lambda w: F.regexp_replace(F.regexp_replace(w, rf"^{_MARK}({plain})\z", "$1"), rf"^({plain}){_MARK}\z", "$1")
+    return F.transform(tokens, lambda w: F.when(w.rlike(f"[{_ASCII_PUNCT}]"), cut(w)).otherwise(w))
 
 
 def _is_upper(word: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -31,31 +32,53 @@ CLITICS = r"(?i)n['’]t\b|['’](?:s|re|ve|ll|d|m)\b"
 
 def protect_phrases(text: Column, phrases: Sequence[tuple[str, str]] = W.PROTECTED_PHRASES) -> Column:
     """Replace each phrase, in any case and spacing, by its one-word form."""
-    for phrase, token in phrases:
-        gap = f"[{X.SPACE}]+"
-        body = gap.join(re.escape(part) for part in phrase.split())
-        text = F.regexp_replace(text, rf"(?i)(?<![{X.WORD}]){body}(?![{X.WORD}])", token)
-    return text
+    gap = f"[{X.SPACE}]+"
 
+    def step(low: Column, phrase: str, token: str, now: Column) -> Column:
+        parts = phrase.split()
+        pattern = rf"(?i)(?<![{X.WORD}]){gap.join(re.escape(p) for p in parts)}(?![{X.WORD}])"
+        # most texts lack the phrase; a plain search is far cheaper than the pattern
+        return F.when(low.contains(parts[0].lower()), F.regexp_replace(now, pattern, token)).otherwise(now)
 
-def tagged_tokens(text: Column, phrases: Sequence[tuple[str, str]] = W.PROTECTED_PHRASES) -> Column:
+    def replaced(low: Column) -> Column:
+        out = text
+        for phrase, token in phrases:
+            out = X.bind(out, partial(step, low, phrase, token))
+        return out
+
+    return X.bind(F.lower(text), replaced)
+
+
+def plain_text(text: Column, phrases: Sequence[tuple[str, str]] = W.PROTECTED_PHRASES) -> Column:
+    """Text with single spaces, one-word phrases and without clitics."""
+    clean = X.bind(X.collapse_whitespace(text), lambda t: protect_phrases(t, phrases))
+    return X.bind(
+        clean,
+        lambda t: F.when(t.contains("'") | t.contains("’"), F.regexp_replace(t, CLITICS, " ")).otherwise(t),
+    )
+
+
+def raw_tokens(plain: Column) -> Column:
+    return F.regexp_extract_all(plain, F.lit(TOKEN_PATTERN), F.lit(0))
+
+
+def tag_tokens(raw: Column, phrases: Sequence[tuple[str, str]] = W.PROTECTED_PHRASES) -> Column:
     """Array of (low, pos, norm): lower-case token, part of speech, lemma.
 
     ``pos`` is PROTECTED for protected phrases, WEB for addresses, END for sentence ends, PROPN for
     a capitalized word inside a sentence, else what the lexicon says.
     """
     single = [token for _, token in phrases]
-    plain = F.regexp_replace(protect_phrases(X.collapse_whitespace(text), phrases), CLITICS, " ")
-    raw = F.regexp_extract_all(plain, F.lit(TOKEN_PATTERN), F.lit(0))
+    ends = lambda w: F.left(w, F.lit(1)).isin(".", "!", "?") & w.rlike(f"^{SENTENCE_END}\\z")
 
     def tag(tokens: Column) -> Column:
         def one(word: Column, i: Column) -> Column:
-            inside = (i > 0) & ~F.get(tokens, i - 1).rlike(f"^{SENTENCE_END}\\z")
+            inside = (i > 0) & ~ends(F.get(tokens, i - 1))
             low = F.lower(word)
             pos = (
                 F.when(low.isin(single), F.lit("PROTECTED"))
-                .when(word.rlike(f"^{SENTENCE_END}\\z"), F.lit("END"))
-                .when(word.rlike(WEB_TOKEN), F.lit("WEB"))
+                .when(ends(word), F.lit("END"))
+                .when((word.contains(".") | word.contains("://")) & word.rlike(WEB_TOKEN), F.lit("WEB"))
                 .when(word.rlike(r"^\p{Lu}") & inside, F.lit("PROPN"))
                 .otherwise(L.pos_tag(low))
             )
@@ -114,8 +137,10 @@ def tokenize_articles(
     Every column comes from one tagging of the text.
     """
     stops = token_stops(phrases) if stops is None else stops
-    blank = F.coalesce(F.col(text), F.lit(""))
-    tagged = once(articles, "_tagged", tagged_tokens(blank, phrases))
+    # in steps: each is evaluated once per row, and shallow expressions run faster than one deep one
+    plain = once(articles, "_plain", plain_text(F.coalesce(F.col(text), F.lit("")), phrases))
+    raw = once(plain, "_raw", raw_tokens(F.col("_plain"))).drop("_plain")
+    tagged = once(raw, "_tagged", tag_tokens(F.col("_raw"), phrases)).drop("_raw")
     out = once(tagged, "tokens", kept_tokens(F.col("_tagged"), stops))
     if nouns:
         out = once(out, "tokens_nouns", kept_nouns(F.col("_tagged"), stops))
