@@ -75,13 +75,15 @@ def remainder(key: str, mod: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % mod, F.lit(-1))
 
 
-def ordered_buckets(df: DataFrame, key: str, rows_per_bucket: int = 1024, leads: bool = True) -> DataFrame:
+def ordered_buckets(
+    df: DataFrame, key: str, rows_per_bucket: int = 1024, leads: bool = True, wrap: bool = False
+) -> DataFrame:
     """``df`` with columns ``bucket``, which never falls as ``key`` grows, and ``lead``.
 
     The rows with the first key of a bucket come a second time, marked ``lead``, in the nearest earlier bucket that
     has rows: whoever walks a bucket in order also sees what follows its last row. Null keys come first. The bounds
     are quantiles of the key column, rows / rows_per_bucket of them and at most 10,000, so they and the heads fit
-    anywhere. Without ``leads`` there are no second copies.
+    anywhere. Without ``leads`` there are no second copies; with ``wrap`` the smallest key also follows the last bucket.
     """
     parts = int(min(10_000, max(1, df.count() // rows_per_bucket)))
     cuts = np.unique(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else [])
@@ -94,8 +96,11 @@ def ordered_buckets(df: DataFrame, key: str, rows_per_bucket: int = 1024, leads:
     placed = df.withColumn("bucket", place(F.col(key))).withColumn("lead", F.lit(False))
     if not leads:
         return placed
-    firsts = sorted(tuple(r) for r in placed.groupBy("bucket").agg(F.min(key)).collect())
+    firsts = sorted((r[0], r[1]) for r in placed.groupBy("bucket").agg(F.min(key)).collect())
     heads = [(first, earlier) for (earlier, _), (_, first) in zip(firsts, firsts[1:], strict=False)]
+    known = [r for r in firsts if r[1] is not None]
+    if wrap and known:
+        heads.append((known[0][1], firsts[-1][0]))
     if not heads:
         return placed
     spark = df.sparkSession

@@ -9,7 +9,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketprose.llm import bpe, warc, wavelet
+from marketprose.llm import bpe, mixing, sketch, warc, wavelet
 from marketprose.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def three_weights(sources: list[str | None]) -> list[float]:
+    """3, 1, 2 and so on in turn."""
+    return [(3.0, 1.0, 2.0)[i % 3] for i in range(len(sources))]
+
+
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mix of all sources takes."""
+    mix = mixing.Mix(table(spark, sf_dir, "documents"), three_weights)
+    targets = mix.targets.select("source_no", "source", "source_size", "target")
+    return mix.taken().join(targets, "source_no").select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and their likeness."""
+    return sketch.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents from the wavelet-matrix files: start, number of ids, crc32 of the ids."""
