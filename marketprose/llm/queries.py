@@ -9,8 +9,8 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketprose.llm import bpe, mixing, sketch, warc, wavelet
-from marketprose.llm.common import ship
+from marketprose.llm import bpe, mixing, quality, sketch, warc, wavelet
+from marketprose.llm.common import remainder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,6 +42,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken().join(targets, "source_no").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+KEEP_FROM = 0.3
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_labelled(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    scored = quality.score(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= KEEP_FROM).cast("int"))
+
+
 @query
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and their likeness."""
