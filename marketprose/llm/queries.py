@@ -9,7 +9,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketprose.llm import bpe, mixing, quality, sketch, warc, wavelet
+from marketprose.llm import bpe, mixing, neighbours, quality, sketch, warc, wavelet
 from marketprose.llm.common import remainder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and survivors among embeddings with equal labels, cosine 0.98 or more."""
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings"), 0.98).vectors
+
+
 @query
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents from the wavelet-matrix files: start, number of ids, crc32 of the ids."""
