@@ -9,7 +9,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketprose.llm import bpe, mixing, neighbours, quality, sketch, warc, wavelet
+from marketprose.llm import bpe, jaccard, mixing, neighbours, quality, sketch, warc, wavelet
 from marketprose.llm.common import remainder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= KEEP_FROM).cast("int"))
 
 
+@query
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle sets and components of documents at Jaccard 0.85 or more."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 85, 4)
+
+
 @query
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and their likeness."""
