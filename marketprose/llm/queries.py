@@ -9,7 +9,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketprose.llm import bpe, jaccard, mixing, neighbours, quality, sketch, warc, wavelet
+from marketprose.llm import bpe, jaccard, lm, mixing, neighbours, quality, sketch, warc, wavelet
 from marketprose.llm.common import remainder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken().join(targets, "source_no").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+@query
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document under a model of the documents that are not held out."""
+    return lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+
+
 KEEP_FROM = 0.3
 
 
