@@ -9,7 +9,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketprose.llm import bpe, jaccard, lm, mixing, neighbours, quality, sketch, warc, wavelet
+from marketprose.llm import bpe, html, jaccard, lm, mixing, neighbours, quality, sketch, warc, wavelet
 from marketprose.llm.common import remainder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= KEEP_FROM).cast("int"))
 
 
+@query
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by the field trained on labelled pages."""
+    return html.extract(table(spark, sf_dir, "pages"), html.default_field())
+
+
 @query
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle sets and components of documents at Jaccard 0.85 or more."""
