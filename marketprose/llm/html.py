@@ -98,23 +98,18 @@ class BlockParser(HTMLParser):
             elif tag == "hr":
                 self._flush()
             return
+        if tag in SILENT:
+            self.silent.append(tag)
         if self.silent:
-            if tag in SILENT:
-                self.silent.append(tag)
             return
-        if tag == "body":
-            self._flush()
         if tag not in INLINE:
             self._flush()
             for at in range(len(self.path) - 1, 0, -1):  # an open p, li, td ... that this tag ends
-                if self.path[at].tag in CLOSES.get(tag, {"p"} if tag not in SILENT else ()):
+                if self.path[at].tag in CLOSES.get(tag, {"p"}):
                     self._cut(at)
                     break
                 if self.path[at].tag in SCOPES:
                     break
-        if tag in SILENT:
-            self.silent.append(tag)
-            return
         up = self.path[-1]
         found = dict(attrs)
         marks = set()

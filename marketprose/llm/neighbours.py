@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from marketprose.llm.common import frames
+from marketprose.llm.common import dealt, frames
 from marketprose.llm.graph import components
 from marketprose.session import written
 
@@ -76,7 +76,7 @@ def leaf_edges(nodes: DataFrame, sizes: DataFrame, tree: int, k: int) -> DataFra
             for _, rows in found.groupby("space", sort=False):
                 yield from best_pairs(rows["node"].to_numpy(), matrix(rows["unit"], "<f8"), None, k)
 
-    return leaves.repartition("leaf").sortWithinPartitions("leaf").mapInPandas(nearest, "node bigint, other bigint, cos double")
+    return dealt(leaves, "leaf").sortWithinPartitions("leaf").mapInPandas(nearest, "node bigint, other bigint, cos double")
 
 
 def groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[object, pd.DataFrame]]:
@@ -134,12 +134,15 @@ def refined(graph: DataFrame, nodes: DataFrame, k: int, salt: int) -> DataFrame:
                 pairs = (rows["member"].to_numpy(), matrix(rows["unit"], "<f8"), rows["worst"].to_numpy())
                 yield from best_pairs(*pairs, k)
 
-    near = joined.repartition("at").sortWithinPartitions("at")
+    near = dealt(joined, "at").sortWithinPartitions("at")
     return keep_best(graph.unionByName(near.mapInPandas(compare, "node bigint, other bigint, cos double")), k)
 
 
-def audit(links: DataFrame, nodes: DataFrame, threshold: float, sample: int) -> float:
-    """Share of the sampled nodes' true links that are found; the sample is ``sample`` nodes, by hash."""
+def audit(membership: DataFrame, nodes: DataFrame, threshold: float, sample: int) -> float:
+    """Share of the sampled nodes' true links that lie inside one component, where all links are found.
+
+    The sample is ``sample`` nodes, by hash, compared with all others.
+    """
     chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).collect()
     shared = nodes.sparkSession.sparkContext.broadcast([(r["node"], r["space"], bytes(r["unit"])) for r in chosen])
 
@@ -154,9 +157,11 @@ def audit(links: DataFrame, nodes: DataFrame, threshold: float, sample: int) ->
                     yield pd.DataFrame({"node": mine["node"].to_numpy()[a], "other": rows["node"].to_numpy()[b]})
 
     true = nodes.select("node", "space", "unit").mapInPandas(search, "node bigint, other bigint").filter("node != other")
-    both = links.select("node", "other").unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other")))
-    got = true.join(both.distinct().withColumn("hit", F.lit(1)), ["node", "other"], "left").agg(F.count("*"), F.count("hit")).first()
-    return got[1] / got[0] if got[0] else 1.0
+    one = membership.select("node", F.col("component").alias("one"))
+    two = membership.select(F.col("node").alias("other"), F.col("component").alias("two"))
+    hit = (F.col("one") == F.col("two")).cast("int")
+    got = true.join(one, "node", "left").join(two, "other", "left").agg(F.count("*"), F.sum(hit)).first()
+    return (got[1] or 0) / got[0] if got[0] else 1.0
 
 
 def counted(nodes: DataFrame, membership: DataFrame, threshold: float) -> DataFrame:
@@ -183,8 +188,8 @@ def counted(nodes: DataFrame, membership: DataFrame, threshold: float) -> DataFr
                 near &= one["node"].to_numpy()[:, None] != two["node"].to_numpy()[None, :]
                 yield pd.DataFrame({"node": one["node"].to_numpy(), "linked": near @ two["n"].to_numpy(np.int64)})
 
-    dealt = pairs.repartition("at").sortWithinPartitions("at", "component", "i", "j")
-    return dealt.mapInPandas(count, "node bigint, linked bigint").groupBy("node").agg(F.sum("linked").alias("linked"))
+    parts = dealt(pairs, "at").sortWithinPartitions("at", "component", "i", "j")
+    return parts.mapInPandas(count, "node bigint, linked bigint").groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
 @dataclass
@@ -219,10 +224,10 @@ def near_vectors(
     nodes = units.groupBy("space", "digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.min("unit").alias("unit"))
     nodes = written(nodes, "vector-nodes")
     sizes = nodes.groupBy("space").agg(F.count("*").alias("nodes"))
-    graph = None
+    graph = membership = None
     recall = found = planted = 0
     for turn in range(max_rounds):
-        if graph is None or recall < goal and turn > 1:
+        if graph is None or membership is not None:  # at first, and after an audit that was not good enough
             for tree in range(planted, planted + trees):
                 near = leaf_edges(nodes, sizes, tree, k)
                 graph = near if graph is None else graph.unionByName(near)
@@ -231,12 +236,11 @@ def near_vectors(
         graph = written(refined(graph, nodes, k, turn), "vector-graph")
         links = graph.filter(F.col("cos") >= threshold)
         before, found = found, links.count()
-        if turn and found <= before * 1.001:
-            recall = audit(links, nodes, threshold, sample)
+        if turn and found <= before * 1.001 or turn == max_rounds - 1:
+            membership = written(components(links, "node", "other"), "vector-components")
+            recall = audit(membership, nodes, threshold, sample)
             if recall >= goal:
                 break
-    membership = components(links, "node", "other")
-    membership = written(membership, "vector-components")
     more = counted(nodes, membership, threshold)
     classes = nodes.select("space", "digest", "node", "n")
     done = classes.join(membership, "node", "left").join(more, "node", "left").select(
