@@ -149,3 +149,15 @@ def vectorizer_words(text: Column) -> Column:
 def count_words(text: Column) -> Column:
     """Runs of a-z, 0-9 and _ that touch no other letter or digit; no case folding."""
     return F.filter(word_runs(text), lambda w: w.rlike(r"^[a-z0-9_]+\z"))
+
+
+# web or mail address, number with separators, dotted abbreviation, word with inner apostrophes; marks are none of these
+WORD_TOKENS = (
+    rf"(?:https?://|www\.)[^{SPACE}]*[^{SPACE}.,!?;:)\"']|[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+    rf"|\p{{N}}+(?:[.,]\p{{N}}+)+|(?:\p{{L}}\.){{2,}}|[{WORD}]+(?:['’][{WORD}]+)*"
+)
+
+
+def word_tokens(text: Column) -> Column:
+    """Words of a text without the marks around them."""
+    return F.regexp_extract_all(text, F.lit(WORD_TOKENS), F.lit(0))

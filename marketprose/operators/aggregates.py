@@ -98,19 +98,16 @@ def daily_text(
     date: str = "date",
     text: str = "clean_text",
     order: str = "doc_id",
-    max_chars: int = 16 << 20,
     bucket: Column | None = None,
-    **join,
 ) -> DataFrame:
-    """Texts of a day joined by a space in ``order``: (date, part, text).
+    """The text of each day in pieces that never depend on its size: (date, seq, text), one per document.
 
-    A day is part 0 alone unless it outgrows ``max_chars``; then its later documents go to parts
-    1, 2, ... so that no day has to fit in one string. Null texts and null dates are left out.
+    ``seq`` counts a day's documents from 0 in ``order``; joined by a space in that order they are the day's text.
+    Null texts and null dates are left out, equal keys of ``order`` follow their texts' order.
 
-    Documents are assigned to parts by bucket, from the lengths of the day's earlier buckets; only
-    those lengths are added up, and the texts move once, to their part. ``bucket`` must not decrease
-    with ``order``; by default it is 1024 whole-number ids, and for any other order the partitions of
-    a range sort, which is written so that it stays the same.
+    Documents are numbered inside buckets of a day, from the sizes of its earlier buckets; no day has to fit in one
+    task. ``bucket`` must not decrease with ``order``; by default it is 1024 whole-number ids, and for any other order the
+    partitions of a range sort, which is written so that it stays the same.
     """
     rows = articles.filter(F.col(date).isNotNull() & F.col(text).isNotNull()).select(
         F.col(date).alias("date"),
@@ -123,11 +120,10 @@ def daily_text(
     elif bucket is None:
         ranged = rows.repartitionByRange("date", "_o").withColumn("_bucket", F.spark_partition_id())
         rows = written(ranged, "daily-text")
-    before = written(offsets(rows, ["date"], "_bucket", F.length("_t") + 1), "daily-offsets")
-    placed = keyed_join(rows, before, ["date", "_bucket"], "inner", spread=["_o"], **join)
-    parts = placed.withColumn("part", F.floor(F.col("before") / max_chars).cast("bigint"))
-    texts = F.array_sort(F.collect_list(F.struct("_o", "_t")))
-    return parts.groupBy("date", "part").agg(F.array_join(F.transform(texts, lambda s: s["_t"]), " ").alias(text))
+    inside = Window.partitionBy("date", "_bucket").orderBy("_o", "_t")
+    numbered = rows.join(offsets(rows, ["date"], "_bucket", F.lit(1)), ["date", "_bucket"])
+    seq = (F.col("before") + F.row_number().over(inside) - 1).cast("bigint")
+    return numbered.select("date", seq.alias("seq"), F.col("_t").alias(text))
 
 
 def row_max(weights: Column) -> Column:

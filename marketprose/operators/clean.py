@@ -105,6 +105,6 @@ def add_word_count(df: DataFrame, text_col: str, out_col: str = "word_count") ->
 
 
 def keep_pos(text: Column, kept: Sequence[str] = W.KEPT_POS) -> Column:
-    """Tokens with one of the parts of speech, as they stand."""
-    tokens = F.filter(X.split_tokens(text), lambda w: L.pos_tag(F.lower(w)).isin(list(kept)))
+    """Words with one of the parts of speech, as they stand; marks are no words, glued to one or alone."""
+    tokens = F.filter(X.word_tokens(text), lambda w: L.pos_tag(F.lower(w)).isin(list(kept)))
     return X.join_tokens(tokens)

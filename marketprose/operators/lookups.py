@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from marketprose.operators.select import unnest
+from marketprose.session import written
 
 MAX_BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 4_000_000
@@ -45,27 +46,24 @@ def salted_join(
     """Shuffled join that splits every key holding more than ``hot_rows`` rows of ``big``.
 
     Rows of a hot key are dealt over shards by a hash of ``spread``; only the hot rows of ``dim``
-    are repeated, once per shard. Only the ``MAX_HOT_KEYS`` hottest keys are listed, so the list may be
-    broadcast; further keys are joined like any other, and each holds at most a 100,000th of the rows.
+    are repeated, once per shard. Where there are very many keys of that size, those above a
+    ``MAX_HOT_KEYS``-th of their rows count as hot, so that the list is short by arithmetic.
     """
     keys = list(keys)
-    hot = (
-        big.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_shards"))
-    )
+    counts = big.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+    counts = written(counts, "hot-keys")
+    least = max(hot_rows, (counts.agg(F.sum("_n")).first()[0] or 0) // MAX_HOT_KEYS)
+    hot = counts.filter(F.col("_n") > least).select(*keys, F.ceil(F.col("_n") / least).cast("int").alias("_shards"))
+    hot = F.broadcast(hot) if fits_broadcast(hot) else hot
     missing = sum((F.col(k).isNull().cast("int") for k in keys), F.lit(0)) > 0
     shards = F.when(missing, F.lit(NULL_SHARDS)).otherwise(F.coalesce("_shards", F.lit(1)))
     left = (
-        big.join(F.broadcast(hot), keys, "left")
+        big.join(hot, keys, "left")
         .withColumn("_shard", F.pmod(F.xxhash64(*spread), shards).cast("int"))
         .drop("_shards")
     )
     right = (
-        dim.join(F.broadcast(hot), keys, "left")
+        dim.join(hot, keys, "left")
         .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.coalesce("_shards", F.lit(1)) - 1)))
         .drop("_shards")
     )

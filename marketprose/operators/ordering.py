@@ -31,7 +31,7 @@ def sort_chronological(df: DataFrame, column: str = "datetime", tie: str = "tick
     return df.orderBy(column, tie)
 
 
-def scan_limit(links: DataFrame, key: str, limit: int = 10_000, column: str = "link") -> DataFrame:
+def scan_limit(links: DataFrame, key: str, limit: int, column: str = "link") -> DataFrame:
     """The first ``limit`` rows by key, less those without a link."""
     return links.orderBy(key).limit(limit).filter(F.col(column).isNotNull() & (F.col(column) != ""))
 

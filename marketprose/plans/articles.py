@@ -79,22 +79,16 @@ def article_signals(
     return add_sentiment(chosen, text).withColumn("flag_case", rule_flag(F.col(text), rules))
 
 
-def daily_splits(
-    cleaned: DataFrame,
-    doc: str,
-    text: str = "clean_text",
-    ranges=W.SPLIT_RANGES,
-    max_chars: int = 16 << 20,
-) -> DataFrame:
-    """One text per day and split (date, part, text, split), of the kept parts of speech only.
+def daily_splits(cleaned: DataFrame, doc: str, text: str = "clean_text", ranges=W.SPLIT_RANGES) -> DataFrame:
+    """The text of each day in pieces (date, seq, text, split), of the kept parts of speech only.
 
-    Days outside the ranges are dropped before their texts are gathered.
+    Days outside the ranges are dropped, and words are filtered per document, before anything is moved.
     """
     date = coerce_date(F.col("date")) if dict(cleaned.dtypes)["date"] == "string" else F.to_date("date")
     dated = cleaned.select(doc, date.alias("date"), text)
     wanted = filter_split(dated.withColumn("split", split_label(F.col("date"), ranges))).drop("split")
-    days = A.daily_text(wanted, "date", text, doc, max_chars)
-    return days.withColumn(text, keep_pos(F.col(text))).withColumn("split", split_label(F.col("date"), ranges))
+    kept = wanted.withColumn(text, keep_pos(F.col(text)))
+    return A.daily_text(kept, "date", text, doc).withColumn("split", split_label(F.col("date"), ranges))
 
 
 def tokenized_articles(articles: DataFrame, text: str = "content", **options) -> DataFrame:

@@ -53,11 +53,11 @@ def article_signals(spark, sf_dir):
 
 @query(
     "daily_splits",
-    f"""SELECT date, CAST(0 AS BIGINT) AS part, clean_text, {R._sql_split('date')} AS split FROM (
-      SELECT date, array_to_string(list_filter({P.split('day')}, lambda w: {P.pos('lower(w)')} IN {P.words(W.KEPT_POS)}), ' ') AS clean_text
-      FROM (SELECT try_cast(date AS DATE) AS date, string_agg(clean_text, ' ' ORDER BY a.doc_id) AS day
+    f"""SELECT date, CAST(row_number() OVER (PARTITION BY date ORDER BY doc_id) - 1 AS BIGINT) AS seq,
+      {P.kept_words('clean_text')} AS clean_text, {P.split_case('date')} AS split
+      FROM (SELECT a.doc_id, try_cast(date AS DATE) AS date, clean_text
         FROM ({I.ARTICLES}) a JOIN ({SQL['tokens_all']}) t ON a.doc_id = t.doc_id
-        WHERE try_cast(date AS DATE) BETWEEN DATE '2011-12-01' AND DATE '2025-04-14' GROUP BY 1))""",
+        WHERE clean_text IS NOT NULL AND try_cast(date AS DATE) BETWEEN DATE '2011-12-01' AND DATE '2025-04-14')""",
 )
 def daily_splits(spark, sf_dir):
     """From articles to split daily texts."""

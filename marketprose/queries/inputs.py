@@ -156,10 +156,14 @@ CASE source WHEN 'src0' THEN NULL
             WHEN 'src2' THEN concat('{"@type":"Person","name":" ', source, ' "}')
             WHEN 'src3' THEN concat('["', source, '",{"name":"Staff"},{"name":" "},"",["', lang, '"]]')
             WHEN 'src4' THEN '{"@type":"Person"}'
+            WHEN 'src5' THEN '"{braces} Jr [x]"'
+            WHEN 'src6' THEN concat('[[[[["deep ', lang, '"]]]],5,true,null,{"name":["no"]},{"x":{"name":"no"},"name":"Z"}]')
+            WHEN 'src7' THEN '7'
             ELSE concat('" ', source, '"') END
 """
 AUTHOR_NAME = """
-CASE source WHEN 'src0' THEN '' WHEN 'src1' THEN '' WHEN 'src4' THEN ''
+CASE source WHEN 'src0' THEN '' WHEN 'src1' THEN '' WHEN 'src4' THEN '' WHEN 'src7' THEN ''
+            WHEN 'src5' THEN '{braces} Jr [x]' WHEN 'src6' THEN concat('deep ', lang, ', Z')
             WHEN 'src3' THEN concat(source, ', Staff, ', lang) ELSE source END
 """
 
@@ -167,7 +171,7 @@ CASE source WHEN 'src0' THEN '' WHEN 'src1' THEN '' WHEN 'src4' THEN ''
 def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article pages (link, html) wrapping the documents, and the web pages, which hold no article.
 
-    The block is alone, second after a broken one, or inside a list; French pages lack the headline,
+    The block is alone, second after a broken one, or inside a list with other things after one that is commented out; French pages lack the headline,
     German ones the date, Spanish ones are no articles.
     """
     docs = table(spark, sf_dir, "documents")
@@ -183,10 +187,12 @@ def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.lit('<script type="application/ld+json">')
     end = F.lit("</script>")
     other = F.lit('{"@type":"WebSite","headline":"site"}')
+    hidden = F.lit('{"@type":"Article","headline":"hidden"}')
+    commented = F.concat(F.lit("<!-- "), tag, hidden, end, F.lit(" --><script>var a = '<!-- ';</script>"))
     blocks = (
         F.when(F.col("n_chars") % 3 == 0, F.concat(tag, body, end))
         .when(F.col("n_chars") % 3 == 1, F.concat(tag, F.lit("{broken"), end, F.lit("<SCRIPT id='b' type='application/ld+json'>"), body, end))
-        .otherwise(F.concat(tag, F.lit("["), other, F.lit(","), body, F.lit("]"), end))
+        .otherwise(F.concat(commented, tag, F.lit('["x",7,[],'), other, F.lit(","), body, F.lit("]"), end))
     )
     link = F.concat(F.lit("https://news.example.com/"), F.col("doc_id").cast("string"))
     wrapped = docs.select(

@@ -88,10 +88,7 @@ def filter_year_typed(spark, sf_dir):
     return S.filter_year(I.table(spark, sf_dir, "orders"), "o_orderdate", (1994, 1996)).select("o_orderkey")
 
 
-def _sql_split(d: str) -> str:
-    return f"""CASE WHEN {d} BETWEEN DATE '2011-12-01' AND DATE '2023-12-31' THEN 'train'
-      WHEN {d} BETWEEN DATE '2024-01-01' AND DATE '2024-04-14' THEN 'val'
-      WHEN {d} BETWEEN DATE '2024-04-15' AND DATE '2025-04-14' THEN 'test' ELSE 'exclude' END"""
+_sql_split = P.split_case
 
 
 def _labelled(spark, sf_dir):
@@ -268,11 +265,11 @@ def head_tail(spark, sf_dir):
 
 @query(
     "scan_limit",
-    P.with_items("SELECT item_id, link FROM (SELECT * FROM search_items ORDER BY item_id LIMIT 10000) WHERE trim(link) <> ''"),
+    P.with_items("SELECT item_id, link FROM (SELECT * FROM search_items ORDER BY item_id LIMIT 100) WHERE trim(link) <> ''"),
 )
 def scan_limit(spark, sf_dir):
     items = I.search_items(spark, sf_dir).withColumn("l", F.trim("link"))
-    return O.scan_limit(items, "item_id", column="l").select("item_id", "link")
+    return O.scan_limit(items, "item_id", 100, column="l").select("item_id", "link")
 
 
 # ---- set operations ----------------------------------------------------------
@@ -280,15 +277,15 @@ def scan_limit(spark, sf_dir):
 
 @query(
     "union_tickers",
-    P.with_prices("SELECT ticker, datetime, close FROM prices"),
+    P.with_prices(
+        "SELECT ticker, datetime, close, CAST(NULL AS DOUBLE) AS high FROM prices "
+        "UNION ALL SELECT ticker, datetime, NULL, high FROM prices"
+    ),
 )
 def union_tickers(spark, sf_dir):
-    prices = I.prices(spark, sf_dir).select("ticker", "datetime", "close")
-    frames = [
-        S.filter_ticker(prices, t)
-        for t in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-    ]
-    return union_tables(*frames)
+    """Frames with different columns, stacked by name."""
+    prices = I.prices(spark, sf_dir)
+    return union_tables(prices.select("ticker", "datetime", "close"), prices.select("high", "datetime", "ticker"))
 
 
 # ---- aggregates --------------------------------------------------------------
@@ -357,17 +354,15 @@ def mean_word_count(spark, sf_dir):
 @query(
     "daily_text_concat",
     P.with_articles(
-        """SELECT date, part, string_agg(content, ' ' ORDER BY doc_id) AS content FROM (
-          SELECT *, CAST(floor(coalesce(sum(length(content) + 1) OVER (PARTITION BY date ORDER BY doc_id // 64
-              RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2000) AS BIGINT) AS part
-          FROM (SELECT doc_id, try_cast(date AS DATE) AS date, content FROM articles)
-          WHERE date IS NOT NULL AND content IS NOT NULL) GROUP BY date, part"""
+        """SELECT date, CAST(row_number() OVER (PARTITION BY date ORDER BY doc_id) - 1 AS BIGINT) AS seq, content
+        FROM (SELECT doc_id, try_cast(date AS DATE) AS date, content FROM articles)
+        WHERE date IS NOT NULL AND content IS NOT NULL"""
     ),
 )
 def daily_text_concat(spark, sf_dir):
-    # small buckets and parts, so that the test data has days of several parts
+    # small buckets, so that the test data has days of several
     dated = I.articles(spark, sf_dir).withColumn("date", coerce_date(F.col("date")))
-    return A.daily_text(dated, text="content", max_chars=2_000, bucket=F.floor(F.col("doc_id") / 64))
+    return A.daily_text(dated, text="content", bucket=F.floor(F.col("doc_id") / 64))
 
 
 @query(

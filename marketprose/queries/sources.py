@@ -35,9 +35,7 @@ def read_table_csv(spark, sf_dir):
 @query(
     "write_table",
     P.with_articles(
-        """SELECT doc_id, content, CASE WHEN try_cast(date AS DATE) <= DATE '2011-11-30' OR try_cast(date AS DATE) > DATE '2025-04-14'
-        OR try_cast(date AS DATE) IS NULL THEN 'exclude' WHEN try_cast(date AS DATE) <= DATE '2023-12-31' THEN 'train'
-        WHEN try_cast(date AS DATE) <= DATE '2024-04-14' THEN 'val' ELSE 'test' END AS split FROM articles"""
+        f"SELECT doc_id, content, {P.split_case('try_cast(date AS DATE)')} AS split FROM articles"
     ),
 )
 def write_table(spark, sf_dir):
@@ -110,10 +108,8 @@ def jsonld_fallbacks(spark, sf_dir):
 
 @query("clean_author", f"SELECT doc_id, {_AUTHOR} AS author FROM documents")
 def clean_author(spark, sf_dir):
-    """Authors as they stand in the page's JSON; there a plain string is quoted."""
-    raw = F.expr(I.AUTHOR_JSON)
-    field = F.from_json(F.concat(F.lit('{"author":'), F.coalesce(raw, F.lit("null")), F.lit("}")), "author string")["author"]
-    return I.table(spark, sf_dir, "documents").select("doc_id", PG.clean_author(field).alias("author"))
+    """Authors as they stand in the page's JSON."""
+    return I.table(spark, sf_dir, "documents").select("doc_id", PG.clean_author(F.expr(I.AUTHOR_JSON)).alias("author"))
 
 
 @query(

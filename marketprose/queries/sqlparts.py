@@ -131,3 +131,23 @@ def with_items(rest: str) -> str:
 def with_factors(rest: str) -> str:
     weights = "list_transform(embedding[1:8], lambda x: abs(CAST(x AS DOUBLE)))"
     return f"WITH factors AS ({I.FACTORS.format(weights=weights)})\n{rest}"
+
+
+def split_case(day: str) -> str:
+    """Name of the date range a day falls in."""
+    cases = " ".join(f"WHEN {day} BETWEEN DATE '{start}' AND DATE '{end}' THEN '{name}'" for name, start, end in W.SPLIT_RANGES)
+    return f"CASE {cases} ELSE 'exclude' END"
+
+
+def kept_words(text: str) -> str:
+    """Words with a kept part of speech: addresses, numbers with separators, abbreviations, words with apostrophes."""
+    blank = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}"
+    kinds = [
+        rf"(?:https?://|www\.)[^{blank}]*[^{blank}.,!?;:)\x{{22}}\x{{27}}]",
+        r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        r"\p{N}+(?:[.,]\p{N}+)+",
+        r"(?:\p{L}\.)(?:\p{L}\.)+",
+        r"[\p{L}\p{N}_]+(?:[\x{27}’][\p{L}\p{N}_]+)*",
+    ]
+    found = f"regexp_extract_all({text}, '{'|'.join(kinds)}')"
+    return f"array_to_string(list_filter({found}, lambda w: {pos('lower(w)')} IN {words(W.KEPT_POS)}), ' ')"

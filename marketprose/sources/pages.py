@@ -6,46 +6,64 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marketprose.functions.text import bind, strip_text, to_text
+from marketprose.functions.text import strip_text, to_text
 from marketprose.operators.lookups import link_pages
-from marketprose.sources import schemas
 
-SCRIPT = r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
+# a comment, a JSON-LD script (its text is the group), or another script, whichever comes first
+SCRIPT = (
+    r"(?is)<!--.*?-->|<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
+    r"|<script\b[^>]*>.*?</script\s*>"
+)
+# the signs of JSON text that matter to its nesting: a string, a brace or bracket, anything between
+JSON_SIGNS = r'"(?:[^"\\]|\\.)*"|[\[\]{}]|[^"\[\]{}]+'
 ARTICLE_TYPES = ("NewsArticle", "Article")
 
 
 def json_ld_blocks(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(1))
+    """The texts of the JSON-LD scripts that are not commented out."""
+    return F.filter(F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(1)), lambda b: b != "")
 
 
 def first_article(html: Column, types: Sequence[str] = ARTICLE_TYPES) -> Column:
-    """The first item of an article type in the page's JSON-LD blocks; broken blocks are skipped."""
-    items = F.transform(json_ld_blocks(html), lambda b: F.from_json(b, schemas.JSON_LD))
-    readable = F.flatten(F.filter(items, lambda i: i.isNotNull()))
-    return F.get(F.filter(readable, lambda i: i["@type"].isin(list(types))), 0)
+    """The first object of an article type in the page's JSON-LD blocks, as a variant.
+
+    Blocks that cannot be read are skipped, and so are items of a list that are no objects.
+    """
+
+    def items(block: Column) -> Column:
+        value = F.try_parse_json(block)
+        return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
+
+    found = F.flatten(F.transform(json_ld_blocks(html), items))
+    return F.get(F.filter(found, lambda i: F.try_variant_get(i, "$['@type']", "string").isin(list(types))), 0)
 
 
-def clean_author(author: Column, depth: int = 3) -> Column:
-    """Author names from text, an object with a name, or a list of either; names joined by a comma.
+def clean_author(author: Column) -> Column:
+    """Author names from the JSON text of a string, an object with a name, or a list of those, however deep.
 
-    ``author`` is text or the JSON text of an object or list. Lists may nest ``depth`` deep.
+    Names are joined by a comma; other values give none.
     """
+    signs = F.regexp_extract_all(author, F.lit(JSON_SIGNS), F.lit(0))
+    start = F.expr("named_struct('depth', 0, 'text', '', 'items', cast(array() AS array<string>))")
 
-    def name(value: Column) -> Column:
-        as_object = F.get_json_object(value, "$.name")
-        return F.when(value.startswith("{"), F.coalesce(as_object, F.lit(""))).otherwise(value)
-
-    def one(value: Column, left: int) -> Column:
-        single = strip_text(name(value))
-        if left == 0:
-            return single
-        parts = F.from_json(value, "array<string>")
-        listed = lambda p: F.array_join(
-            F.filter(F.transform(p, lambda v: one(v, left - 1)), lambda n: n != ""), ", "
-        )
-        return F.when(value.startswith("[") & parts.isNotNull(), bind(parts, listed)).otherwise(single)
+    def step(now: Column, sign: Column) -> Column:
+        # strings and objects outside of other objects are items; the brackets around them do not matter
+        text = F.when(now["depth"] == 0, F.lit("")).otherwise(now["text"])
+        text = F.when((now["depth"] > 0) | (sign == "{"), F.concat(text, sign)).otherwise(text)
+        depth = now["depth"] + F.when(sign == "{", 1).when(sign == "}", -1).otherwise(0)
+        item = F.when((now["depth"] == 1) & (depth == 0), text).when((now["depth"] == 0) & sign.startswith('"'), sign)
+        items = F.when(item.isNotNull(), F.concat(now["items"], F.array(item))).otherwise(now["items"])
+        return F.struct(depth.alias("depth"), text.alias("text"), items.alias("items"))
+
+    def name(item: Column) -> Column:
+        value = F.try_parse_json(item)
+        held = F.when(item.startswith("{"), F.try_variant_get(value, "$.name", "variant")).otherwise(value)
+        # only strings are names
+        return F.when(F.to_json(held).startswith('"'), strip_text(F.try_variant_get(held, "$", "string")))
 
-    return one(F.coalesce(author, F.lit("")), depth)
+    found = F.aggregate(signs, start, step)["items"]
+    names = F.filter(F.transform(found, name), lambda n: n != "")
+    return F.coalesce(F.array_join(names, ", "), F.lit(""))
 
 
 def first_text(*columns: Column) -> Column:
@@ -62,7 +80,11 @@ def article_pages_to_records(pages: DataFrame, links: DataFrame | None = None, *
     found = (
         pages.select("link", F.explode(F.array(first_article(F.col("html")))).alias("a"))
         .filter(F.col("a").isNotNull())
-        .select("link", "a.headline", "a.datePublished", "a.author", "a.articleBody")
+        .select(
+            "link",
+            *[F.try_variant_get("a", f"$.{c}", "string").alias(c) for c in ("headline", "datePublished", "articleBody")],
+            F.to_json(F.try_variant_get("a", "$.author", "variant")).alias("author"),
+        )
     )
     if links is not None:
         table = links.select("link", F.col("title").alias("_title"), F.col("date").cast("string").alias("_date"))

@@ -14,7 +14,7 @@ POSTS_CLEAN = "text string, clean string"
 POSTS_TOPICS = "text string, clean string, topic_id int, topic_score double"
 TOPIC_TERMS = "topic int, term string, weight double"
 TOPIC_SUMMARY = "topic int, top_terms string"
-SPLITS = "date date, part bigint, clean_text string, split string"
+SPLITS = "date date, seq bigint, clean_text string, split string"
 
 CHART = """
 struct<chart: struct<result: array<struct<
@@ -27,7 +27,3 @@ SEARCH_PAGE = """
 struct<metadata: struct<total: bigint>,
   items: array<struct<feedname: string, link: string, title: string, pubdate: string>>>
 """
-# author is text, an object or a list; as a string field it keeps the JSON text of the latter two
-JSON_LD = """
-array<struct<`@type`: string, headline: string, datePublished: string, author: string, articleBody: string>>
-"""

@@ -23,7 +23,9 @@ def script(payload, tag='<script type="application/ld+json">'):
     [
         (None, ""), ("", ""), (" Ann ", "Ann"), ({"name": " Ann "}, "Ann"), ({"name": None}, ""), ({"x": 1}, ""),
         (["Ann", {"name": "Bo"}, {"name": " "}, "", ["Cy", {"name": "Di"}]], "Ann, Bo, Cy, Di"), ([], ""),
-        ("[not json", "[not json"), ("{odd", ""),
+        ("[not json", "[not json"), ("{odd", "{odd"), ("{braces} Jr", "{braces} Jr"), ([[[[["deep"]]]]], "deep"),
+        (["a", 5, True, None, "z"], "a, z"), ({"name": ["x"]}, ""), ([{"x": {"name": "no"}, "name": "Z"}], "Z"), (7, ""),
+        ('say "hi" \\ ]', 'say "hi" \\ ]'),
     ],
 )
 def test_clean_author(spark, author, name):

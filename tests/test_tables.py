@@ -75,7 +75,7 @@ def test_histogram_edges(spark):
     assert A.histogram(spark.createDataFrame([(0,), (100,), (None,)], "x int"), "x", 4).agg(F.sum("freq")).first()[0] == 2
 
 
-def test_daily_text_parts_keep_order_and_everything(spark):
+def test_daily_text_pieces_keep_order_and_everything(spark):
     rng = random.Random(3)
     rows = [(i, "2020-01-01" if rng.random() < 0.6 else f"2020-01-{rng.randint(2, 4):02d}", f"w{i} " + "x" * rng.randint(0, 30)) for i in range(9000)]
     rows += [(9001, None, "lost"), (9002, "2020-01-02", None)]
@@ -83,23 +83,13 @@ def test_daily_text_parts_keep_order_and_everything(spark):
     want = defaultdict(list)
     for i, d, t in rows[:9000]:
         want[d].append(t)
-    whole = {str(r["date"]): r for r in A.daily_text(df).collect()}
-    assert {d: r["clean_text"] for d, r in whole.items()} == {d: " ".join(ts) for d, ts in want.items()}
-    assert {r["part"] for r in whole.values()} == {0}
-    parts = defaultdict(list)
-    fine = F.floor(F.col("doc_id") / 16)
-    for r in A.daily_text(df, max_chars=2000, bucket=fine).orderBy("date", "part").collect():
-        assert len(r["clean_text"]) < 2000 + 16 * 40
-        parts[str(r["date"])].append(r["clean_text"])
-    assert {d: " ".join(p) for d, p in parts.items()} == {d: " ".join(ts) for d, ts in want.items()}
-    assert len(parts["2020-01-01"]) > 50
     named = df.withColumn("doc_id", F.format_string("https://news.example.com/%06d", "doc_id"))
-    by_name = {str(r["date"]): r["clean_text"] for r in A.daily_text(named).collect()}
-    assert by_name == {d: " ".join(ts) for d, ts in want.items()}
-    pieces = defaultdict(list)
-    for r in A.daily_text(named, max_chars=2000, max_bytes=0).orderBy("date", "part").collect():
-        pieces[str(r["date"])].append(r["clean_text"])
-    assert {d: " ".join(p) for d, p in pieces.items()} == {d: " ".join(ts) for d, ts in want.items()}
+    for days in (A.daily_text(df), A.daily_text(df, bucket=F.floor(F.col("doc_id") / 16)), A.daily_text(named)):
+        got = defaultdict(dict)
+        for r in days.collect():
+            got[str(r["date"])][r["seq"]] = r["clean_text"]
+        assert {d: [t for _, t in sorted(pieces.items())] for d, pieces in got.items()} == want
+        assert all(sorted(pieces) == list(range(len(pieces))) for pieces in got.values())
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])

@@ -185,3 +185,5 @@ def test_keep_pos(spark):
     assert values(spark, ["tesla quickly builds the amazing car and she", None], C.keep_pos) == [
         "tesla builds amazing car she", None,
     ]
+    marks = 'The , cars . - ... the, (of) "and" fast; U.S. 3.5'
+    assert values(spark, [marks, "", " , . "], C.keep_pos) == ["cars fast U.S.", "", ""]
