@@ -74,8 +74,8 @@ def article_topics(spark, sf_dir):
 
 @query("post_topics")
 def post_topics(spark, sf_dir):
-    """From raw posts to topic ids, ten iterations."""
-    return PP.post_topics(I.posts(spark, sf_dir), "post_id", max_iter=10).posts.select("post_id", "topic_id", "topic_score")
+    """From raw posts to topic ids."""
+    return PP.post_topics(I.posts(spark, sf_dir), "post_id").posts.select("post_id", "topic_id", "topic_score")
 
 
 @query(

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_PATHS: dict[str, list[str]] = {}  # what each application has written to the shared folder
+
 
 def build_session(app: str = "marketprose", **conf: str) -> SparkSession:
     """A session with the settings this package assumes; ``conf`` overrides any of them."""
@@ -36,32 +44,73 @@ def build_session(app: str = "marketprose", **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local session may fall back to a folder of its own.
+    Only a local session may go without; it gets a folder of its own below the warehouse, for as long as it runs.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="marketprose-")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+    folder = os.path.join(warehouse, f"_scratch-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path nobody has used yet, in the shared folder."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str = "table", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """The same rows read back from a table in the shared folder.
 
-    Cuts the lineage, survives lost executors, and gives later joins a known size.
+    Cuts the lineage, survives lost executors, and gives later joins a known size. The table stays until it is
+    discarded, or until its ``scratch`` block or ``clear_scratch`` ends it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for table in tables:
+        path = getattr(table, "_scratch_path", None)
+        if path:
+            _delete(table.sparkSession, [path])
+            _PATHS[table.sparkSession.sparkContext.applicationId].remove(path)
+
+
+def clear_scratch(spark: SparkSession, keep: int = 0) -> None:
+    """Delete everything written to the shared folder by this session, but the ``keep`` oldest."""
+    paths = _PATHS.get(spark.sparkContext.applicationId, [])
+    _delete(spark, paths[keep:])
+    del paths[keep:]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written inside the block is deleted at its end; results must be stored elsewhere by then."""
+    before = len(_PATHS.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        clear_scratch(spark, before)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -71,3 +120,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per Spark context, where the cluster has not installed it."""
+    context = spark.sparkContext
+    if getattr(context, "_marketprose_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="marketprose-py-")) / "marketprose.zip"  # the driver serves it to executors
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._marketprose_shipped = True

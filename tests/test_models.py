@@ -166,15 +166,65 @@ def test_topic_tables(spark):
     assert tuple(wide) == ("x", 0.2, 0.8, "topic_1", 0.8)
 
 
+def dense_lda(x, start, steps, prior):
+    """Batch variational Bayes on a dense matrix, documents without words left out."""
+    lam = start.copy()
+    for step in range(steps + 1):
+        beta = np.exp(LD.digamma(lam) - LD.digamma(lam.sum(0)))
+        gammas, stats = np.zeros((len(x), lam.shape[1])), np.zeros_like(lam)
+        for d, row in enumerate(x):
+            gamma = np.ones(lam.shape[1])
+            for _ in range(LD.INNER_ROUNDS):
+                before = gamma
+                theta = np.exp(LD.digamma(gamma) - LD.digamma(gamma.sum()))
+                gamma = prior + theta * ((row / (beta @ theta + 1e-100)) @ beta)
+                if np.abs(gamma - before).mean() < LD.INNER_TOL:
+                    break
+            theta = np.exp(LD.digamma(gamma) - LD.digamma(gamma.sum()))
+            stats += beta * np.outer(row / (beta @ theta + 1e-100), theta)
+            gammas[d] = gamma / gamma.sum()
+        if step == steps:
+            return lam, gammas
+        lam = prior + stats
+
+
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_lda_matches_dense_updates(docs, limit):
+    counts, _ = V.count_matrix(docs, "clean", "id", min_df=2)
+    counts = counts.cache()
+    cells = LD.Cells(counts, "id", "term", "tf", limit)
+    fit = LD.Topics(cells, 3, 42)
+    start = {r["term"]: r["weights"] for r in cells.named(fit.rows).collect()}
+    names = sorted(start)
+    ids = sorted(r["id"] for r in counts.select("id").distinct().collect())
+    x = np.zeros((len(ids), len(names)))
+    for r in counts.collect():
+        x[ids.index(r["id"]), names.index(r["term"])] = r["tf"]
+    lam, gammas = dense_lda(x, np.array([start[t] for t in names]), 4, 1 / 3)
+    for _ in range(4):
+        fit.step()
+    got = {r["term"]: r["weights"] for r in cells.named(fit.rows).collect()}
+    np.testing.assert_allclose([got[t] for t in names], lam, atol=1e-6)
+    mixed = {r["id"]: r["weights"] for r in fit.documents().collect()}
+    np.testing.assert_allclose([mixed[i] for i in ids], gammas, atol=1e-6)
+
+
+def test_digamma():
+    x = np.array([0.01, 0.5, 1.0, 3.0, 50.0])
+    np.testing.assert_allclose(LD.digamma(x), [-100.5608854579, -1.9635100260, -0.5772156649, 0.9227843351, 3.9019896735], atol=1e-9)
+
+
 def test_lda_rows_are_distributions_and_repeat(docs):
-    fit = LD.fit_lda(docs, "clean", "id", topics=3, max_iter=8, min_df=2)
+    empty = docs.union(docs.limit(1).select(*[F.lit(None).alias(c) if c != "id" else F.lit(-1).alias("id") for c in docs.columns]))
+    fit = LD.fit_lda(empty, "clean", "id", topics=3, max_iter=8, min_df=2)
     rows = {r["id"]: np.array(r["weights"]) for r in fit.doc_topics.collect()}
-    assert all(abs(w.sum() - 1) < 1e-9 and w.min() >= 0 for w in rows.values() if w.any())
-    again = LD.fit_lda(docs, "clean", "id", topics=3, max_iter=8, min_df=2)
+    assert len(rows) == empty.count() and all(abs(w.sum() - 1) < 1e-9 and w.min() >= 0 for w in rows.values())
+    np.testing.assert_allclose(rows[-1], [1 / 3] * 3)
+    again = LD.fit_lda(empty, "clean", "id", topics=3, max_iter=8, min_df=2)
     for r in again.doc_topics.collect():
         np.testing.assert_allclose(r["weights"], rows[r["id"]], rtol=1e-6)
     with pytest.raises(ValueError):
-        LD.fit_lda(docs, "clean", "id", max_terms=2, min_df=2)
+        LD.fit_lda(docs, "clean", "id", min_df=1000)
 
 
 # ---- sentiment -----------------------------------------------------------------
