@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketprose.llm import bpe, jaccard, mixing, quality
-from marketprose.llm.common import remainder, ship
+from marketprose.llm.common import remainder
 from marketprose.llm.queries import KEEP_FROM, three_weights
 from marketprose.operators.lookups import keyed_join
-from marketprose.session import written
+from marketprose.session import ship, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENS = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import os
 import posixpath
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -27,7 +24,7 @@ class Hashes(dict):
     """64-bit hash of a word, remembered for the words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= CACHE_ENTRIES // 4:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -36,6 +33,10 @@ class Hashes(dict):
 _HASHES = Hashes()
 
 
+def forget_hashes() -> None:
+    _HASHES.clear()
+
+
 def words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased: what bytes.lower and bytes.split do."""
     return text.encode().lower().split()
@@ -115,6 +116,14 @@ def walked(df: DataFrame, *order: str) -> DataFrame:
     return df.repartition("bucket").sortWithinPartitions("bucket", "lead", *order)
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt out by a key to as many tasks as the session shuffles to, however few bytes they have.
+
+    For rows that stand for much work; adaptive execution would merge them into few tasks by their size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def frames(batches: Iterable[pd.DataFrame], key: str = "bucket") -> Iterator[tuple[object, pd.DataFrame]]:
     """Batches of rows sorted by ``key``, cut where the key changes."""
     for batch in batches:
@@ -168,8 +177,8 @@ def chunks(text: str) -> list[str]:
 class Encoded(dict):
     """Chunk to result, computed when first seen; keeps what was used lately and bounds memory."""
 
-    def __init__(self, compute: Callable[[str], bytes]):
-        self.compute, self.older = compute, {}
+    def __init__(self, compute: Callable[[str], bytes], entries: int = CACHE_ENTRIES // 2):
+        self.compute, self.entries, self.older = compute, entries, {}
 
     def __missing__(self, chunk: str) -> bytes:
         value = self.older.get(chunk)
@@ -177,22 +186,11 @@ class Encoded(dict):
             value = self.compute(chunk)
             if len(chunk) > 256:  # long ones hardly come again
                 return value
-        if len(self) >= CACHE_ENTRIES // 2:
+        return self.keep(chunk, value)
+
+    def keep(self, chunk: str, value: bytes) -> bytes:
+        if len(self) >= self.entries:
             self.older = dict(self)
             self.clear()
         self[chunk] = value
         return value
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the workers this package, once per Spark context, where the cluster has not installed it."""
-    context = spark.sparkContext
-    if getattr(context, "_marketprose_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="marketprose-py-")) / "marketprose.zip"  # the driver serves it to executors
-    with zipfile.ZipFile(archive, "w") as out:
-        for source in sorted(root.rglob("*.py")):
-            out.write(source, source.relative_to(root.parent))
-    context.addPyFile(str(archive))
-    context._marketprose_shipped = True

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketprose.llm import bpe, html, jaccard, lm, mixing, neighbours, quality, sketch, warc, wavelet
-from marketprose.llm.common import remainder, ship
+from marketprose.llm.common import remainder
+from marketprose.session import ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,21 +87,15 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents from the wavelet-matrix files: start, number of ids, crc32 of the ids."""
     files = wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-
-    @F.pandas_udf("bigint")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(zlib.crc32)
-
-    read = wavelet.read_shards(files)
-    return read.select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    return wavelet.read_shards(files, ids=False).drop("ids")
 
 
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through ARC files and the converter to WARC files, read back."""
     files = warc.arc_to_warc(warc.write_arc(table(spark, sf_dir, "pages")))
-    records = warc.with_targets(warc.read_warc(files).drop("payload"))
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = written(warc.read_warc(files).drop("payload"), "warc-records")
+    return warc.with_targets(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL["op9_warc"] = """

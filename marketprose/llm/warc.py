@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from marketprose.llm.common import filesystem, new_folder, put_file
+from marketprose.llm.common import dealt, filesystem, new_folder, put_file
 from marketprose.session import written
 
 #: Fixed values of the two formats.
@@ -44,23 +44,24 @@ def arc_header(version: int, **fields: object) -> bytes:
 
 
 def arc_file(version: int, name: str, date: str, records: list[tuple[str, str, bytes]]) -> bytes:
-    """An ARC file of (url, content type, network document) records."""
+    """An ARC file of (url, content type, network document) records, each a gzip member."""
     block = f"{version} 0 marketprose\n{ARC_TITLES[version]}\n\n".encode()
     fields = {"ip": "0.0.0.0", "date": date, "filename": name, "result": 200}
-    out = [arc_header(version, **fields, url=f"filedesc://{name}", content_type="text/plain", length=len(block)), block]
-    size = sum(map(len, out))
+    first = arc_header(version, **fields, url=f"filedesc://{name}", content_type="text/plain", length=len(block)) + block
+    out, size = [first], len(first)
     for url, kind, body in records:
         checksum = hashlib.md5(body).hexdigest()  # what version 2 files of the time carry
         head = arc_header(version, **fields, url=url, content_type=kind, length=len(body), checksum=checksum, offset=size)
-        out += [head, body, b"\n"]
-        size += len(head) + len(body) + 1
-    return b"".join(out)
+        out.append(head + body + b"\n")
+        size += len(out[-1])
+    return b"".join(gzip.compress(record, compresslevel=6, mtime=0) for record in out)
 
 
 def arc_records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """Offset, header fields and body of each record, the version block first.
 
-    The version decides which fields a line has; a url with blanks takes what is left of it. Gzip members are opened.
+    The version decides which fields a line has; a url with blanks takes what is left of it. Gzip members are opened;
+    offsets count opened bytes.
     Raises ValueError when a header or a declared length does not fit the file.
     """
     if content[:2] == b"\x1f\x8b":
@@ -208,7 +209,7 @@ def write_arc(
 
         def close() -> pd.DataFrame:
             nonlocal held, part, size
-            name = f"{task:06d}-{part:05d}.arc"
+            name = f"{task:06d}-{part:05d}.arc.gz"
             put_file(f"{folder}/{name}", arc_file(1 + (task + part) % 2, name, date, held))
             held, part, size = [], part + 1, 0
             return pd.DataFrame({"path": [f"{folder}/{name}"]})
@@ -244,7 +245,7 @@ def arc_index(files: DataFrame) -> DataFrame:
                 out = pd.DataFrame(found, columns=["path", "offset", "digest", "size", "key"])
                 yield out.assign(key=pd.to_numeric(out["key"]).astype("Int64"))
 
-    return files.repartition("path").mapInPandas(run, "path string, offset bigint, digest string, size bigint, key bigint")
+    return dealt(files, "path").mapInPandas(run, "path string, offset bigint, digest string, size bigint, key bigint")
 
 
 def arc_to_warc(files: DataFrame, folder: str | None = None, least_bytes: int = 100) -> DataFrame:
@@ -280,7 +281,7 @@ def arc_to_warc(files: DataFrame, folder: str | None = None, least_bytes: int =
         put_file(target, b"".join(parts))
         return pd.DataFrame({"path": [target]})
 
-    return written(plan.groupBy("path").applyInPandas(convert, "path string"), "warc-files")
+    return written(dealt(plan, "path").groupBy("path").applyInPandas(convert, "path string"), "warc-files")
 
 
 def read_warc(files: DataFrame) -> DataFrame:
@@ -315,11 +316,14 @@ def read_warc(files: DataFrame) -> DataFrame:
         "record_id string, record_type string, date string, url string, page_id bigint, payload_bytes bigint, "
         "payload_digest string, refers_to_id string, payload binary"
     )
-    return files.repartition("path").mapInPandas(run, schema)
+    return dealt(files, "path").mapInPandas(run, schema)
 
 
 def with_targets(records: DataFrame) -> DataFrame:
-    """Records with ``refers_to``: the page of the record that a revisit refers to, null for all others."""
+    """Records with ``refers_to``: the page of the record that a revisit refers to, null for all others.
+
+    Reads the records twice; pass a written table.
+    """
     targets = records.filter("record_type != 'revisit'").select(
         F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")
     )
