@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -110,20 +109,6 @@ def rule_flag(
     return F.when(text.isNotNull(), X.bind(lowered, hits))
 
 
-def rule_flag_table(text: Column, rules: DataFrame, max_rules: int = 10_000) -> Column:
-    """``rule_flag`` for rules kept as a table (rule_pos, label, keyword); the first match by position.
-
-    The rules become one constant array, so texts are neither shuffled nor multiplied; a table with
-    more than ``max_rules`` rows is refused.
-    """
-    rows = rules.select("rule_pos", "label", "keyword").orderBy("rule_pos", "keyword").limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"more than {max_rules} rules")
-    packed = json.dumps([{"label": r["label"], "keyword": r["keyword"].lower()} for r in rows])
-    table = F.from_json(F.lit(packed), "array<struct<label: string, keyword: string>>")
-    return X.bind(F.lower(text), lambda low: F.get(F.filter(table, lambda r: low.contains(r["keyword"])), 0)["label"])
-
-
 def split_label(date: Column, ranges: Sequence[tuple[str, str, str]] = W.SPLIT_RANGES, other: str = "exclude") -> Column:
     """Name of the closed date range the day falls in."""
     out = F.lit(other)

@@ -9,6 +9,7 @@ from marketprose.functions.dates import coerce_date
 from marketprose.functions.text import split_tokens, to_text
 from marketprose.operators import aggregates as A
 from marketprose.operators import clean as C
+from marketprose.operators import lookups as J
 from marketprose.operators import ordering as O
 from marketprose.operators import select as S
 from marketprose.operators import windows as N
@@ -130,11 +131,9 @@ def rule_flag(spark, sf_dir):
 
 @query(
     "rule_flag_table",
-    P.with_articles(
-        """, hits AS (SELECT doc_id, item_id FROM articles JOIN benchmark b ON contains(lower(content), lower(b.text)))
-        SELECT a.doc_id, concat('item ', CAST(h.item_id AS VARCHAR)) AS flag_case
-        FROM articles a LEFT JOIN (SELECT doc_id, min(item_id) AS item_id FROM hits GROUP BY doc_id) h ON a.doc_id = h.doc_id"""
-    ).replace(")\n, hits", "), hits").replace("concat('item ', CAST(h.item_id AS VARCHAR))", "'item ' || CAST(h.item_id AS VARCHAR)"),
+    f"""WITH articles AS ({I.ARTICLES}),
+    hits AS (SELECT doc_id, min(item_id) AS item_id FROM articles JOIN benchmark b ON contains(lower(content), lower(b.text)) GROUP BY doc_id)
+    SELECT a.doc_id, 'item ' || CAST(h.item_id AS VARCHAR) AS flag_case FROM articles a LEFT JOIN hits h ON a.doc_id = h.doc_id""",
 )
 def rule_flag_table(spark, sf_dir):
     """Rules kept as a table: each benchmark text is a keyword, its item the label."""
@@ -142,7 +141,7 @@ def rule_flag_table(spark, sf_dir):
     rules = items.select(
         F.col("item_id").alias("rule_pos"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("label"), F.col("text").alias("keyword")
     )
-    return I.articles(spark, sf_dir).select("doc_id", S.rule_flag_table(F.col("content"), rules).alias("flag_case"))
+    return J.rule_flag_table(I.articles(spark, sf_dir), "doc_id", "content", rules)
 
 
 @query(

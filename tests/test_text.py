@@ -7,6 +7,7 @@ from marketprose.functions import dates as D
 from marketprose.functions import lexical as L
 from marketprose.functions import text as X
 from marketprose.operators import clean as C
+from marketprose.operators import lookups as J
 from marketprose.operators import select as S
 from marketprose.operators import tokens as T
 from marketprose.operators import stopwords as SW
@@ -169,10 +170,19 @@ def test_rule_flag(spark):
     ]
     word = lambda t: S.rule_flag(t, match="word")
     assert values(spark, texts, word) == [None, "Tesla/Electric Car", "SpaceX/NASA", None, None, "Tesla/Electric Car"]
-    rules = spark.createDataFrame([(2, "late", "every"), (1, "first", "SEVEN")], "rule_pos int, label string, keyword string")
-    assert values(spark, texts[:1], lambda t: S.rule_flag_table(t, rules)) == ["first"]
-    with pytest.raises(ValueError):
-        S.rule_flag_table(F.lit("x"), rules, max_rules=1)
+
+
+def test_rule_flag_table(spark):
+    texts = [(0, "Every seventh"), (1, "nothing here"), (2, None), (3, ""), (4, "xx KEY-00042! key-777"), (5, "it\nspans"), (6, "ev"), (7, "Every seventh")]
+    df = spark.createDataFrame(texts, "id int, t string")
+    rules = [(2, "late", "every"), (1, "first", "SEVEN"), (9, "short", "ev"), (3, "lines", "it\nspans"), (4, None, None)]
+    rules += [(100 + k, f"r{k}", f"key-{k:05d}") for k in range(50_000)]
+    table = spark.createDataFrame(rules, "rule_pos int, label string, keyword string")
+    for limit in (1 << 26, 0):
+        got = {r["id"]: r["flag_case"] for r in J.rule_flag_table(df, "id", "t", table, max_bytes=limit).collect()}
+        assert got == {0: "first", 1: None, 2: None, 3: None, 4: "r42", 5: "lines", 6: "short", 7: "first"}
+    none = J.rule_flag_table(df, "id", "t", table.limit(0)).collect()
+    assert len(none) == len(texts) and all(r["flag_case"] is None for r in none)
 
 
 def test_split_borders(spark):
