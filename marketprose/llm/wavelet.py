@@ -22,7 +22,18 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from marketprose.llm.common import Encoded, chunks, filesystem, frames, new_folder, ordered_buckets, put_file, walked
+from marketprose.llm.common import (
+    CACHE_ENTRIES,
+    Encoded,
+    chunks,
+    dealt,
+    filesystem,
+    frames,
+    new_folder,
+    ordered_buckets,
+    put_file,
+    walked,
+)
 from marketprose.session import written
 
 MAGIC = b"WMX1"
@@ -39,19 +50,19 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         depth = max(1, int(ids.max(initial=0)).bit_length())
         planes, ones, zeros = [], [], []
-        level = ids.astype(np.uint32)
+        level = ids.astype(np.uint16 if depth <= 16 else np.uint32)
         blocks = len(ids) // (64 * BLOCK_WORDS) + 1
         for shift in range(depth - 1, -1, -1):
-            bits = (level >> np.uint32(shift)) & np.uint32(1) == 1
+            bits = (level & level.dtype.type(1 << shift)).astype(bool)
             packed = np.zeros(blocks * BLOCK_WORDS * 8, np.uint8)
             packed[: (len(ids) + 7) // 8] = np.packbits(bits, bitorder="little")
             plane = packed.view("<u8")
             counts = np.bitwise_count(plane).reshape(blocks, BLOCK_WORDS).sum(1, dtype=np.uint32)
             planes.append(plane)
             ones.append(np.concatenate([[0], np.cumsum(counts)]).astype("<u4"))
-            left = level[~bits]
+            left = np.compress(~bits, level)
             zeros.append(len(left))
-            level = np.concatenate([left, level[bits]])
+            level = np.concatenate([left, np.compress(bits, level)])
         return cls(len(ids), np.array(zeros, "<u8"), planes, ones)
 
     def _bit(self, k: int, at: np.ndarray) -> np.ndarray:
@@ -180,22 +191,87 @@ class Shard:
             start += n
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[str], bytes]:
-    """Text to packed ids; text is encoded chunk by chunk, each distinct chunk by the tokenizers library."""
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
+def byte_signs() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: printable ones for themselves, others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
+
 
-    def ids(text: str) -> bytes:
-        return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # no apostrophe, which may start a piece of its own
 
-    start, spaced = Encoded(ids), Encoded(lambda chunk: ids(" " + chunk))
 
-    def encode(text: str) -> bytes:
+class ChunkEncoder:
+    """Text to packed ids by the tokenizers library.
+
+    Text is encoded chunk by chunk and each distinct chunk once while it is remembered. Of a new chunk that is a word of
+    letters with marks behind it, the library's model gets word and marks, which are the pre-tokens; the other new
+    chunks of a text go to the library together, and the offsets of its tokens tell whose they are.
+    """
+
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
+        self.first = Encoded(lambda chunk: self._packed(self._encode(chunk).ids), 10_000)
+        self.marks = Encoded(lambda marks: self._packed([t.id for t in self.model.tokenize(marks)]), 10_000)
+        self.known = Encoded(lambda chunk: self._packed(self._encode(" " + chunk).ids), entries)
+        self.model = self.library.model
+        self.signs = byte_signs()
+
+    def _encode(self, text: str):
+        return self.library.encode(text, add_special_tokens=False)
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and a word of letters."""
+        found = self.known.get(word) or self.known.older.get(word)
+        if found is None:
+            signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+            found = self._packed([t.id for t in self.model.tokenize(self.signs[32] + signs)])
+        return found
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        values, rest = {}, []
+        for chunk in new:
+            word = chunk.rstrip(MARKS)
+            if not word.isalpha():
+                rest.append(chunk)
+            elif len(word) == len(chunk):
+                values[chunk] = self._word(word)
+            else:
+                values[chunk] = self._word(word) + self.marks[chunk[len(word) :]]
+        if rest:
+            encoding = self._encode(" " + " ".join(rest))
+            starts = np.cumsum([0, *(len(c) + 1 for c in rest[:-1])])
+            at = np.searchsorted([s for s, _ in encoding.offsets], starts)
+            ids = self._packed(encoding.ids)
+            bounds = [4 * int(i) for i in at] + [len(ids)]
+            values |= {c: ids[bounds[k] : bounds[k + 1]] for k, c in enumerate(rest)}
+        return values
+
+    def __call__(self, text: str) -> bytes:
         first, *rest = chunks(text)
-        return start[first] + b"".join(map(spaced.__getitem__, rest))
+        known, older = self.known, self.known.older
+        found = list(map(known.get, rest))
+        if None in found:
+            wanted = dict.fromkeys(c for c, f in zip(rest, found, strict=True) if f is None)
+            values = {c: older[c] for c in wanted if c in older}
+            if len(values) < len(wanted):
+                values |= self._learn([c for c in wanted if c not in values])
+            found = [values[c] if f is None else f for c, f in zip(rest, found, strict=True)]
+            for chunk, value in values.items():
+                if len(chunk) <= 256:  # long ones hardly come again
+                    known.keep(chunk, value)
+        return self.first[first] + b"".join(found)
+
 
-    return encode
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Callable[[str], bytes]:
+    """One encoder per worker and tokenizer file."""
+    return ChunkEncoder(path)
 
 
 def write_shards(
@@ -251,8 +327,11 @@ def write_shards(
     return written(listed, "wavelet-files")
 
 
-def read_shards(files: DataFrame) -> DataFrame:
-    """Per document of the listed files: doc_id, start (ids of all documents before it), n_tokens, ids (packed)."""
+def read_shards(files: DataFrame, ids: bool = True) -> DataFrame:
+    """Per document of the listed files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids (packed).
+
+    Without ``ids`` that column is null; the crc32 is always taken from the ids that were read.
+    """
     per_bucket = files.groupBy("bucket").agg(F.sum("tokens").alias("n"))  # at most 10,000 rows
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -265,9 +344,11 @@ def read_shards(files: DataFrame) -> DataFrame:
                 store, local = filesystem(path)
                 with store.open_input_file(local) as source:
                     shard = Shard(source.read())
-                found = [(d, base + start, len(ids), ids.astype("<u4").tobytes()) for d, start, ids in shard.documents()]
-                out = pd.DataFrame(found, columns=["doc_id", "start", "n_tokens", "ids"])
+                found = []
+                for doc, start, tokens in shard.documents():
+                    packed = tokens.astype("<u4").tobytes()
+                    found.append((doc, base + start, len(tokens), zlib.crc32(packed), packed if ids else None))
+                out = pd.DataFrame(found, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
                 yield out.astype({"doc_id": "Int64"})
 
-    dealt = based.select("path", "base").repartition("path")
-    return dealt.mapInPandas(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return dealt(based.select("path", "base"), "path").mapInPandas(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
