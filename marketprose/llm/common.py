@@ -159,8 +159,8 @@ def drop_folder(path: str) -> None:
         files.delete_dir(local)
 
 
-_SPACES = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-_PAIRS = [p for c in _SPACES for p in dict.fromkeys((" " + c, c + " "))]
+# white space other than the space itself
+_SPACES = [chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _LONE = regex.compile(r"(?<=\S) (?=\S)")
 
 
@@ -169,7 +169,8 @@ def chunks(text: str) -> list[str]:
 
     A byte-level pre-tokenizer always starts a piece at such a space, so a piece never spans two chunks.
     """
-    if text[:1] == " " or text[-1:] == " " or any(p in text for p in _PAIRS):
+    near = text[:1] == " " or text[-1:] == " " or "  " in text
+    if near or any(c in text and (" " + c in text or c + " " in text) for c in _SPACES):
         return _LONE.split(text)
     return text.split(" ")
 
