@@ -1,6 +1,6 @@
 """N-gram language model: counting, tries and scoring by one exchange between blocks of text and shards of the model.
 
-A block holds some million tokens of whole documents. It sends each shard the contexts and words that it needs from
+A block holds about half a million tokens of whole documents. It sends each shard the contexts and words that it needs from
 it, each once, with how often they occur in training documents. A shard adds up what all blocks sent, builds its
 trie (``trie``), and answers every block from the memory-mapped file. So counts are summed before they are moved, no
 task holds more than a block or a shard, and nothing of the model passes the driver but the counts of the
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketprose.llm import trie
-from marketprose.llm.common import filesystem, mixed, new_folder, put_file, word_hashes
+from marketprose.llm.common import filesystem, forget_hashes, mixed, new_folder, put_file, word_hashes
 from marketprose.session import written
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds white space
@@ -84,6 +84,7 @@ def text_blocks(docs: DataFrame, training: Column, key: str, text: str, block_to
                     yield close()
         if held:
             yield close()
+        forget_hashes()  # the worker lives on, the words do not come again
 
     return rows.mapInPandas(run, schema)
 
@@ -304,8 +305,8 @@ def score(
     key: str = "doc_id",
     text: str = "text",
     folder: str | None = None,
-    block_tokens: int = 1 << 22,
-    shard_tokens: int = 3_000_000,
+    block_tokens: int = 1 << 19,
+    shard_tokens: int = 1_000_000,
 ) -> DataFrame:
     """Learn from the rows where ``training`` is true and score all whole texts.
 

@@ -48,9 +48,10 @@ class EliasFano:
         """Bytes of a low part, low parts, and bits of the high parts: for each value of it a zero, then its ones."""
         n = len(values)
         largest = int(values[-1]) if n else 0
-        width = max(0, (largest // max(n, 1)).bit_length() // 8)
+        # whole bytes, and as many as leave about one high part per value or fewer
+        width = next(w for w in range(9) if largest >> (8 * w) <= 2 * n)
         low = values.astype("<u8").view(np.uint8).reshape(n, 8)[:, :width].copy()
-        high = (values >> np.uint64(8 * width)).astype(np.int64)
+        high = (values >> np.uint64(8 * width)).astype(np.int64) if width < 8 else np.zeros(n, np.int64)
         bits = np.zeros(n + (int(high[-1]) if n else 0) + 2, np.uint8)
         bits[high + np.arange(n) + 1] = 1
         pad = -len(bits) % 8
@@ -63,13 +64,16 @@ class EliasFano:
 
     def access(self, at: np.ndarray) -> np.ndarray:
         at = np.asarray(at, np.int64)
+        if self.width == 8:
+            return self._low(at)
         high = np.searchsorted(self.starts, at, "right") - 1
         return (high.astype(np.uint64) << np.uint64(8 * self.width)) | self._low(at)
 
     def successor(self, values: np.ndarray) -> np.ndarray:
         """Position of the first number that is at least the value; ``size`` if there is none."""
         values = values.astype(np.uint64)
-        high = np.minimum(values >> np.uint64(8 * self.width), np.uint64(len(self.starts))).astype(np.int64)
+        high = values >> np.uint64(8 * self.width) if self.width < 8 else np.zeros(len(values), np.uint64)
+        high = np.minimum(high, np.uint64(len(self.starts))).astype(np.int64)
         bounds = np.concatenate([self.starts, [self.size, self.size]])
         lo, hi = bounds[high], bounds[np.minimum(high + 1, len(self.starts))]
         if not self.width:
