@@ -28,6 +28,7 @@ from marketprose.session import written
 
 GROUP = 48  # documents of a group, on average
 FREQUENT = 16  # classes that share a token before it is put last
+LED_PERCENT = 30  # of a prefix
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -185,11 +186,17 @@ class Join:
         return written(keyed_join(every, shared, "token", "left_semi"), "token-groups")
 
     def _stars(self, matrix: DataFrame) -> DataFrame:
-        """Pairs of groups first, second: for each token of a prefix one group with all others, and groups of several."""
+        """Pairs of groups first, second that are worth opening first, and groups of several with themselves.
+
+        Each token of a prefix has two leading groups; a node is paired with a leader that leads a good part of its
+        prefix, as it does in a family of near copies. What this leaves out is found later.
+        """
         rows = matrix.filter(F.col("rank") < self.prefix)
-        firsts = rows.groupBy("token").agg(F.min("group").alias("first"), F.max("group").alias("_last"))
-        rows = rows.join(firsts.filter("first < _last"), "token").filter("first != group")
-        pairs = rows.select("first", F.col("group").alias("second")).distinct()
+        leaders = rows.groupBy("token").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).filter("_low < _high")
+        rows = rows.join(leaders, "token").withColumn("first", F.explode(F.array("_low", "_high"))).filter("first != group")
+        led = rows.groupBy("first", "group", "node", "n").agg(F.count("*").alias("led"))
+        pairs = led.filter(F.col("led") * 100 >= LED_PERCENT * self.prefix)
+        pairs = pairs.select(F.least("first", "group").alias("first"), F.greatest("first", "group").alias("second")).distinct()
         several = matrix.groupBy("group").agg(F.min("node").alias("_low"), F.max("node").alias("_high"))
         several = several.filter("_low < _high").select(F.col("group").alias("first"), F.col("group").alias("second"))
         return pairs.unionByName(several)
@@ -200,39 +207,61 @@ class Join:
         rows = keyed_join(matrix.drop("group"), where, "node", "inner")
         several = rows.groupBy("token").agg(F.min("class").alias("_low"), F.max("class").alias("_high"))
         rows = written(rows.join(several.filter("_low < _high").select("token"), "token"), "token-classes")
-        common = rows.select("token", "class").distinct().groupBy("token").agg(F.count("*").alias("classes"))
-        common = written(common.filter(F.col("classes") > FREQUENT).select("token"), "frequent-tokens")
-        flagged = common.withColumn("frequent", F.lit(1))
-        rows = keyed_join(rows, flagged, "token").withColumn("frequent", F.coalesce("frequent", F.lit(0)))
+        frequent = written(self._crowded(rows), "frequent-tokens")
+        # nodes without enough other tokens among their smallest hashes are ordered by their whole sets; what is
+        # frequent there is put last too, until nothing more is
+        while True:
+            flagged = exploded(self._reserves(placed.select("row", "node", "n")), self.percent)
+            flagged = written(keyed_join(flagged, frequent, "token", "left_semi").select("node", "n", "rank"), "flagged")
+            reserve = F.least(F.col("n"), F.floor(self.prefix * 3 / 2) + 2)
+            lost = flagged.groupBy("node", "n").agg(F.count("*").alias("lost"))
+            short = lost.filter(reserve - F.col("lost") < F.least(self.prefix, F.col("n"))).select("node")
+            short = written(short, "short-nodes")
+            whole = self._whole(keyed_join(placed, short, "node", "left_semi")).select("node", "n", "tokens")
+            whole = written(keyed_join(exploded(whole, self.percent), where, "node", "inner"), "short-sets")
+            more = written(self._crowded(whole).join(frequent, "token", "left_anti"), "frequent-tokens")
+            if not more.limit(1).count():
+                break
+            frequent = written(frequent.unionByName(more), "frequent-tokens")
         # frequent tokens before a token move it up
+        rows = rows.join(frequent, "token", "left_anti").select("node", "n", "rank", "token", "class", F.lit(0).alias("frequent"))
+        rows = rows.unionByName(flagged.withColumn("frequent", F.lit(1)), allowMissingColumns=True)
         before = Window.partitionBy("node").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-        rows = written(rows.withColumn("moved", F.coalesce(F.sum("frequent").over(before), F.lit(0))), "token-order")
+        rows = rows.withColumn("moved", F.coalesce(F.sum("frequent").over(before), F.lit(0)))
         kept = rows.filter((F.col("frequent") == 0) & (F.col("rank") - F.col("moved") < self.prefix))
-        # nodes without enough other tokens among their smallest hashes: order their whole sets
-        reserve = F.least(F.col("n"), F.floor(self.prefix * 3 / 2) + 2)
-        lost = rows.groupBy("node", "n").agg(F.sum("frequent").alias("lost")).filter("lost > 0")
-        short = lost.filter(reserve - F.col("lost") < F.least(self.prefix, F.col("n"))).select("node")
-        short = written(short, "short-nodes")
-        usable = kept.join(short, "node", "left_anti").select("token", "class", "group", "n")
-        if short.limit(1).count():
-            whole = self._whole(placed.join(short, "node", "left_semi")).select("node", "n", "tokens")
-            whole = keyed_join(exploded(whole, self.percent), flagged, "token")
-            order = Window.partitionBy("node").orderBy(F.coalesce("frequent", F.lit(0)), "rank")
-            whole = whole.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= self.prefix)
-            whole = written(whole.select("token", "node", "n").join(where, "node"), "short-tokens")
-            wanted = whole.select("token").distinct().join(common, "token", "left_anti")
-            others = placed.join(short, "node", "left_anti").select("row", "n", "class", "group")
-            others = keyed_join(exploded(self._reserves(others), self.percent), wanted, "token", "left_semi")
-            columns = ["token", "class", "group", "n"]
-            usable = usable.unionByName(whole.select(*columns)).unionByName(others.select(*columns))
+        usable = kept.join(short, "node", "left_anti").select("token", "class")
+        last = F.coalesce(F.col("last"), F.lit(0))
+        order = Window.partitionBy("node").orderBy(last, "rank")
+        whole = keyed_join(whole, frequent.withColumn("last", F.lit(1)), "token").withColumn("_place", F.row_number().over(order))
+        whole = written(whole.filter(F.col("_place") <= self.prefix).select("token", "class"), "short-tokens")
+        # what those start with may be further back, and without a mark, in the smallest hashes of the others
+        wanted = whole.select("token").distinct().join(frequent, "token", "left_anti")
+        others = placed.join(short, "node", "left_anti").select("row", "n", "class")
+        others = keyed_join(exploded(self._reserves(others), self.percent), wanted, "token", "left_semi")
+        usable = usable.unionByName(whole).unionByName(others.select("token", "class"))
+        usable = written(usable.distinct(), "token-candidates")
+        # many tokens are shared by the same few classes: those pair off once for all of them
+        few = usable.groupBy("token").agg(F.count("*").alias("classes")).filter("classes > 1")
+        usable = usable.join(few, "token")
+        alike = usable.filter(F.col("classes") <= 4 * FREQUENT).groupBy("token").agg(F.array_sort(F.collect_list("class")).alias("of"))
+        alike = alike.groupBy("of").agg(F.count("*").alias("tokens")).withColumn("a", F.explode("of"))
+        alike = alike.withColumn("b", F.explode("of")).filter("a < b").select("a", "b")
+        crowded = usable.filter(F.col("classes") > 4 * FREQUENT).select("token", "class")  # of nodes with none but frequent ones
+        other = crowded.select("token", F.col("class").alias("b"))
+        crowded = crowded.withColumnRenamed("class", "a").join(other, "token").filter("a < b").select("a", "b")
+        pairs = written(alike.unionByName(crowded).distinct(), "class-pairs")
         sizes = F.struct(F.min("n").alias("low"), F.max("n").alias("high")).alias("sizes")
-        usable = written(usable.groupBy("token", "class", "group").agg(sizes), "token-candidates")
-        several = usable.groupBy("token").agg(F.min("class").alias("_low"), F.max("class").alias("_high"))
-        usable = usable.join(several.filter("_low < _high").select("token"), "token")
-        other = usable.select("token", *[F.col(c).alias(f"_{c}") for c in ("class", "group", "sizes")])
-        met = (F.col("class") < F.col("_class")) & fits(F.col("sizes"), F.col("_sizes"), self.percent)
-        pairs = usable.join(other, "token").filter(met)
-        return pairs.select(F.col("group").alias("first"), F.col("_group").alias("second")).distinct()
+        groups = written(placed.groupBy("class", "group").agg(sizes), "class-groups")
+        one = groups.select(F.col("class").alias("a"), F.col("group").alias("first"), F.col("sizes").alias("_one"))
+        two = groups.select(F.col("class").alias("b"), F.col("group").alias("second"), F.col("sizes").alias("_two"))
+        met = pairs.join(one, "a").join(two, "b").filter(fits(F.col("_one"), F.col("_two"), self.percent))
+        return met.select("first", "second")
+
+    @staticmethod
+    def _crowded(rows: DataFrame) -> DataFrame:
+        """Tokens of many classes."""
+        classes = rows.select("token", "class").distinct().groupBy("token").agg(F.count("*").alias("classes"))
+        return classes.filter(F.col("classes") > FREQUENT).select("token")
 
     def _opened(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Links a, b that connect whatever is connected within the paired groups.
