@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import database, differences
-from marketprose.queries.registry import SQL
+from marketprose.queries.registry import QUERIES, SQL
 
 SF_DIR = "/root/testdata/sf0.001"
 FITS = {"nmf_fit", "lda_fit", "post_topics", "article_topics"}
@@ -22,7 +22,7 @@ def test_query_matches_its_sql(spark, con, name):
     assert rows > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - FITS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - FITS))
 def test_plan_stays_in_spark_and_joins_on_keys(spark, name):
     plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
