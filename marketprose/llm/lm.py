@@ -1,6 +1,6 @@
 """N-gram language model: counting, tries and scoring by one exchange between blocks of text and shards of the model.
 
-A block holds about half a million tokens of whole documents. It sends each shard the contexts and words that it needs from
+A block holds about a million tokens of whole documents. It sends each shard the contexts and words that it needs from
 it, each once, with how often they occur in training documents. A shard adds up what all blocks sent, builds its
 trie (``trie``), and answers every block from the memory-mapped file. So counts are summed before they are moved, no
 task holds more than a block or a shard, and nothing of the model passes the driver but the counts of the
@@ -305,7 +305,7 @@ def score(
     key: str = "doc_id",
     text: str = "text",
     folder: str | None = None,
-    block_tokens: int = 1 << 19,
+    block_tokens: int = 1 << 20,
     shard_tokens: int = 1_000_000,
 ) -> DataFrame:
     """Learn from the rows where ``training`` is true and score all whole texts.
