@@ -1,21 +1,26 @@
 """Embedding near-duplicates by NN-descent.
 
 Equal vectors become one node. A first neighbour graph comes from the leaves of random-projection trees; then
-neighbours of neighbours are compared and the best kept, until a round finds no further link. The recall of links is
-audited against brute force on a sample; below the goal more trees and rounds follow. Nodes whose list is full of
-links have more than the list shows: lists are enlarged to the node's whole component, compared in blocks, so that
-links are counted without a pair ever being stored.
+neighbours of neighbours are compared and the best kept, until a round finds no further link. Nodes whose list is full
+of links have more than the list shows. Such nodes get further lists, of neighbours outside their component only; a
+link found there joins the two components, and lists begin anew until no node of a full list has a link to the
+outside. Inside the components lists are not enlarged: all pairs are compared in blocks, so that links are counted
+without a pair ever being stored. The recall of links is audited against brute force on a sample; below the goal more
+trees and rounds follow.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketprose.llm.common import dealt, frames
 from marketprose.llm.graph import components
@@ -24,6 +29,9 @@ from marketprose.session import written
 LEAF = 256
 CHUNK = 64  # members of a centre that are compared with each other at once
 BLOCK = 512
+AUDIT = 16  # the sample of the audit grows to so many times its size when links are rare
+
+log = logging.getLogger(__name__)
 
 
 def matrix(column: pd.Series, kind: str) -> np.ndarray:
@@ -50,7 +58,7 @@ def unit_vectors(rows: DataFrame, key: str, vector: str, label: str) -> DataFram
 
 
 def leaf_edges(nodes: DataFrame, sizes: DataFrame, tree: int, k: int) -> DataFrame:
-    """node, other, cos: the ``k`` nearest of each node in its leaf of one random-projection tree."""
+    """node, other, cos: the ``k`` nearest of each node in its leaf of one random-projection tree, of other families."""
 
     @F.pandas_udf("code bigint, along double")
     def project(units: pd.Series, bits: pd.Series) -> pd.DataFrame:
@@ -69,16 +77,21 @@ def leaf_edges(nodes: DataFrame, sizes: DataFrame, tree: int, k: int) -> DataFra
     placed = nodes.join(sizes, "space").withColumn("p", project("unit", bits.cast("int")))
     order = Window.partitionBy("space", "p.code").orderBy("p.along", "node")
     run = F.floor((F.row_number().over(order) - 1) / LEAF)
-    leaves = placed.select("node", "unit", F.xxhash64("space", "p.code", run, F.lit(tree)).alias("leaf"), "space")
+    leaves = placed.select("node", "unit", F.xxhash64("space", "p.code", run, F.lit(tree)).alias("leaf"), "space", family(nodes))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, found in groups(batches, "leaf"):
             for _, rows in found.groupby("space", sort=False):
-                yield from best_pairs(rows["node"].to_numpy(), matrix(rows["unit"], "<f8"), None, k)
+                yield from best_pairs(rows["node"].to_numpy(), matrix(rows["unit"], "<f8"), None, k, rows["family"].to_numpy())
 
     return dealt(leaves, "leaf").sortWithinPartitions("leaf").mapInPandas(nearest, "node bigint, other bigint, cos double")
 
 
+def family(nodes: DataFrame) -> Column:
+    """The family of a node, whose members are not compared with it; without families each node is its own."""
+    return F.col("family" if "family" in nodes.columns else "node").alias("family")
+
+
 def groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[object, pd.DataFrame]]:
     """Whole groups of rows sorted by ``key``; a group may span batches."""
     held: list[pd.DataFrame] = []
@@ -93,12 +106,12 @@ def groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[object,
         yield current, pd.concat(held) if len(held) > 1 else held[0]
 
 
-def best_pairs(ids: np.ndarray, units: np.ndarray, worst: np.ndarray | None, k: int) -> Iterator[pd.DataFrame]:
-    """The ``k`` nearest others of each row, where they are nearer than its worst neighbour so far."""
+def best_pairs(ids: np.ndarray, units: np.ndarray, worst: np.ndarray | None, k: int, families: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The ``k`` nearest of other families of each row, where they are nearer than its worst neighbour so far."""
     if len(ids) < 2:
         return
     cos = units @ units.T
-    np.fill_diagonal(cos, -2)
+    cos[families[:, None] == families[None, :]] = -2
     top = np.argpartition(-cos, min(k, len(ids) - 1) - 1, axis=1)[:, :k]
     value = np.take_along_axis(cos, top, 1)
     use = value > (np.full(len(ids), -2.0) if worst is None else worst)[:, None]
@@ -112,10 +125,14 @@ def keep_best(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def refined(graph: DataFrame, nodes: DataFrame, k: int, salt: int) -> DataFrame:
-    """One round of NN-descent: the members around each centre are compared with each other."""
-    both = graph.select(F.col("node").alias("centre"), F.col("other").alias("member")).unionByName(
-        graph.select(F.col("other").alias("centre"), F.col("node").alias("member"))
+def refined(graph: DataFrame, nodes: DataFrame, k: int, salt: int, known: DataFrame | None = None) -> DataFrame:
+    """One round of NN-descent: the members around each centre are compared with each other.
+
+    ``known`` are further neighbours that lead to members; they do not enter the lists.
+    """
+    ways = graph.select("node", "other") if known is None else graph.select("node", "other").unionByName(known.select("node", "other"))
+    both = ways.select(F.col("node").alias("centre"), F.col("other").alias("member")).unionByName(
+        ways.select(F.col("other").alias("centre"), F.col("node").alias("member"))
     )
     both = both.distinct()
     # a centre that many nodes name is dealt out in chunks
@@ -123,26 +140,74 @@ def refined(graph: DataFrame, nodes: DataFrame, k: int, salt: int) -> DataFrame:
     both = both.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / CHUNK))
     full = graph.groupBy("node").agg(F.min("cos").alias("worst"), F.count("*").alias("n"))
     full = full.select(F.col("node").alias("member"), F.when(F.col("n") >= k, F.col("worst")).otherwise(-2.0).alias("worst"))
-    units = nodes.select(F.col("node").alias("member"), "unit").join(full, "member", "left")
+    units = nodes.select(F.col("node").alias("member"), "unit", family(nodes)).join(full, "member", "left")
     joined = both.join(units, "member").select(
-        F.xxhash64("centre", "chunk").alias("at"), "centre", "member", "unit", F.coalesce("worst", F.lit(-2.0)).alias("worst")
+        F.xxhash64("centre", "chunk").alias("at"), "centre", "member", "unit", "family", F.coalesce("worst", F.lit(-2.0)).alias("worst")
     )
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, found in groups(batches, "at"):
             for _, rows in found.groupby("centre", sort=False):
                 pairs = (rows["member"].to_numpy(), matrix(rows["unit"], "<f8"), rows["worst"].to_numpy())
-                yield from best_pairs(*pairs, k)
+                yield from best_pairs(*pairs, k, rows["family"].to_numpy())
 
     near = dealt(joined, "at").sortWithinPartitions("at")
     return keep_best(graph.unionByName(near.mapInPandas(compare, "node bigint, other bigint, cos double")), k)
 
 
+def joined(graph: DataFrame, nodes: DataFrame, threshold: float, k: int, trees: int, planted: int) -> tuple[DataFrame, DataFrame]:
+    """node, component of all nodes that have links; and the links.
+
+    A link that neither end has in its list is one between two full lists. The nodes of full lists are therefore searched
+    again among themselves for the nearest outside their own component. Each link found joins two components; then
+    the lists and trees begin anew, until lists that no longer get nearer hold no link.
+    """
+    links = graph.filter(F.col("cos") >= threshold)
+    membership = written(components(links, "node", "other"), "vector-components")
+    full = links.groupBy("node").agg(F.count("*").alias("_n")).filter(F.col("_n") >= k).select("node")
+    crowded = written(nodes.join(full, "node"), "crowded-nodes")
+    sizes = crowded.groupBy("space").agg(F.count("*").alias("nodes"))
+    inside = links.join(full, "node").select("node", "other")
+    for first in itertools.count(planted, trees):
+        apart = written(crowded.join(membership, "node").withColumnRenamed("component", "family"), "crowded-nodes")
+        if apart.agg(F.min("family") == F.max("family")).first()[0] in (None, True):
+            return membership, links
+        near = [leaf_edges(apart, sizes, tree, k) for tree in range(first, first + trees)]
+        across = written(keep_best(functools.reduce(DataFrame.unionByName, near), k), "vector-across")
+        reached = 0.0
+        while True:
+            nearness, found = across.agg(F.sum(F.col("cos") + 1), F.sum((F.col("cos") >= threshold).cast("int"))).first()
+            if found or (nearness or 0) <= reached * 1.001:
+                break
+            reached = nearness
+            across = written(refined(across, apart, k, first, inside), "vector-across")
+        if not found:
+            return membership, links
+        more = across.filter(F.col("cos") >= threshold)
+        links = links.unionByName(more)
+        one, two = (membership.select(F.col("node").alias(end), F.col("component").alias(f"{end}_family")) for end in ("node", "other"))
+        pairs = more.join(one, "node").join(two, "other")
+        merged = components(pairs, "node_family", "other_family").select(F.col("node").alias("component"), F.col("component").alias("into"))
+        whole = membership.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+        membership = written(whole, "vector-components")
+    raise AssertionError
+
+
 def audit(membership: DataFrame, nodes: DataFrame, threshold: float, sample: int) -> float:
     """Share of the sampled nodes' true links that lie inside one component, where all links are found.
 
-    The sample is ``sample`` nodes, by hash, compared with all others.
+    The sample is ``sample`` nodes, by hash, compared with all others; it is doubled until it has at least ``sample``
+    links, or is all nodes or ``AUDIT`` times as large.
     """
+    for times in itertools.takewhile(lambda n: n <= AUDIT, (1 << n for n in itertools.count())):
+        true, hits = _audited(membership, nodes, threshold, sample * times)
+        if true >= sample or sample * times >= nodes.count():
+            break
+    return hits / true if true else 1.0
+
+
+def _audited(membership: DataFrame, nodes: DataFrame, threshold: float, sample: int) -> tuple[int, int]:
+    """Links of the sampled nodes, and how many of them lie inside one component."""
     chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).collect()
     shared = nodes.sparkSession.sparkContext.broadcast([(r["node"], r["space"], bytes(r["unit"])) for r in chosen])
 
@@ -161,7 +226,7 @@ def audit(membership: DataFrame, nodes: DataFrame, threshold: float, sample: int
     two = membership.select(F.col("node").alias("other"), F.col("component").alias("two"))
     hit = (F.col("one") == F.col("two")).cast("int")
     got = true.join(one, "node", "left").join(two, "other", "left").agg(F.count("*"), F.sum(hit)).first()
-    return (got[1] or 0) / got[0] if got[0] else 1.0
+    return got[0], got[1] or 0
 
 
 def counted(nodes: DataFrame, membership: DataFrame, threshold: float) -> DataFrame:
@@ -237,10 +302,11 @@ def near_vectors(
         links = graph.filter(F.col("cos") >= threshold)
         before, found = found, links.count()
         if turn and found <= before * 1.001 or turn == max_rounds - 1:
-            membership = written(components(links, "node", "other"), "vector-components")
+            membership, links = joined(graph, nodes, threshold, k, trees, planted)
             recall = audit(membership, nodes, threshold, sample)
             if recall >= goal:
                 break
+            log.warning("recall of links is %.4f after %d rounds, the goal is %.4f", recall, turn + 1, goal)
     more = counted(nodes, membership, threshold)
     classes = nodes.select("space", "digest", "node", "n")
     done = classes.join(membership, "node", "left").join(more, "node", "left").select(

@@ -53,6 +53,23 @@ def test_against_brute_force(spark):
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
 
 
+def test_adjacent_families_that_fill_each_others_lists(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for label, size, families in ((0, 12, 2), (1, 12, 4), (2, 320, 2), (3, 15, 1), (4, 40, 3)):
+        start, step = np.linalg.qr(rng.normal(size=(256, 2)))[0].T
+        for family in range(families):  # each family links with the one before: inside 0.995, across 0.982
+            angle = family * np.arccos(0.987)
+            centre = np.cos(angle) * start + np.sin(angle) * step
+            for _ in range(size):
+                rows.append((len(rows), (centre + rng.normal(size=256) * np.sqrt(0.005 / 256)).astype(np.float32).tolist(), label))
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(4)
+    found = neighbours.near_vectors(table, 0.98)
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id) for r in found.vectors.collect())
+    assert got == by_hand(rows, 0.98)
+    assert len({c for _, _, c in got}) == 5 and found.recall == 1.0
+
+
 def test_empty(spark):
     table = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert neighbours.near_vectors(table).vectors.count() == 0
