@@ -23,14 +23,20 @@ from pyspark.sql import DataFrame, functions as F
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var".split()
+    "strong sub sup time tt u var object math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded "
+    "mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
-SILENT = set("script style noscript template head title svg math object iframe canvas audio video select option button textarea".split())
+SILENT = set(
+    "script style noscript template head title svg annotation annotation-xml iframe canvas audio video select option button "
+    "textarea".split()
+)
+WALLS = set("script style noscript template title iframe select textarea".split())  # end tags of ancestors do not end them
+HEAD = set("base basefont bgsound link meta title noscript noframes style script template".split())  # any other tag ends a head
 CLOSES = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "option": {"option"},
+    "option": {"option"}, "optgroup": {"option", "optgroup"},
 }
-SCOPES = set("ul ol dl table article section div aside nav main body td th blockquote form header footer".split())
+SCOPES = set("ul ol dl table article section div aside nav main body td th blockquote form header footer object".split())
 
 #: Groups of names that pages use for their parts.
 NAMES = {
@@ -56,6 +62,8 @@ class Node:
     tag: str
     marks: frozenset[str]
     main: bool
+    silent: bool = False
+    apart: bool = False  # a formula in its own block
 
 
 @dataclass
@@ -81,7 +89,6 @@ class BlockParser(HTMLParser):
         self.path: list[Node] = [Node("", frozenset(), False)]
         self.blocks: list[tuple[str, Node, list[str], int]] = []
         self.run = _Run()
-        self.silent: list[str] = []
         self.links = 0
 
     def _flush(self) -> None:
@@ -92,26 +99,31 @@ class BlockParser(HTMLParser):
         self.run = _Run()
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        if tag == "html" or tag == "head" and any(n.tag not in ("", "html") for n in self.path):
+            if tag == "html" and len(self.path) == 1:
+                self.path.append(Node(tag, frozenset(), "data-main" in dict(attrs)))
+            return
+        if self.path[-1].tag == "head" and tag not in HEAD or tag == "body":
+            self._end_head()
         if tag in VOID:
-            if tag == "br" and not self.silent:
+            if tag == "br" and not self.path[-1].silent:
                 self.run.parts.append(" ")
-            elif tag == "hr":
+            elif tag == "hr" and not self.path[-1].silent:
                 self._flush()
             return
-        if tag in SILENT:
-            self.silent.append(tag)
-        if self.silent:
+        if self.path[-1].silent or tag in SILENT:
+            if tag in ("option", "optgroup"):
+                self._close(tag)
+            up = self.path[-1]
+            self.path.append(Node(tag, up.marks, up.main, True))
             return
+        found = dict(attrs)
         if tag not in INLINE:
             self._flush()
-            for at in range(len(self.path) - 1, 0, -1):  # an open p, li, td ... that this tag ends
-                if self.path[at].tag in CLOSES.get(tag, {"p"}):
-                    self._cut(at)
-                    break
-                if self.path[at].tag in SCOPES:
-                    break
+            self._close(tag)
+        elif tag == "math" and found.get("display") == "block":
+            self._flush()
         up = self.path[-1]
-        found = dict(attrs)
         marks = set()
         for name in re.split(r"[\s]+", " ".join(str(found.get(k) or "") for k in ("class", "id", "role")).lower()):
             for part in {name, *re.split(r"[-_]+", name), *re.split(r"[-_]+", name.rstrip("0123456789"))}:
@@ -121,29 +133,45 @@ class BlockParser(HTMLParser):
             marks.add("under:" + tag)
         if tag == "a":
             self.links += 1
-        self.path.append(Node(tag, up.marks | marks, up.main or "data-main" in found))
+        apart = tag == "math" and found.get("display") == "block"
+        self.path.append(Node(tag, up.marks | marks, up.main or "data-main" in found, apart=apart))
+
+    def _close(self, tag: str) -> None:
+        """Cut at an open p, li, td, option ... that the start of this tag ends."""
+        for at in range(len(self.path) - 1, 0, -1):
+            if self.path[at].tag in CLOSES.get(tag, {"p"}):
+                self._cut(at)
+                break
+            if self.path[at].tag in SCOPES:
+                break
+
+    def _end_head(self) -> None:
+        for at in range(1, len(self.path)):
+            if self.path[at].tag == "head":
+                self._cut(at)
+                break
 
     def _cut(self, at: int) -> None:
-        self.links -= sum(n.tag == "a" for n in self.path[at:])
+        self.links -= sum(n.tag == "a" and not n.silent for n in self.path[at:])
         del self.path[at:]
 
     def handle_endtag(self, tag: str) -> None:
-        if self.silent:
-            if tag in self.silent:
-                while self.silent.pop() != tag:
-                    pass
-            elif tag == "head":
-                self.silent.clear()
-            return
-        if tag not in INLINE:
+        if not self.path[-1].silent and tag not in INLINE:
             self._flush()
         for at in range(len(self.path) - 1, 0, -1):
-            if self.path[at].tag == tag:
+            node = self.path[at]
+            if node.tag == tag:
+                if self.path[-1].silent and not node.silent and tag not in INLINE or node.apart:
+                    self._flush()
                 self._cut(at)
                 return
+            if node.tag in WALLS and tag != "head":
+                return
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
+        if self.path[-1].tag == "head" and data.strip():
+            self._end_head()
+        if not self.path[-1].silent:
             self.run.parts.append(data)
             if self.links:
                 self.run.linked += len("".join(data.split()))

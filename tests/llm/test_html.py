@@ -58,6 +58,29 @@ def test_broken_markup(model):
     assert [b.text for b in html.blocks_of("<div>a<script>x<y</script>b<br>c<p>d<p>e</div>")] == ["ab c", "d", "e"]
 
 
+def test_end_tags_that_may_be_left_out(model):
+    text = "This is the text of the article, which is long enough to be prose."
+    article = f"<article><h1>Title</h1><p>{text}</p><p>{text}</p></article>"
+    for head in ("<head><title>No</title><body>", "<head><meta charset=utf-8><title>No</title><style>p{}</style>", "<title>No</title>",
+                 "<head><title>No</title></head><body>", "<head><noscript><link href=x></noscript><body>"):
+        assert model.text(f"<!DOCTYPE html><html>{head}{article}</html>") == f"Title\n{text}\n{text}"
+    assert [b.text for b in html.blocks_of("<head><title>No</title>Words <b>here</b>")] == ["Words here"]
+    assert [b.text for b in html.blocks_of("<head><title>No</title><body><p>a</p><head><title>No</title><p>b")] == ["a", "b"]
+    lists = ["<datalist id=d><option value=a><option value=b>No</datalist>", "<select><optgroup><option>No<option>No</select>",
+             "<select><option>No<div>No</div></option><option>No</select>", "<datalist><option><div>No</div>No</option></datalist>"]
+    for options in lists:
+        assert [b.text for b in html.blocks_of(f"<div><p>a</p><div>{options}b</div><p>c</div>")] == ["a", "b", "c"]
+
+
+def test_formulas_and_fallback_text(model):
+    found = html.blocks_of(
+        "<article><p>So <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>No</annotation></semantics></math> holds."
+        "<p>See <object data=f.svg>the figure</object> here.<p>Then<math display=block><mi>y</mi></math>is."
+        "<object data=g><p>One.</p><p>Two.</p></object></article>"
+    )
+    assert [b.text for b in found] == ["So x=2 holds.", "See the figure here.", "Then", "y", "is.", "One.", "Two."]
+
+
 def test_tables(spark, model):
     rows = [(1, "u", PAGE), (2, None, None), (3, "v", ""), (None, "w", PAGE), (1, "u", PAGE), (4, "x", "<article>" + "<p>Long text of a paragraph, again and again.</p>" * 20_000 + "</article>")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
