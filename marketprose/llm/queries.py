@@ -43,8 +43,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log10 probabilities of every document under a model of the documents that are not held out."""
-    return lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    """Log10 probabilities of every document under a trigram model of the documents that are not held out."""
+    return lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2, order=3)
 
 
 KEEP_FROM = 0.3

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from marketprose.llm import lm, trie
+from marketprose.llm import lm, queries, trie
 from marketprose.llm.common import remainder
 from pyspark.sql import functions as F
 
@@ -81,6 +81,35 @@ def test_interpolation_by_hand(make):
     assert total == pytest.approx(1)
 
 
+def test_query_takes_longer_contexts(make, tmp_path):
+    rows = [(k, "a x b" if k % 2 else "c x d") for k in range(100)]
+    held = [k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
+    rows += [(held[0], "a x b"), (held[1], "a x d")]
+    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.op2_language_model(make(rows).sparkSession, str(tmp_path)).collect()}
+    train = [["^", *tokens(t)] for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    grams = {n: Counter(tuple(t[i : i + n]) for t in train for i in range(len(t) - n + 1)) for n in (2, 3)}
+    one = Counter(w for t in train for w in t[1:])
+
+    def p(w, before):
+        if not before:
+            return (one[w] + 1) / (sum(one.values()) + len(one) + 1)
+        level = grams[len(before) + 1]
+        discount = trie.discounts(np.array(sorted(level.values())))
+        after = {g[-1]: c for g, c in level.items() if g[:-1] == before}
+        if not after:
+            return p(w, before[1:])
+        taken = sum(discount[min(c, 3)] for c in after.values())
+        c = after.get(w, 0)
+        return (c - (discount[min(c, 3)] if c else 0) + taken * p(w, before[1:])) / sum(after.values())
+
+    for doc, text in rows[-2:]:
+        line = ["^", *tokens(text)]
+        want = sum(math.log10(p(line[i], tuple(line[max(0, i - 2) : i]))) for i in range(1, len(line)))
+        assert got[doc] == pytest.approx(want, abs=3e-3)
+    assert got[held[0]] > got[held[1]] + 1  # word pairs alone cannot tell the two apart
+
+
 def test_hot_contexts_are_dealt_over_shards(make, monkeypatch):
     rows = corpus()
 
