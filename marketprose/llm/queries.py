@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketprose.llm import bpe, html, jaccard, lm, mixing, neighbours, quality, sketch, warc, wavelet
+from marketprose.llm import bpe, html, jaccard, lm, mixing, neighbours, packing, quality, sketch, warc, wavelet
 from marketprose.llm.common import remainder
 from marketprose.session import ship, written
 
@@ -115,3 +115,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), *rules)
     return bpe.decode_ids(encoded, *rules).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of at most 1,024 ids."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return pieces.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens", "sequence_id", "offset",
+    )

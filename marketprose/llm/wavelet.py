@@ -12,9 +12,10 @@ bits as u64 words followed by its ones before each 512-bit block as u32.
 from __future__ import annotations
 
 import functools
+import json
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,9 +24,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from marketprose.llm.common import (
-    CACHE_ENTRIES,
-    Encoded,
-    chunks,
     dealt,
     filesystem,
     frames,
@@ -34,6 +32,7 @@ from marketprose.llm.common import (
     put_file,
     walked,
 )
+from marketprose.llm.pretokens import ByteCache, pieces
 from marketprose.session import written
 
 MAGIC = b"WMX1"
@@ -198,80 +197,42 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
 
 
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # no apostrophe, which may start a piece of its own
+class PieceEncoder:
+    """Text to packed ids by the tokenizers library, as ``encode(text, add_special_tokens=False)`` gives them.
 
-
-class ChunkEncoder:
-    """Text to packed ids by the tokenizers library.
-
-    Text is encoded chunk by chunk and each distinct chunk once while it is remembered. Of a new chunk that is a word of
-    letters with marks behind it, the library's model gets word and marks, which are the pre-tokens; the other new
-    chunks of a text go to the library together, and the offsets of its tokens tell whose they are.
+    Each distinct pre-token goes to the library's model once while it is remembered. Files whose pre-tokenizer is not
+    the plain byte-level one, and texts that hold the string of an added token, go to the library whole.
     """
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, limit: int = 64 << 20):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
-        self.first = Encoded(lambda chunk: self._packed(self._encode(chunk).ids), 10_000)
-        self.marks = Encoded(lambda marks: self._packed([t.id for t in self.model.tokenize(marks)]), 10_000)
-        self.known = Encoded(lambda chunk: self._packed(self._encode(" " + chunk).ids), entries)
         self.model = self.library.model
         self.signs = byte_signs()
-
-    def _encode(self, text: str):
-        return self.library.encode(text, add_special_tokens=False)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        rules = json.loads(self.library.to_str())
+        step = rules["pre_tokenizer"] or {}
+        plain = step.get("type") == "ByteLevel" and not step.get("add_prefix_space") and step.get("use_regex", True)
+        self.plain = plain and rules["normalizer"] is None
+        self.known = ByteCache(self._piece, limit)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a space and a word of letters."""
-        found = self.known.get(word) or self.known.older.get(word)
-        if found is None:
-            signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
-            found = self._packed([t.id for t in self.model.tokenize(self.signs[32] + signs)])
-        return found
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        values, rest = {}, []
-        for chunk in new:
-            word = chunk.rstrip(MARKS)
-            if not word.isalpha():
-                rest.append(chunk)
-            elif len(word) == len(chunk):
-                values[chunk] = self._word(word)
-            else:
-                values[chunk] = self._word(word) + self.marks[chunk[len(word) :]]
-        if rest:
-            encoding = self._encode(" " + " ".join(rest))
-            starts = np.cumsum([0, *(len(c) + 1 for c in rest[:-1])])
-            at = np.searchsorted([s for s, _ in encoding.offsets], starts)
-            ids = self._packed(encoding.ids)
-            bounds = [4 * int(i) for i in at] + [len(ids)]
-            values |= {c: ids[bounds[k] : bounds[k + 1]] for k, c in enumerate(rest)}
-        return values
+    def _piece(self, piece: str) -> bytes:
+        signs = piece.encode().decode("latin-1").translate(self.signs)
+        return self._packed([t.id for t in self.model.tokenize(signs)])
 
     def __call__(self, text: str) -> bytes:
-        first, *rest = chunks(text)
-        known, older = self.known, self.known.older
-        found = list(map(known.get, rest))
-        if None in found:
-            wanted = dict.fromkeys(c for c, f in zip(rest, found, strict=True) if f is None)
-            values = {c: older[c] for c in wanted if c in older}
-            if len(values) < len(wanted):
-                values |= self._learn([c for c in wanted if c not in values])
-            found = [values[c] if f is None else f for c, f in zip(rest, found, strict=True)]
-            for chunk, value in values.items():
-                if len(chunk) <= 256:  # long ones hardly come again
-                    known.keep(chunk, value)
-        return self.first[first] + b"".join(found)
+        if not self.plain or any(a in text for a in self.added):
+            return self._packed(self.library.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.known.__getitem__, pieces(text)))
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[str], bytes]:
+def encoder(path: str) -> PieceEncoder:
     """One encoder per worker and tokenizer file."""
-    return ChunkEncoder(path)
+    return PieceEncoder(path)
 
 
 def write_shards(

@@ -12,9 +12,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("top", [1, 2, 7, 300, 50_256, 70_000])
@@ -37,9 +35,9 @@ def test_matrix(top):
             assert matrix.select(value, len(places)) == -1
 
 
-def test_chunks_encode_as_whole_texts(library):
+def test_pieces_encode_as_whole_texts(library):
     r = random.Random(2)
-    encode = wavelet.ChunkEncoder(PATH, entries=50)
+    encode = wavelet.PieceEncoder(PATH, limit=20_000)
     texts = ["", " ", " a", "a ", "a  b", "<|endoftext|> x", "x" * 3000 + " y", "don't  stop\n 漢 🚀"]
     texts += ["".join(r.choice("abe  \n\t.'1é🚀") for _ in range(r.randint(0, 120))) for _ in range(500)]
     for text in texts:
