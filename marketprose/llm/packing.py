@@ -171,8 +171,8 @@ def pack(
     tokenizer: str,
     end_id: int = 0,
     window: int = WINDOW,
-    sentence_price: float = 4.0,
-    inside_price: float = 16.0,
+    sentence_price: float = 2.0,
+    inside_price: float = 8.0,
     gap: int = 64,
     chain_tokens: int = 1 << 20,
     key: str = "doc_id",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketprose.llm import bpe, html, jaccard, lm, mixing, neighbours, packing, quality, sketch, warc, wavelet
+from marketprose.llm import bpe, html, jaccard, lm, mixing, neighbours, packing, quality, runs, sketch, warc, wavelet
 from marketprose.llm.common import remainder
 from marketprose.session import ship, written
 
@@ -125,3 +126,31 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"),
         "doc_tokens", "sequence_id", "offset",
     )
+
+
+def planted_repeat(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """Where a tenth of the documents starts to repeat itself, and with which period."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    return a, 1 + (n - a) // (3 + g % 8)
+
+
+@query
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, and the text without the repeats."""
+    found = runs.collapse_runs(table(spark, sf_dir, "documents"), least=24, times=3, edit=planted_repeat)
+    best = F.get("runs", F.col("best"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * get(runs, best).length div get(runs, best).period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
