@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketprose.llm import bpe, html, jaccard, lm, mixing, neighbours, packing, quality, runs, sketch, warc, wavelet
+from marketprose.llm import bpe, collocations, html, jaccard, lm, mixing, neighbours, packing, quality, runs, sketch, warc, wavelet
 from marketprose.llm.common import remainder
 from marketprose.session import ship, written
 
@@ -128,6 +128,12 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two to four words of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, longest=4, percent=80, top=2000)
+
+
 def planted_repeat(doc_id: int | None, n: int) -> tuple[int, int] | None:
     """Where a tenth of the documents starts to repeat itself, and with which period."""
     h = zlib.crc32(str(doc_id).encode())
