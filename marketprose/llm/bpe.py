@@ -16,11 +16,10 @@ from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
-import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marketprose.llm.common import Encoded, chunks
+from marketprose.llm.pretokens import ByteCache, splitter
 
 
 class RankQueue:
@@ -71,11 +70,9 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.vocabulary = {rank: token for token, rank in ranks.items()}
-        self.pieces = regex.compile(pattern).findall
+        self.pieces = splitter(pattern)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self._known = Encoded(self._piece)
-        self._first = Encoded(self._chunk)
-        self._spaced = Encoded(lambda chunk: self._chunk(" " + chunk))
+        self.known = ByteCache(self._piece)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -124,13 +121,9 @@ class Codec:
         ids = self.merge(piece.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self._known.__getitem__, self.pieces(chunk)))
-
     def packed(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        first, *rest = chunks(text)
-        return self._first[first] + b"".join(map(self._spaced.__getitem__, rest))
+        return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
@@ -148,6 +141,17 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
+def _slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Small parts of batches, so that a task holds the results of few texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _fields(df: DataFrame, columns: tuple[str, ...]) -> list[str]:
+    return [f"`{c}` {t}" for c, t in df.select(*columns).dtypes]
+
+
 def encode_texts(
     docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
@@ -157,34 +161,36 @@ def encode_texts(
     independent of each other, so repeated rows give equal results. Other columns are not read.
     """
     chosen = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes), "ids binary"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = codec(ranks, pattern).packed
-        for batch in batches:
-            ids = [packed(t) for t in batch.pop("_text")]
-            yield batch.assign(ids=ids)
+        for batch in _slices(batches):
+            *kept, texts = batch.columns
+            ids = pa.array([packed(t) for t in texts.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*kept, ids], names=[*batch.schema.names[:-1], "ids"])
 
-    return chosen.mapInPandas(run, schema)
+    return chosen.mapInArrow(run, ", ".join([*_fields(docs, keep), "ids binary"]))
 
 
 def decode_ids(
     encoded: DataFrame, ranks: str, pattern: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
     """Per row: the columns of ``keep``, ``n_tokens``, ``ids_sha256``, ``decoded`` (bytes) and ``decoded_sha256``."""
-    kept = ", ".join(f"`{c}` {t}" for c, t in encoded.select(*keep).dtypes)
-    schema = f"{kept}, n_tokens bigint, ids_sha256 string, decoded binary, decoded_sha256 string"
+    added = ["n_tokens bigint", "ids_sha256 string", "decoded binary", "decoded_sha256 string"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = codec(ranks, pattern).decode
-        for batch in batches:
-            packed = batch.pop(ids)
+        for batch in _slices(batches):
+            *kept, packed = batch.columns
+            packed = packed.to_pylist()
             decoded = [decode(np.frombuffer(p, "<u4").tolist()) for p in packed]
-            yield batch.assign(
-                n_tokens=[len(p) // 4 for p in packed],
-                ids_sha256=[hashlib.sha256(p).hexdigest() for p in packed],
-                decoded=decoded,
-                decoded_sha256=[hashlib.sha256(d).hexdigest() for d in decoded],
-            )
-
-    return encoded.select(*keep, ids).mapInPandas(run, schema)
+            found = [
+                pa.array([len(p) // 4 for p in packed], pa.int64()),
+                pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                pa.array(decoded, pa.binary()),
+                pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()),
+            ]
+            names = [*batch.schema.names[:-1], *(f.split()[0] for f in added)]
+            yield pa.RecordBatch.from_arrays([*kept, *found], names=names)
+
+    return encoded.select(*keep, ids).mapInArrow(run, ", ".join([*_fields(encoded, keep), *added]))

@@ -4,37 +4,61 @@ from __future__ import annotations
 
 import os
 import posixpath
+import sys
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow.fs as fs
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from marketprose.session import shared_folder
+from marketprose.session import scratch_path
 
-#: Entries a worker keeps in a lookup table before it starts anew; bounds memory, never results.
-CACHE_ENTRIES = 400_000
 
+class Recent(dict):
+    """Key to value, computed when first seen and remembered up to ``limit`` bytes; then it starts anew.
 
-class Hashes(dict):
-    """64-bit hash of a word, remembered for the words seen lately."""
+    Bounds memory, never results. ``forget_recent`` empties all such tables; tasks that fill them do so at their end,
+    since the worker lives on.
+    """
+
+    ENTRY = 140  # a slot of the table, a share of its spare room, and the value
+    tables: list[Recent] = []
+
+    def __init__(self, limit: int = 24 << 20):
+        self.limit, self.used = limit, 0
+        Recent.tables.append(self)
+
+    def compute(self, key):
+        raise NotImplementedError
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES // 4:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+    def __missing__(self, key):
+        self.used += sys.getsizeof(key) + self.ENTRY
+        if self.used > self.limit:
+            self.forget()
+        value = self[key] = self.compute(key)
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.used = 0
+
+
+class Hashes(Recent):
+    """64-bit hash of a word."""
+
+    def compute(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
+
 
 _HASHES = Hashes()
 
 
-def forget_hashes() -> None:
-    _HASHES.clear()
+def forget_recent() -> None:
+    for table in Recent.tables:
+        table.forget()
 
 
 def words(text: str) -> list[bytes]:
@@ -132,8 +156,8 @@ def frames(batches: Iterable[pd.DataFrame], key: str = "bucket") -> Iterator[tup
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """An unused folder below the shared one."""
-    return posixpath.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    """An unused folder below the shared one; it goes when the session's scratch tables go."""
+    return scratch_path(spark, name)
 
 
 def put_file(path: str, content: bytes) -> None:
@@ -153,45 +177,11 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
 
 
-def drop_folder(path: str) -> None:
-    files, local = filesystem(path)
-    if files.get_file_info(local).type == fs.FileType.Directory:
-        files.delete_dir(local)
-
-
-# white space other than the space itself
-_SPACES = [chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-_LONE = regex.compile(r"(?<=\S) (?=\S)")
+def as_key(name: str) -> Column:
+    """An integer key as text, the form in which it passes through pandas: beside a null, pandas would make it a float."""
+    return F.col(name).cast("bigint").cast("string")
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut at its lone spaces: those between two characters that are no white space.
-
-    A byte-level pre-tokenizer always starts a piece at such a space, so a piece never spans two chunks.
-    """
-    near = text[:1] == " " or text[-1:] == " " or "  " in text
-    if near or any(c in text and (" " + c in text or c + " " in text) for c in _SPACES):
-        return _LONE.split(text)
-    return text.split(" ")
-
-
-class Encoded(dict):
-    """Chunk to result, computed when first seen; keeps what was used lately and bounds memory."""
-
-    def __init__(self, compute: Callable[[str], bytes], entries: int = CACHE_ENTRIES // 2):
-        self.compute, self.entries, self.older = compute, entries, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        value = self.older.get(chunk)
-        if value is None:
-            value = self.compute(chunk)
-            if len(chunk) > 256:  # long ones hardly come again
-                return value
-        return self.keep(chunk, value)
-
-    def keep(self, chunk: str, value: bytes) -> bytes:
-        if len(self) >= self.entries:
-            self.older = dict(self)
-            self.clear()
-        self[chunk] = value
-        return value
+def keyed(df: DataFrame, name: str = "doc_id", kind: str = "bigint") -> DataFrame:
+    """The key back as a number."""
+    return df.withColumn(name, F.col(name).cast(kind))

@@ -19,6 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from marketprose.llm.common import keyed
+
 # Fixed values of HTML: tags by what they do to text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
@@ -462,12 +464,12 @@ def extract(pages: DataFrame, model: Field, key: str = "page_id", url: str = "ur
     line feeds in page order; empty if there are none. Null and empty pages give an empty text. Character references are
     decoded. Rows are independent; nothing is cut off. The model is a few hundred numbers.
     """
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    kinds = dict(rows.dtypes)
+    rows = pages.select(F.col(key).cast("string").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    kinds = dict(pages.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             text = [model.text(h) for h in batch.pop("html")]
             yield batch.assign(text=text, n_chars=[len(t) for t in text])
 
-    return rows.mapInPandas(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    return keyed(rows.mapInPandas(run, f"page_id string, url {kinds[url]}, text string, n_chars bigint"), "page_id", kinds[key])

@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marketprose.llm.common import shingle_hashes, word_hashes
+from marketprose.llm.common import as_key, forget_recent, keyed, shingle_hashes, word_hashes
 from marketprose.llm.graph import components
 from marketprose.operators.lookups import keyed_join
 from marketprose.session import written
@@ -56,7 +56,7 @@ def unpacked(content: bytes) -> np.ndarray:
 
 def token_sets(docs: DataFrame, size: int, key: str, text: str, percent: int, whole: bool) -> DataFrame:
     """doc_id, n, node (hash of the set), tokens: the whole set or its smallest hashes, packed and sorted."""
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(as_key(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -65,8 +65,9 @@ def token_sets(docs: DataFrame, size: int, key: str, text: str, percent: int, wh
             node = [xxhash.xxh3_64_intdigest(packed(s)) - (1 << 63) for s in sets]
             tokens = [packed(s if whole else s[: reserve_length(len(s), percent)]) for s in sets]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "node": node, "tokens": tokens})
+        forget_recent()
 
-    return rows.mapInPandas(run, "doc_id bigint, n bigint, node bigint, tokens binary")
+    return keyed(rows.mapInPandas(run, "doc_id string, n bigint, node bigint, tokens binary"))
 
 
 def exploded(nodes: DataFrame, percent: int) -> DataFrame:

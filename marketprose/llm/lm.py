@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketprose.llm import trie
-from marketprose.llm.common import filesystem, forget_hashes, mixed, new_folder, put_file, word_hashes
+from marketprose.llm.common import as_key, filesystem, forget_recent, keyed, mixed, new_folder, put_file, word_hashes
 from marketprose.session import written
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds white space
@@ -46,16 +46,16 @@ def unsqueeze(content: bytes, kind: str) -> np.ndarray:
 def text_blocks(docs: DataFrame, training: Column, key: str, text: str, block_tokens: int) -> DataFrame:
     """Documents as runs of word numbers: block, docs (ids), held (flags), lengths, ids, vocabulary (sorted hashes)."""
     rows = docs.select(
-        F.col(key).cast("bigint").alias("doc_id"), (~training).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text")
+        as_key(key).alias("doc_id"), (~training).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
     schema = (
-        "block bigint, docs array<bigint>, held array<boolean>, lengths array<bigint>, ids binary, vocabulary binary, "
+        "block bigint, docs array<string>, held array<boolean>, lengths array<bigint>, ids binary, vocabulary binary, "
         "tokens bigint, trained bigint, frequent array<bigint>"
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 32
-        held: list[tuple[int | None, bool, np.ndarray]] = []
+        held: list[tuple[str | None, bool, np.ndarray]] = []
         size = 0
 
         def close() -> pd.DataFrame:
@@ -78,13 +78,13 @@ def text_blocks(docs: DataFrame, training: Column, key: str, text: str, block_to
         for batch in batches:
             for doc, out, content in zip(batch["doc_id"], batch["held"], batch["text"], strict=True):
                 hashes = np.append(word_hashes(content), END)
-                held.append((None if pd.isna(doc) else int(doc), bool(out), hashes))
+                held.append((doc, bool(out), hashes))
                 size += len(hashes)
                 if size >= block_tokens:
                     yield close()
         if held:
             yield close()
-        forget_hashes()  # the worker lives on, the words do not come again
+        forget_recent()
 
     return rows.mapInPandas(run, schema)
 
@@ -261,9 +261,9 @@ def scored(row, replies: pd.DataFrame, order: int, shards: int, hot: dict[int, i
         gamma[gamma == 0] = 1.0  # never followed by anything in training
         probability[at] = trie.from_code(alpha)[inverse] + gamma[context[inverse]] * probability[at]
     sums = {name: np.add.reduceat(v, block.first) for name, v in (("base_score", np.log10(single)), ("score", np.log10(probability)))}
-    out = {"doc_id": row.docs, "held_out": row.held, "n_tokens": block.lengths}
+    out = {"doc_id": list(row.docs), "held_out": row.held, "n_tokens": block.lengths}
     out |= {"n_known": np.add.reduceat((known > 0)[block.ids].astype(np.int64), block.first), "train_tokens": total}
-    return pd.DataFrame(out | sums).astype({"doc_id": "Int64"})
+    return pd.DataFrame(out | sums)
 
 
 def hot_words(blocks: DataFrame, total: int) -> dict[int, int]:
@@ -336,6 +336,6 @@ def score(
         parts = [scored(row, said, order, shards, hot, total, vocabulary) for row in block.itertuples()]
         return pd.concat(parts) if parts else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
 
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    schema = "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     said = replies.filter("block >= 0").drop("vocabulary")
-    return blocks.drop("frequent").groupBy("block").cogroup(said.groupBy("block")).applyInPandas(combine, schema)
+    return keyed(blocks.drop("frequent").groupBy("block").cogroup(said.groupBy("block")).applyInPandas(combine, schema))

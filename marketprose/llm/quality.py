@@ -15,13 +15,13 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from marketprose.llm.common import CACHE_ENTRIES, mixed, word_hashes
+from marketprose.llm.common import Recent, forget_recent, mixed, word_hashes
 
 BITS = 20  # of a hashed indicator
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-class Shapes(dict):
+class Shapes(Recent):
     """Hash of a word's shape: runs of lower-case letters, capitals and digits as one sign each, other signs as runs."""
 
     _runs = (
@@ -32,14 +32,11 @@ class Shapes(dict):
         (regex.compile(r"([^aBC0])\1+"), r"\1\1"),
     )
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
+    def compute(self, word: str) -> int:
         shape = word
         for pattern, sign in self._runs:
             shape = pattern.sub(sign, shape)
-        value = self[word] = hash_text(shape)
-        return value
+        return hash_text(shape)
 
 
 def hash_text(text: str) -> int:
@@ -47,7 +44,7 @@ def hash_text(text: str) -> int:
     return int(hashes[0]) if len(hashes) else 0
 
 
-_SHAPES = Shapes()
+_SHAPES = Shapes(48 << 20)
 
 
 def indicators(text: str) -> np.ndarray:
@@ -214,6 +211,7 @@ def fit_labelled(
         for batch in batches:
             found = [indicators(t).tobytes() for t in batch["_text"]]
             yield pd.DataFrame({"key": batch["_key"], "good": batch["good"], "found": found})
+        forget_recent()
 
     got = rows.mapInPandas(run, "key bigint, good boolean, found binary").collect()
     got.sort(key=lambda r: (r["key"], r["good"], bytes(r["found"])))
@@ -230,7 +228,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def probability(texts: pd.Series) -> pd.Series:
-        return texts.map(shared.value.score).astype(float)
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(shared.value.score).astype(float)
+        forget_recent()
 
     return docs.withColumn(name, probability(F.coalesce(F.col(text), F.lit(""))))

@@ -16,7 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from marketprose.llm.common import frames, mixed, ordered_buckets, walked
+from marketprose.llm.common import as_key, frames, keyed, mixed, ordered_buckets, walked
 
 SIZE = 16  # a power of two
 BITS = 48  # of a hash
@@ -86,7 +86,7 @@ def likeness(a: str, b: str) -> float:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", scaled: int = SCALED) -> DataFrame:
     """Per row: key, n_chars, n_hashes, fingerprint. Null texts count as empty; equal texts have equal fingerprints."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -98,8 +98,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", scale
                 "fingerprint": [to_string(t, s) for t, s in zip(batch["text"], found, strict=True)],
             })
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInPandas(run, f"doc_id {kind}, n_chars bigint, n_hashes bigint, fingerprint string")
+    found = rows.mapInPandas(run, "doc_id string, n_chars bigint, n_hashes bigint, fingerprint string")
+    return keyed(found, kind=dict(docs.dtypes)[key])
 
 
 def edited_text(text: str, following: str) -> str:
@@ -118,8 +118,9 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     placed = walked(ordered_buckets(rows, "doc_id", wrap=True), "doc_id", "text")
+    placed = placed.select("bucket", "lead", as_key("doc_id").alias("doc_id"), "text")
 
-    def compared(doc: int | None, own: str, following: str) -> tuple:
+    def compared(doc: str | None, own: str, following: str) -> tuple:
         edited = edited_text(own, following)
         values = sketch(own, scaled)
         changed = values if edited == own else sketch(edited, scaled)
@@ -133,7 +134,7 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     columns = "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next contained_edited".split()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[int | None, str] | None = None
+        held: tuple[str | None, str] | None = None
         bucket = None
         for of, found in frames(batches):
             out = []
@@ -144,14 +145,14 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
             for doc, own, lead in zip(found["doc_id"], found["text"], found["lead"], strict=True):
                 if held is not None:
                     out.append(compared(*held, own))
-                held = None if lead else (None if pd.isna(doc) else int(doc), own)
+                held = None if lead else (doc, own)
             if out:
-                yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=columns)
         if held is not None:
-            yield pd.DataFrame([compared(*held, "")], columns=columns).astype({"doc_id": "Int64"})
+            yield pd.DataFrame([compared(*held, "")], columns=columns)
 
-    return placed.mapInPandas(
-        run,
-        "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double, contained_edited double",
+    schema = (
+        "doc_id string, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+        "near_edited double, near_next double, contained_edited double"
     )
+    return keyed(placed.mapInPandas(run, schema))

@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from marketprose.llm.common import (
+    as_key,
     dealt,
     filesystem,
     frames,
+    keyed,
     new_folder,
     ordered_buckets,
     put_file,
@@ -277,14 +279,15 @@ def write_shards(
                 bucket, part = of, 0
             for doc, content in zip(found["doc_id"], found["text"], strict=True):
                 packed = encode(content) + end
-                held.append((None if pd.isna(doc) else int(doc), packed))
+                held.append((None if doc is None else int(doc), packed))
                 size += len(packed) // 4
                 if size >= shard_tokens:
                     yield close()
         if held:
             yield close()
 
-    listed = walked(placed, "doc_id", "text").mapInPandas(run, "bucket int, part int, path string, docs bigint, tokens bigint")
+    rows = walked(placed, "doc_id", "text").select("bucket", as_key("doc_id").alias("doc_id"), "text")
+    listed = rows.mapInPandas(run, "bucket int, part int, path string, docs bigint, tokens bigint")
     return written(listed, "wavelet-files")
 
 
@@ -308,8 +311,8 @@ def read_shards(files: DataFrame, ids: bool = True) -> DataFrame:
                 found = []
                 for doc, start, tokens in shard.documents():
                     packed = tokens.astype("<u4").tobytes()
-                    found.append((doc, base + start, len(tokens), zlib.crc32(packed), packed if ids else None))
-                out = pd.DataFrame(found, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
-                yield out.astype({"doc_id": "Int64"})
+                    found.append((None if doc is None else str(doc), base + start, len(tokens), zlib.crc32(packed), packed if ids else None))
+                yield pd.DataFrame(found, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return dealt(based.select("path", "base"), "path").mapInPandas(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    schema = "doc_id string, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
+    return keyed(dealt(based.select("path", "base"), "path").mapInPandas(run, schema))
