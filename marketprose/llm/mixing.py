@@ -5,7 +5,8 @@ cut into blocks. The root of the tree holds how many blocks each source gives; a
 without replacement (multivariate hypergeometric) from its counts, and the right half the rest, down to single
 shards. A shard's blocks of a source follow those of the shards before it, in a permuted block order, so that all draws
 are disjoint. Any task finds the shard of a block by walking down; node draws are seeded by the node, so that they agree
-wherever and whenever they are made. Inside a shard the pieces are shuffled by a seeded hash.
+wherever and whenever they are made. Inside a shard the pieces are shuffled by a seeded hash. What a document gives to
+the mix is the sum of its pieces as the shards hold them.
 """
 
 from __future__ import annotations
@@ -15,14 +16,64 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marketprose.llm.common import mixed
 from marketprose.operators.lookups import fits_broadcast
 from marketprose.operators.windows import offsets
 from marketprose.session import written
 
 WORDS = r"[^\x20\x09-\x0D]+"
-MAX_BLOCKS = 500_000_000  # numpy draws from fewer than 10^9
+NUMPY_DRAWS = 10**9  # numpy draws from fewer
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, wanted: int) -> int:
+    """How many of ``wanted`` draws without replacement are good; for counts of any size that a double can tell apart.
+
+    Beyond numpy's range by rejection: the probabilities are log-concave, so around the mode they lie below a constant
+    and further out below an exponential.
+    """
+    if good + bad < NUMPY_DRAWS:
+        return int(rng.hypergeometric(good, bad, wanted))
+    low, high = max(0, wanted - bad), min(good, wanted)
+    mode = min(max((wanted + 1) * (good + 1) // (good + bad + 2), low), high)
+
+    def log_weight(k: int) -> float:
+        parts = (k, good - k, wanted - k, bad - wanted + k)
+        return -sum(math.lgamma(p + 1) for p in parts)
+
+    top = log_weight(mode)
+    whole = math.lgamma(good + 1) + math.lgamma(bad + 1) + math.lgamma(wanted + 1) + math.lgamma(good + bad - wanted + 1)
+    peak = math.exp(min(0.0, top + whole - math.lgamma(good + bad + 1)))  # probability of the mode
+    width = 1 + peak / 2
+    while True:
+        u, height = rng.random(), rng.random()
+        if u <= width / (1 + width):
+            away = rng.random() * width / peak
+            bound = 1.0
+        else:
+            tail = rng.exponential()
+            away, bound = (width + tail) / peak, math.exp(-tail)
+        k = mode + (1 if rng.random() < 0.5 else -1) * round(away)
+        if low <= k <= high and math.log(max(height * bound, 1e-300)) <= log_weight(k) - top:
+            return k
+
+
+def scattered(values: np.ndarray, size: int, seed: Sequence[int]) -> np.ndarray:
+    """A seeded permutation of 0 .. size - 1, at the given places: rounds over two halves of the bits, repeated for what
+    falls outside."""
+    half = max(1, -(-max(1, size - 1).bit_length() // 2))
+    mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
+    keys = np.random.default_rng(list(seed)).integers(1, 1 << 63, 4).astype(np.uint64)
+    out = values.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        high, low = out[todo] >> shift, out[todo] & mask
+        for key in keys:
+            high, low = low, high ^ (mixed(low + key) & mask)
+        out[todo] = (high << shift) | low
+        todo = todo[out[todo] >= np.uint64(size)]
+    return out.astype(np.int64)
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, repeats: float) -> list[float]:
@@ -55,17 +106,20 @@ class SplittingTree:
                 self._draws.clear()
             wanted = int(counts.sum()) * ((lo + hi) // 2 - lo) // (hi - lo)
             rng = np.random.default_rng([self.seed, lo, hi])
-            self._draws[lo, hi] = rng.multivariate_hypergeometric(counts, wanted, method="marginals")
+            drawn, rest = np.zeros(len(counts), np.int64), int(counts.sum())
+            for k, count in enumerate(counts.tolist()):  # each source in turn against all that follow it
+                rest -= count
+                drawn[k] = hypergeometric(rng, count, rest, wanted)
+                wanted -= int(drawn[k])
+            self._draws[lo, hi] = drawn
         return self._draws[lo, hi]
 
     def permuted(self, source: np.ndarray, block: np.ndarray) -> np.ndarray:
         """Place of each block in its source's permuted order, a bijection for each source."""
         out = np.empty(len(block), np.int64)
         for s in np.unique(source):
-            n, mine = int(self.blocks[s]), source == s
-            rng = np.random.default_rng([self.seed, int(s), n])
-            step = next((a for a in rng.integers(1, n + 1, 64).tolist() if math.gcd(a, n) == 1), 1)
-            out[mine] = (block[mine] * step + int(rng.integers(n))) % n
+            mine = source == s
+            out[mine] = scattered(block[mine], int(self.blocks[s]), (self.seed, int(s), 1))
         return out
 
     def shard(self, source: np.ndarray, block: np.ndarray) -> np.ndarray:
@@ -93,15 +147,15 @@ class SplittingTree:
 
 
 class Mix:
-    """A mix of ``docs``: ``sizes`` (per row: doc_id, source, size), ``targets`` (per source) and ``pieces``.
+    """A mix of ``docs``: ``sizes`` (per row: row, doc_id, source, mark, size), ``targets`` (per source) and ``pieces``.
 
     ``weigh`` gives a weight per source from the list of sources, which are sorted by code point, null last. The
     sources share ``share`` times all words; no target is above ``repeats`` times its source's size. One row per source
     is held in the driver, as the list of weights of any mix is; nothing else is.
 
-    Blocks have ``block_words`` words, or more where a source would have over half a billion blocks. Null texts have no
-    words, and rows without words are never part of a piece. A row is one document; of rows with equal ids and sizes
-    it does not matter which is which. Columns with other names are not read. Equal input gives an equal mix.
+    Pieces are what the splitting tree dealt out, written with their shard and their position inside it; everything else
+    is read from that table. Blocks have ``block_words`` words. Null texts have no words, and rows without words are never
+    part of a piece. Every row is a document of its own, also when it repeats an id. Columns with other names are not read.
     """
 
     def __init__(
@@ -119,38 +173,46 @@ class Mix:
         text: str = "text",
     ):
         spark = docs.sparkSession
-        size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("bigint")
-        rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"))
+        self.key, self.source, self.text, self.seed = key, source, text, seed
+        rows = docs.select(
+            F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"),
+            self._mark().alias("mark"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("bigint").alias("size"),
+        )
         self.sizes = written(rows, "mix-sizes")
         sums = self.sizes.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
         sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
         names, totals = [r["source"] for r in sums], [int(r["n"]) for r in sums]
         targets = water_fill(totals, weigh(names), share * sum(totals), repeats)
         wanted = [round(t) for t in targets]
-        self.block_words = max(block_words, -(-sum(wanted) // MAX_BLOCKS))
-        blocks = [-(-w // self.block_words) for w in wanted]
+        self.block_words = block_words
+        blocks = [-(-w // block_words) for w in wanted]
         self.tree = SplittingTree(blocks, max(1, -(-sum(blocks) // blocks_per_shard)), seed)
         self.targets = spark.createDataFrame(
             list(zip(names, range(len(names)), totals, targets, wanted, strict=True)),
             "source string, source_no int, source_size bigint, target double, wanted bigint",
         )
-        self.pieces = self._pieces(repeats, max(1, -(-sum(r["rows"] for r in sums) // bucket_rows)), seed)
+        self.pieces = written(self._pieces(repeats, max(1, -(-sum(r["rows"] for r in sums) // bucket_rows))), "mix-pieces")
+
+    def _mark(self) -> Column:
+        """Tells rows of one id and source apart by their text."""
+        return F.xxhash64(F.col(self.text))
 
     def _numbered(self) -> DataFrame:
         t = self.targets.withColumnRenamed("source", "_source")
-        return self.sizes.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        return self.sizes.join(F.broadcast(t), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
-    def _pieces(self, repeats: int, buckets: int, seed: int) -> DataFrame:
-        """Runs of words: shard, position (1.. inside the shard), source, source_no, block, doc_id, copy, first_word, words."""
+    def _pieces(self, repeats: int, buckets: int) -> DataFrame:
+        """Runs of words: shard, position (1.. inside the shard), source, source_no, block, row, doc_id, copy, first_word, words."""
         copies = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
         rows = self._numbered().filter("size > 0").withColumn("copy", copies)
         # words of this copy of the stream that the mix takes
         rows = rows.withColumn("quota", F.least("source_size", F.col("wanted") - F.col("copy") * F.col("source_size")))
         rows = rows.filter("quota > 0")
-        order = F.xxhash64("doc_id", "size", "copy", F.lit(seed))
+        seed = F.lit(self.seed)
+        order = F.xxhash64("doc_id", "mark", "copy", seed)
         rows = rows.withColumn("order", order).withColumn("bucket", F.pmod("order", F.lit(buckets)))
         keys = ["source_no", "copy"]
-        inside = Window.partitionBy(*keys, "bucket").orderBy("order", "doc_id", "size")
+        inside = Window.partitionBy(*keys, "bucket").orderBy("order", "doc_id", "mark", "row")
         inside = inside.rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.join(offsets(rows, keys, "bucket", F.col("size")), [*keys, "bucket"])
         rows = rows.withColumn("offset", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -158,7 +220,7 @@ class Mix:
         start = F.col("copy") * F.col("source_size") + F.col("offset")
         words = F.lit(self.block_words)
         cut = rows.select(
-            "source", "source_no", "doc_id", "copy", start.alias("start"), "take",
+            "source", "source_no", "row", "doc_id", "copy", start.alias("start"), "take",
             F.explode(F.sequence(F.floor(start / words), F.floor((start + F.col("take") - 1) / words))).alias("block"),
         )
         first = F.greatest(F.col("block") * words, F.col("start"))
@@ -170,36 +232,50 @@ class Mix:
             return pd.Series(tree.shard(source.to_numpy(np.int64), block.to_numpy(np.int64)))
 
         dealt = cut.select(
-            shard("source_no", "block").alias("shard"), "source", "source_no", "block", "doc_id", "copy",
+            shard("source_no", "block").alias("shard"), "source", "source_no", "block", "row", "doc_id", "copy",
             (first - F.col("start")).alias("first_word"), (last - first).alias("words"),
         )
         shuffled = Window.partitionBy("shard").orderBy(
-            F.xxhash64(F.lit(seed), "source_no", "block", "doc_id", "copy", "first_word"),
-            "source_no", "block", "doc_id", "copy", "first_word",
+            F.xxhash64(seed, "source_no", "block", "doc_id", "copy", "first_word"), "source_no", "block", "doc_id", "copy", "first_word", "row",
         )
         return dealt.withColumn("position", F.row_number().over(shuffled))
 
     def taken(self) -> DataFrame:
-        """Per document and source: doc_id, source_no, size, taken (words of all its pieces)."""
-        numbered = self._numbered().select("doc_id", "source_no", "size", F.lit(0).cast("bigint").alias("taken"))
-        used = self.pieces.select("doc_id", "source_no", F.lit(0).cast("bigint").alias("size"), F.col("words").alias("taken"))
-        return numbered.unionByName(used).groupBy("doc_id", "source_no").agg(
-            F.sum("size").alias("size"), F.sum("taken").cast("bigint").alias("taken")
-        )
+        """Per row: row, doc_id, source, source_no, mark, size, taken (words of its pieces in all shards), shards."""
+        used = self.pieces.groupBy("row").agg(
+            F.sum("words").cast("bigint").alias("taken"), F.collect_set("shard").alias("shards")  # a document's own pieces
+        )
+        rows = self._numbered().select("row", "doc_id", "source", "source_no", "mark", "size")
+        found = rows.join(used, "row", "left")
+        none = F.array().cast("array<bigint>")
+        return found.withColumns({"taken": F.coalesce("taken", F.lit(0).cast("bigint")), "shards": F.coalesce("shards", none)})
 
-    def documents(self, docs: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
-        """The rows of ``docs``, each as often as the mix takes its words, rounded; all columns are kept.
+    def documents(self, docs: DataFrame) -> DataFrame:
+        """The rows of ``docs``, each as often as the mix takes its words, rounded, in the order of shard and position.
 
-        Ids are expected to be unique within a source; rows that share one share its words evenly.
+        All columns are kept. A copy stands where its first piece stands; sorted by range, so that files written from
+        it hold the shards one after the other. Rows with equal ids, sources and texts share their words evenly.
         """
-        names = self.targets.select("source_no", "source")
-        copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-        used = self.taken().filter("taken > 0").withColumn("copies", copies).filter("copies > 0").join(names, "source_no")
-        used = written(used.select(F.col("doc_id").alias("used_id"), F.col("source").alias("used_source"), "copies"), "mix-copies")
+        count = F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int")
+        alike = ["doc_id", "source", "mark"]
+        used = self.taken().filter("taken > 0").groupBy(*alike).agg(count.alias("copies")).filter("copies > 0")
+        first = F.min(F.struct("shard", "position"))
+        places = self.pieces.groupBy("row", "copy").agg(first.alias("place"))
+        rows = self.sizes.select("row", *alike)
+        # repeated rows may number in the thousands, so each copy number keeps one place
+        places = places.join(rows, "row").groupBy(*alike, "copy").agg(F.min("place").alias("place"))
+        places = places.groupBy(*alike).agg(F.array_sort(F.collect_list("place")).alias("places"))  # one per copy number
+        same = [F.col(f"u.{c}").eqNullSafe(F.col(f"p.{c}")) for c in alike]
+        used = used.alias("u").join(places.alias("p"), same).select("u.*", "p.places")
+        used = written(used.select(*[F.col(c).alias(f"_{c}") for c in alike], "copies", "places"), "mix-copies")
         used = F.broadcast(used) if fits_broadcast(used) else used
         # the rows travel as one column, so that no name of theirs can clash
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        rows = docs.select(row.alias("row"), F.col(key).alias("key"), F.col(source).cast("string").alias("of"))
-        same = F.col("key").eqNullSafe(F.col("used_id")) & F.col("of").eqNullSafe(F.col("used_source"))
+        rows = docs.select(
+            row.alias("row"), F.col(self.key).alias("doc_id"), F.col(self.source).cast("string").alias("source"), self._mark().alias("mark")
+        )
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alike]
         again = rows.join(used, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        return again.select("row.*")
+        place = F.element_at("places", F.least("copy", F.size("places")))
+        again = again.select("row", place["shard"].alias("shard"), place["position"].alias("position"))
+        return again.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position").select("row.*")

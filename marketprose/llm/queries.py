@@ -38,8 +38,9 @@ def three_weights(sources: list[str | None]) -> list[float]:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that the mix of all sources takes."""
     mix = mixing.Mix(table(spark, sf_dir, "documents"), three_weights)
-    targets = mix.targets.select("source_no", "source", "source_size", "target")
-    return mix.taken().join(targets, "source_no").select("doc_id", "source", "size", "source_size", "target", "taken")
+    targets = mix.targets.select("source_no", "source_size", "target")
+    taken = mix.taken().join(targets, "source_no")
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", F.array_sort("shards").alias("shards"))
 
 
 @query

@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from marketprose.llm.common import dealt, filesystem, new_folder, put_file
+from marketprose.llm.common import dealt, filesystem, keyed, new_folder, put_file
+from marketprose.operators.lookups import keyed_join
 from marketprose.session import written
 
 #: Fixed values of the two formats.
@@ -38,6 +39,11 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "arc-to-warc")
 
 
+def member(record: bytes) -> bytes:
+    """A record as a gzip member; the lightest level, since archives are read more often than kept."""
+    return gzip.compress(record, compresslevel=1, mtime=0)
+
+
 def arc_header(version: int, **fields: object) -> bytes:
     """One header line; a field without a value is a dash."""
     return " ".join(str(fields.get(name) or (0 if name == "length" else "-")) for name in ARC_FIELDS[version]).encode() + b"\n"
@@ -54,7 +60,7 @@ def arc_file(version: int, name: str, date: str, records: list[tuple[str, str, b
         head = arc_header(version, **fields, url=url, content_type=kind, length=len(body), checksum=checksum, offset=size)
         out.append(head + body + b"\n")
         size += len(out[-1])
-    return b"".join(gzip.compress(record, compresslevel=6, mtime=0) for record in out)
+    return b"".join(map(member, out))
 
 
 def arc_records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -64,8 +70,7 @@ def arc_records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     offsets count opened bytes.
     Raises ValueError when a header or a declared length does not fit the file.
     """
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
+    content = _opened(content)
     at, version = 0, 0
     while at < len(content):
         if content[at] in b"\r\n":  # between records
@@ -122,11 +127,16 @@ def record_id(source: str, offset: int) -> str:
 def warc_record(fields: dict[str, str], block: bytes) -> bytes:
     """One record as a gzip member."""
     lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields.items()), f"Content-Length: {len(block)}", "", ""]
-    return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n", compresslevel=6, mtime=0)
+    return member("\r\n".join(lines).encode() + block + b"\r\n\r\n")
 
 
-def converted(source: str, offset: int, fields: dict[str, str], body: bytes, refers_to: str | None) -> bytes:
-    """The WARC record of an ARC record; a revisit if ``refers_to`` names the record with the payload."""
+def converted(
+    source: str, offset: int, fields: dict[str, str], body: bytes, refers_to: str | None, digest: str | None = None
+) -> bytes:
+    """The WARC record of an ARC record; a revisit if ``refers_to`` names the record with the payload.
+
+    ``digest`` is the payload's SHA-256 where it is known.
+    """
     if fields["url"].startswith("filedesc://"):
         kind, mime, block, payload = "warcinfo", "application/warc-fields", f"isPartOf: {source}\r\n".encode(), None
     else:
@@ -137,7 +147,7 @@ def converted(source: str, offset: int, fields: dict[str, str], body: bytes, ref
     out = {"WARC-Type": kind, "WARC-Record-ID": record_id(source, offset), "WARC-Date": warc_date(fields["date"])}
     if payload is not None:
         out["WARC-Target-URI"] = fields["url"]
-        out["WARC-Payload-Digest"] = f"sha256:{hashlib.sha256(payload).hexdigest()}"
+        out["WARC-Payload-Digest"] = f"sha256:{digest or hashlib.sha256(payload).hexdigest()}"
         out["X-Payload-Length"] = str(len(payload))
         if re.fullmatch(r"[0-9a-fA-F.:]+", fields["ip"]) and fields["ip"] != "0.0.0.0":
             out["WARC-IP-Address"] = fields["ip"]
@@ -166,13 +176,20 @@ def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-def _opened(content: bytes) -> bytes:
-    out = []
-    while content[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(content))
-        content = member.unused_data
-    return b"".join([*out, content])
+def _opened(content: bytes, step: int = 1 << 16) -> bytes:
+    """Gzip members one after the other, each handed over in steps so that what follows it is not copied each time."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out, at, view = [], 0, memoryview(content)
+    while at < len(view) and view[at : at + 2] == b"\x1f\x8b":
+        reader = zlib.decompressobj(31)
+        while not reader.eof and at < len(view):
+            out.append(reader.decompress(view[at : at + step]))
+            at += min(step, len(view) - at)
+        if not reader.eof:
+            raise ValueError("gzip member is cut off")
+        at -= len(reader.unused_data)
+    return b"".join([*out, view[at:]])
 
 
 def _read(path: str) -> bytes:
@@ -242,10 +259,10 @@ def arc_index(files: DataFrame) -> DataFrame:
                         head, _, payload = http_parts(body)
                         key = head.get("x-page-id")
                         found.append((path, offset, hashlib.sha256(payload).hexdigest(), len(payload), key))
-                out = pd.DataFrame(found, columns=["path", "offset", "digest", "size", "key"])
-                yield out.assign(key=pd.to_numeric(out["key"]).astype("Int64"))
+                yield pd.DataFrame(found, columns=["path", "offset", "digest", "size", "key"])
 
-    return dealt(files, "path").mapInPandas(run, "path string, offset bigint, digest string, size bigint, key bigint")
+    found = dealt(files, "path").mapInPandas(run, "path string, offset bigint, digest string, size bigint, key string")
+    return keyed(found, "key")
 
 
 def arc_to_warc(files: DataFrame, folder: str | None = None, least_bytes: int = 100) -> DataFrame:
@@ -262,21 +279,26 @@ def arc_to_warc(files: DataFrame, folder: str | None = None, least_bytes: int =
     kept = index.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     kept = kept.filter("n > 1").select("digest", F.col("first.path").alias("first_path"), F.col("first.offset").alias("first_offset"))
     other = ~((F.col("path") == F.col("first_path")) & (F.col("offset") == F.col("first_offset")))
-    again = index.filter(F.col("size") >= least_bytes).join(kept, "digest").filter(other)
-    plan = again.select("path", "offset", "first_path", "first_offset").unionByName(
-        files.select("path", F.lit(None).cast("bigint").alias("offset"), F.lit(None).cast("string").alias("first_path"),
-                     F.lit(None).cast("bigint").alias("first_offset"))
-    )
+    again = keyed_join(index.filter(F.col("size") >= least_bytes), kept, "digest", "inner").filter(other)
+    # per record what is known of it already; a file without records has one row that says nothing
+    known = ["path", "offset", "digest", "first_path", "first_offset"]
+    plan = index.join(again.select("path", "offset", "first_path", "first_offset"), ["path", "offset"], "left").select(*known)
+    plan = plan.unionByName(files.select("path", F.lit(-1).cast("bigint").alias("offset")), allowMissingColumns=True)
+    plan = plan.withColumn("first_offset", F.coalesce("first_offset", F.lit(-1).cast("bigint")))
 
     def convert(rows: pd.DataFrame) -> pd.DataFrame:
         path = rows["path"].iloc[0]
         name = path.rpartition("/")[2]
-        seen = rows.dropna(subset=["offset"])
+        digests = dict(zip(rows["offset"].tolist(), rows["digest"], strict=True))
+        seen = rows[rows["first_offset"] >= 0]
         firsts = {
-            int(o): record_id(p.rpartition("/")[2], int(f))
-            for o, p, f in zip(seen["offset"], seen["first_path"], seen["first_offset"], strict=True)
+            o: record_id(p.rpartition("/")[2], f)
+            for o, p, f in zip(seen["offset"].tolist(), seen["first_path"], seen["first_offset"].tolist(), strict=True)
         }
-        parts = [converted(name, offset, fields, body, firsts.get(offset)) for offset, fields, body in arc_records(_read(path))]
+        parts = [
+            converted(name, offset, fields, body, firsts.get(offset), digests.get(offset))
+            for offset, fields, body in arc_records(_read(path))
+        ]
         target = f"{folder}/{name.removesuffix('.gz').removesuffix('.arc')}.warc.gz"
         put_file(target, b"".join(parts))
         return pd.DataFrame({"path": [target]})
@@ -309,14 +331,13 @@ def read_warc(files: DataFrame) -> DataFrame:
                         head.get("x-page-id"), int(fields["x-payload-length"]), digest, fields.get("warc-refers-to"),
                         payload if whole else None,
                     ))
-                out = pd.DataFrame(found, columns=columns)
-                yield out.assign(page_id=pd.to_numeric(out["page_id"]).astype("Int64"))
+                yield pd.DataFrame(found, columns=columns)
 
     schema = (
-        "record_id string, record_type string, date string, url string, page_id bigint, payload_bytes bigint, "
+        "record_id string, record_type string, date string, url string, page_id string, payload_bytes bigint, "
         "payload_digest string, refers_to_id string, payload binary"
     )
-    return dealt(files, "path").mapInPandas(run, schema)
+    return keyed(dealt(files, "path").mapInPandas(run, schema), "page_id")
 
 
 def with_targets(records: DataFrame) -> DataFrame:
@@ -327,4 +348,7 @@ def with_targets(records: DataFrame) -> DataFrame:
     targets = records.filter("record_type != 'revisit'").select(
         F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")
     )
-    return records.join(targets, "refers_to_id", "left")
+    plain = records.filter("refers_to_id IS NULL").withColumn("refers_to", F.lit(None).cast("bigint"))
+    again = records.filter("refers_to_id IS NOT NULL")
+    wanted = targets.join(again.select("refers_to_id").distinct(), "refers_to_id", "left_semi")
+    return plain.unionByName(keyed_join(again, wanted, "refers_to_id", "left").select(plain.columns))
