@@ -59,10 +59,25 @@ _GROUP = {name: group for group, names in NAMES.items() for name in names.split(
 _TAGS = set("article main section aside nav header footer form ul ol dl table figure blockquote pre details dialog address".split())
 
 
+#: Parts of a name that tell a state of the page, not what an element is.
+STATES = set("has no not with without is show hide on off open closed fixed enabled disabled active".split())
+NEAR = 2  # elements down to which a name speaks of the blocks inside
+
+
+def name_group(name: str) -> str | None:
+    """The group of a class name, id or role: by the whole name, or by its last part where no part tells a state."""
+    name = name.rstrip("0123456789").strip("-_")
+    if name in _GROUP:
+        return _GROUP[name]
+    parts = [p for p in re.split(r"[-_]+", name) if p]
+    return _GROUP.get(parts[-1]) if parts and STATES.isdisjoint(parts) else None
+
+
 @dataclass
 class Node:
     tag: str
-    marks: frozenset[str]
+    marks: dict[str, int]  # groups of names above, and how many elements above
+    under: frozenset[str]  # tags above
     main: bool
     silent: bool = False
     apart: bool = False  # a formula in its own block
@@ -88,7 +103,7 @@ class BlockParser(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.path: list[Node] = [Node("", frozenset(), False)]
+        self.path: list[Node] = [Node("", {}, frozenset(), False)]
         self.blocks: list[tuple[str, Node, list[str], int]] = []
         self.run = _Run()
         self.links = 0
@@ -103,7 +118,7 @@ class BlockParser(HTMLParser):
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag == "html" or tag == "head" and any(n.tag not in ("", "html") for n in self.path):
             if tag == "html" and len(self.path) == 1:
-                self.path.append(Node(tag, frozenset(), "data-main" in dict(attrs)))
+                self.path.append(Node(tag, {}, frozenset(), "data-main" in dict(attrs)))
             return
         if self.path[-1].tag == "head" and tag not in HEAD or tag == "body":
             self._end_head()
@@ -117,7 +132,7 @@ class BlockParser(HTMLParser):
             if tag in ("option", "optgroup"):
                 self._close(tag)
             up = self.path[-1]
-            self.path.append(Node(tag, up.marks, up.main, True))
+            self.path.append(Node(tag, up.marks, up.under, up.main, True))
             return
         found = dict(attrs)
         if tag not in INLINE:
@@ -126,17 +141,17 @@ class BlockParser(HTMLParser):
         elif tag == "math" and found.get("display") == "block":
             self._flush()
         up = self.path[-1]
-        marks = set()
-        for name in re.split(r"[\s]+", " ".join(str(found.get(k) or "") for k in ("class", "id", "role")).lower()):
-            for part in {name, *re.split(r"[-_]+", name), *re.split(r"[-_]+", name.rstrip("0123456789"))}:
-                if part in _GROUP:
-                    marks.add("in:" + _GROUP[part])
-        if tag in _TAGS:
-            marks.add("under:" + tag)
+        names = " ".join(str(found.get(k) or "") for k in ("class", "id", "role")).lower().split() if tag != "body" else []
+        own = {g for g in map(name_group, names) if g}
+        if "content" in own and len(own) > 1:  # an article that is said to have something
+            own = {"content"} if names and name_group(names[0]) == "content" else own - {"content"}
+        step = 0 if tag in INLINE else NEAR + 1 if tag in ("article", "main") and own <= {"content"} else 1
+        marks = {g: far + step for g, far in up.marks.items()} | dict.fromkeys(own, 0)
         if tag == "a":
             self.links += 1
         apart = tag == "math" and found.get("display") == "block"
-        self.path.append(Node(tag, up.marks | marks, up.main or "data-main" in found, apart=apart))
+        main = (up.main or "data-main" in found) and "data-off" not in found
+        self.path.append(Node(tag, marks, up.under | {tag} if tag in _TAGS else up.under, main, apart=apart))
 
     def _close(self, tag: str) -> None:
         """Cut at an open p, li, td, option ... that the start of this tag ends."""
@@ -196,12 +211,14 @@ def block_features(text: str, node: Node, tags: list[str], linked: int, i: int,
     share = linked / max(1, letters)
     links = 0 if not linked else 1 if share < 0.3 else 2 if share < 0.8 else 3
     ends = text[-1] in ".!?…。！？:;\"'»”)"
-    found = sorted(node.marks)
-    inside = "in:content" in node.marks or "under:article" in node.marks or "under:main" in node.marks
+    found = sorted(f"{'in' if far <= NEAR else 'far'}:{group}" for group, far in node.marks.items())
+    inside = "content" in node.marks or "article" in node.under or "main" in node.under
+    tops = [f"under:{t}" for t in sorted(node.under)]
     tag = tags[-1] if tags else "none"
     out = ["all", f"tag:{tag}", f"long:{length}", f"links:{links}", f"long:{length}+links:{links}", f"ends:{ends}", f"same:{same}"]
-    out += found
-    out += [f"{m}+inside:{inside}" for m in found if m.startswith("in:")]
+    out += found + tops
+    out += [f"{m}+inside:{inside}" for m in found]
+    out += [f"{m}+long:{length}" for m in found if m.startswith("far:")]
     out += [f"inside:{inside}", f"inside:{inside}+long:{length}", f"inside:{inside}+links:{links}", f"inside:{inside}+tag:{tag}"]
     if total == 1:
         out.append("only")
@@ -318,6 +335,7 @@ class PageWriter:
 
     def __init__(self, seed: int):
         self.random = random.Random(seed)
+        self.sure = False  # names tell what a part is; inside an article nothing else would
 
     def words(self, low: int, high: int) -> str:
         r = self.random
@@ -329,7 +347,7 @@ class PageWriter:
 
     def named(self, *names: str) -> str:
         r = self.random
-        if r.random() < 0.15:
+        if r.random() < 0.15 and not self.sure:
             return f' class="c{r.randint(100, 999)}"'
         name = r.choice(names)
         return r.choice([f' class="{name}"', f' id="{name}"', f' class="x1 {name}"', f' class="{name} {name}-inner"'])
@@ -364,6 +382,10 @@ class PageWriter:
             text = f"<b>{self.words(1, 4)}</b> {text}"
         if r.random() < 0.1:
             text = text.replace(" ", "<br>", 1)
+        if r.random() < 0.08:
+            text = text.replace(" ", r.choice([" | ", " · ", " • "])) if "<" not in text else text
+        if r.random() < 0.05:
+            text = f'<a href="/y">{self.sentence(4, 20)}</a>'
         return text
 
     def article(self) -> str:
@@ -424,26 +446,46 @@ class PageWriter:
             self.named("content", "post", "entry-content", "article-body", "story", "main")), "<section data-main>{}</section>",
             "<table><tr><td data-main>{}</td></tr></table>", "<div data-main>{}</div>"])
         pieces = re.split(r"(?=<p>|<h2>|<h3>)", self.article())
+        if r.random() < 0.25:  # the article alone in an element of another name
+            inner = self.misleading()
+            frame = r.choice([f"<div class='{inner}'>{frame}</div>", frame.replace("<article", f"<article class='post {inner}-on'")])
+        self.sure = True
         within = [self.noise(r.choice(["advert", "share", "related", "notice"])) for _ in range(r.choice([0, 0, 0, 1, 2]))]
+        self.sure = False
         opening, closing = frame.split("{}")
         plain_close = closing
         text = opening + "".join(pieces) + closing
-        if within and len(pieces) > 2:  # a part that interrupts the article is not main text
+        if within and r.random() < 0.5:  # a part that interrupts the article is not main text
+            quote = f"<aside{self.named('pullquote', 'side')} data-off>{self.sentence(4, 15)}</aside>"
+            for part in [re.sub(r"^<(\w+)", r"<\1 data-off", p) for p in [*within, *[quote] * (r.random() < 0.5)]]:
+                pieces.insert(r.randint(0, len(pieces)), part)
+            text = opening + "".join(pieces) + closing
+        elif within and len(pieces) > 2:
             at = r.randint(1, len(pieces) - 1)
             bare = opening.replace(" data-main", "")
             tag = f"<div data-main>{''.join(pieces[:at])}</div>{''.join(within)}<div data-main>{''.join(pieces[at:])}</div>"
             text = bare + tag + plain_close
         if r.random() < 0.25 and "<article" in text:
             text = f"<main>{text}{self.noise('related') if r.random() < 0.5 else ''}</main>"
-        before = [k for k in ("notice", "top", "menu", "advert", "form", "side") if r.random() < 0.45]
+        quiet = r.random() < 0.2  # nothing comes before the article
+        before = [] if quiet else [k for k in ("notice", "top", "menu", "advert", "form", "side") if r.random() < 0.45]
         after = [k for k in ("share", "related", "comments", "form", "side", "advert", "notice", "bottom") if r.random() < 0.45]
         body = "".join(map(self.noise, before)) + text + "".join(map(self.noise, after))
         if r.random() < 0.3:
             body = f"<div class='{r.choice(['wrapper', 'page', 'container', 'c12'])}'>{body}</div>"
-        return f"<!DOCTYPE html><html><head><title>{self.words(2, 9)}</title></head><body>{body}</body></html>"
+        if r.random() < 0.35:  # names that speak of the whole page, around all of it
+            body = f"<div class='{self.misleading()}'>{body}</div>"
+        mark = f" class='{self.misleading()}'" if r.random() < 0.3 else ""
+        return f"<!DOCTYPE html><html><head><title>{self.words(2, 9)}</title></head><body{mark}>{body}</body></html>"
+
+    def misleading(self) -> str:
+        """A name of a part that the element is not."""
+        r = self.random
+        name = r.choice([n for names in NAMES.values() for n in names.split()])
+        return r.choice(["{}", "{}", "right-{}", "has-{}", "{}-open", "{}-fixed", "{}-results", "page {}", "with-{}", "{}-layout"]).format(name)
 
 
-def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
+def labelled_pages(count: int = 600, seed: int = 7) -> list[str]:
     writer = PageWriter(seed)
     bare = [f"<html><body data-main>{writer.article()}</body></html>" for _ in range(count // 20)]
     tags = ["div", "p", "span", "pre"]

@@ -22,8 +22,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marketprose.llm.common import dealt, frames
+from marketprose.llm.common import as_key, dealt, frames, keyed
 from marketprose.llm.graph import components
+from marketprose.operators.lookups import keyed_join
 from marketprose.session import written
 
 LEAF = 256
@@ -39,22 +40,24 @@ def matrix(column: pd.Series, kind: str) -> np.ndarray:
 
 
 def unit_vectors(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """vec_id, label, space (digest of label and vector length), digest, unit (doubles) of all vectors that can link."""
+    """vec_id, space (label and vector length), digest, unit (doubles) per row; the last three null where it can't link."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for k, name, values in zip(batch["k"], batch["label"], batch["v"], strict=True):
-                x = np.array([np.nan if c is None else c for c in values], np.float64) + 0.0
+                usable = k is not None and name is not None and values is not None
+                x = np.array([np.nan if c is None else c for c in values] if usable else [], np.float64) + 0.0
                 norm = np.linalg.norm(x / (np.abs(x).max() or 1.0)) if len(x) and np.isfinite(x).all() else 0.0
                 if norm > 0:
                     x = x / np.abs(x).max()
                     out.append((k, f"{len(x)}:{name}", hashlib.sha256(x.tobytes()).hexdigest(), (x / norm).tobytes()))
+                else:
+                    out.append((k, None, None, None))
             yield pd.DataFrame(out, columns=["vec_id", "space", "digest", "unit"])
 
-    chosen = rows.select(F.col(key).cast("bigint").alias("k"), F.col(label).cast("string").alias("label"), F.col(vector).alias("v"))
-    chosen = chosen.filter("k IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
-    return chosen.mapInPandas(run, "vec_id bigint, space string, digest string, unit binary")
+    chosen = rows.select(as_key(key).alias("k"), F.col(label).cast("string").alias("label"), F.col(vector).alias("v"))
+    return keyed(chosen.mapInPandas(run, "vec_id string, space string, digest string, unit binary"), "vec_id")
 
 
 def leaf_edges(nodes: DataFrame, sizes: DataFrame, tree: int, k: int) -> DataFrame:
@@ -281,13 +284,15 @@ def near_vectors(
     """Near-duplicates among vectors with equal labels and equal lengths.
 
     Null labels, null or empty vectors, zero vectors, and null, NaN or infinite components link with nothing; neither
-    do rows with a null key. Equal vectors (also after scaling) are one node; rows that repeat a key are vectors of
-    their own. ``sample`` nodes are audited against all; rounds go on until none finds a link and recall meets
-    ``goal``, or ``max_rounds`` are done. The result tells the recall.
+    do rows with a null key. Equal vectors (also after scaling) are one node with a number of its own; every row is a
+    vector of its own, also when it repeats a key. ``sample`` nodes are audited against all; rounds go on until none
+    finds a link and recall meets ``goal``. The result tells the recall; a RuntimeError says that ``max_rounds`` did not
+    suffice.
     """
     units = written(unit_vectors(rows, key, vector, label), "vectors")
-    nodes = units.groupBy("space", "digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.min("unit").alias("unit"))
-    nodes = written(nodes, "vector-nodes")
+    usable = units.filter("digest IS NOT NULL")
+    nodes = usable.groupBy("space", "digest").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.min("unit").alias("unit"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
     sizes = nodes.groupBy("space").agg(F.count("*").alias("nodes"))
     graph = membership = None
     recall = found = planted = 0
@@ -307,15 +312,18 @@ def near_vectors(
             if recall >= goal:
                 break
             log.warning("recall of links is %.4f after %d rounds, the goal is %.4f", recall, turn + 1, goal)
+    if recall < goal:
+        raise RuntimeError(f"recall of links is {recall:.4f} after {max_rounds} rounds, the goal is {goal}")
     more = counted(nodes, membership, threshold)
-    classes = nodes.select("space", "digest", "node", "n")
-    done = classes.join(membership, "node", "left").join(more, "node", "left").select(
+    classes = nodes.select("space", "digest", "node", "n", "first").join(membership, "node", "left").join(more, "node", "left")
+    named = classes.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("smallest"))
+    done = keyed_join(classes, named, "component").select(
         "space", "digest", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "node").alias("component_id"),
+        F.coalesce("smallest", "first").alias("component_id"),
     )
-    linked = units.join(done, ["space", "digest"]).select("vec_id", "n_links", "component_id")
-    valid = units.select(F.col("vec_id").alias("_k")).distinct()
-    alone = rows.select(F.col(key).cast("bigint").alias("vec_id")).join(valid, F.col("vec_id") == F.col("_k"), "left_anti")
+    linked = keyed_join(usable.select("vec_id", "space", "digest"), done, ["space", "digest"], "inner")
+    linked = linked.select("vec_id", "n_links", "component_id")
+    alone = units.filter("digest IS NULL")
     alone = alone.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     result = linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
     return NearVectors(result, links, recall)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from marketprose.llm import html
 
@@ -52,6 +54,39 @@ def test_page(model):
     ]
 
 
+BODY = "".join(f"<p>Paragraph {k} of the article tells something that is long enough to be prose, and goes on.</p>" for k in range(4))
+LAYOUTS = [
+    f'<body class="comments-open">{{}}<article>{BODY}</article></body>',
+    f'<body>{{}}<article class="post related-posts-on">{BODY}</article></body>',
+    *(f'<body>{{}}<div class="{name}"><article>{BODY}</article></div></body>'
+      for name in ("right-sidebar", "search-results", "menu-open", "header-fixed", "contact", "has-sidebar", "layout-comments")),
+    f'<body>{{}}<div class="post-content has-sidebar">{BODY}</div></body>',
+    f'<body class="no-sidebar"><div id="page">{{}}<main><div class="entry-content">{BODY}</div></main></div></body>',
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("top", ["", "<nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav>"])
+def test_names_that_speak_of_something_else(model, layout, top):
+    page = layout.format(top)
+    assert model.text(page).split("\n") == re.findall("<p>(.*?)</p>", BODY)
+
+
+def test_links_and_pull_quotes_in_an_article(model):
+    link = '<p><a href="/x">See the whole report on the matter, as it was published by the office last year.</a></p>'
+    quote = '<aside class="pullquote">Something that was said.</aside>'
+    parts = re.findall("<p>.*?</p>", BODY)
+    for page in (f"<article><h1>Title</h1>{parts[0]}{link}{parts[1]}</article>", f"<article><h1>Title</h1>{parts[0]}{quote}{parts[1]}{parts[2]}</article>"):
+        assert {re.sub("<.*?>", "", p) for p in parts[:2]} <= set(model.text(f"<body>{page}</body>").split("\n"))
+    assert "whole report" in model.text(f"<body><article><h1>Title</h1>{parts[0]}{link}{parts[1]}</article></body>")
+
+
+def test_name_groups():
+    groups = {"right-sidebar": "side", "has-sidebar": None, "comments-open": None, "sidebar2": "side", "post-content": "content",
+              "related-posts-on": None, "header-fixed": None, "search-results": None, "x": None, "": None, "comment-list": None}
+    assert {n: html.name_group(n) for n in groups} == groups
+
+
 def test_broken_markup(model):
     for page in ["<", "</p></div>", "<p" * 100, "<b>" * 500 + "x", "<!-- never closed", "<script>never closed <p>x</p>", "&#xD800;&bogus;", "<![CDATA[x]]>"]:
         model.text(page)

@@ -70,6 +70,16 @@ def test_adjacent_families_that_fill_each_others_lists(spark):
     assert len({c for _, _, c in got}) == 5 and found.recall == 1.0
 
 
+def test_rows_that_repeat_an_id(spark):
+    big = 2**60 + 1
+    rows = [(big, [1.0, 0.0], 1), (big, [0.0, 1.0], 1), (big, None, 1), (big + 1, [0.0, 2.0], 1), (big + 2, [1.0, 0.05], 1),
+            (5, [0.05, 1.0], 1), (None, [1.0, 0.0], 1), (None, None, None), (5, [0.0, 0.0], 1)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in neighbours.near_vectors(table, 0.98).vectors.collect())
+    want = [(big, 1, big), (big, 2, 5), (big, 0, big), (big + 1, 2, 5), (big + 2, 1, big), (5, 2, 5), (0, 0, 0), (0, 0, 0), (5, 0, 5)]
+    assert got == sorted(want)
+
+
 def test_empty(spark):
     table = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert neighbours.near_vectors(table).vectors.count() == 0
