@@ -1,7 +1,7 @@
-"""Lemma, part-of-speech and valence look-ups for word tables that are small enough to sit in a plan.
+"""Lemma, part-of-speech and valence look-ups for word lists that sit in the plan, and the ending rules.
 
-Membership tests become hash-set probes, so the cost per word does not grow with the table.
-Tables past ``MAX_INLINE`` words belong in ``operators.lookups.lexicon_join``.
+Membership tests become hash-set probes, so the cost per word does not grow with the list. Tables
+that are DataFrames, of any size, go through ``operators.lexicon``.
 """
 
 from __future__ import annotations
@@ -12,20 +12,12 @@ from pyspark.sql import Column, functions as F
 
 from marketprose.functions import words as W
 
-MAX_INLINE = 20_000
-
-
-def _checked(table):
-    if len(table) > MAX_INLINE:
-        raise ValueError(f"{len(table)} words are too many for an inline table; use lexicon_join")
-    return table
-
 
 def choose(word: Column, groups: Mapping[object, Iterable[str]], default: Column) -> Column:
     """The key of the first group holding the word."""
     out = None
     for value, members in groups.items():
-        test = word.isin(_checked(list(members)))
+        test = word.isin(list(members))
         out = F.when(test, F.lit(value)) if out is None else out.when(test, F.lit(value))
     return default if out is None else out.otherwise(default)
 
@@ -39,7 +31,7 @@ def by_value(table: Mapping[str, object]) -> dict[object, list[str]]:
 
 def _exceptions(word: Column, table: Mapping[str, str], ruled: Column) -> Column:
     # one hash probe sends ordinary words straight to the rules
-    return F.when(word.isin(_checked(list(table))), choose(word, by_value(table), word)).otherwise(ruled)
+    return F.when(word.isin(list(table)), choose(word, by_value(table), word)).otherwise(ruled)
 
 
 def _drop(word: Column, n: int) -> Column:
@@ -53,23 +45,25 @@ def _ends(word: Column, endings: Iterable[str]) -> Column:
     return test
 
 
-def noun_lemma(word: Column, exceptions: Mapping[str, str] | None = None) -> Column:
-    """Singular form: the exception table first, then ordered ending rules, else the word."""
-    table = W.NOUN_LEMMAS if exceptions is None else exceptions
-    ruled = (
+def noun_rules(word: Column) -> Column:
+    """Singular form by ordered ending rules, else the word."""
+    return (
         F.when(word.endswith("ies") & (F.length(word) > 4), F.concat(_drop(word, 3), F.lit("y")))
         .when(_ends(word, ("ss", "us", "is")), word)
         .when(_ends(word, ("sses", "shes", "ches", "xes", "zes")), _drop(word, 2))
         .when(word.endswith("s") & (F.length(word) > 3), _drop(word, 1))
         .otherwise(word)
     )
-    return _exceptions(word, table, ruled)
 
 
-def verb_lemma(word: Column, exceptions: Mapping[str, str] | None = None) -> Column:
-    """Base form: the exception table first, then ordered ending rules, else the word."""
-    table = W.VERB_LEMMAS if exceptions is None else exceptions
-    ruled = (
+def noun_lemma(word: Column, exceptions: Mapping[str, str] | None = None) -> Column:
+    """Singular form: the exception table first, then the rules."""
+    return _exceptions(word, W.NOUN_LEMMAS if exceptions is None else exceptions, noun_rules(word))
+
+
+def verb_rules(word: Column) -> Column:
+    """Base form by ordered ending rules, else the word."""
+    return (
         F.when(word.endswith("ies") & (F.length(word) > 4), F.concat(_drop(word, 3), F.lit("y")))
         .when(word.endswith("ied") & (F.length(word) > 4), F.concat(_drop(word, 3), F.lit("y")))
         .when(_ends(word, ("sses", "shes", "ches", "xes", "zes")), _drop(word, 2))
@@ -79,18 +73,27 @@ def verb_lemma(word: Column, exceptions: Mapping[str, str] | None = None) -> Col
         .when(word.endswith("s") & (F.length(word) > 3), _drop(word, 1))
         .otherwise(word)
     )
-    return _exceptions(word, table, ruled)
 
 
-def pos_tag(word: Column, lexicon: Mapping[str, Iterable[str]] | None = None) -> Column:
-    """Coarse part of speech of a lower-case word: lexicon, digits, ending rules, else NOUN."""
+def verb_lemma(word: Column, exceptions: Mapping[str, str] | None = None) -> Column:
+    """Base form: the exception table first, then the rules."""
+    return _exceptions(word, W.VERB_LEMMAS if exceptions is None else exceptions, verb_rules(word))
+
+
+def pos_rules(word: Column) -> Column:
+    """Coarse part of speech of a lower-case word by digits and ending rules, else NOUN."""
     ruled = F.when(word.rlike(r"^\p{N}"), F.lit("NUM"))
     for endings, min_length, tag in W.POS_ENDINGS:
         ruled = ruled.when(_ends(word, endings) & (F.length(word) >= min_length), F.lit(tag))
+    return ruled.otherwise(F.lit("NOUN"))
+
+
+def pos_tag(word: Column, lexicon: Mapping[str, Iterable[str]] | None = None) -> Column:
+    """Coarse part of speech of a lower-case word: the lexicon first, then the rules."""
     table = W.POS_WORDS if lexicon is None else lexicon
-    known = _checked([w for members in table.values() for w in members])
+    known = [w for members in table.values() for w in members]
     # one hash probe sends words outside the lexicon straight to the rules
-    return F.when(word.isin(known), choose(word, table, F.lit("NOUN"))).otherwise(ruled.otherwise(F.lit("NOUN")))
+    return F.when(word.isin(known), choose(word, table, F.lit("NOUN"))).otherwise(pos_rules(word))
 
 
 def token_lemma(word: Column, pos: Column) -> Column:
@@ -104,4 +107,4 @@ def valence(word: Column, table: Mapping[str, float] | None = None) -> Column:
     """Valence of a lower-case word, 0 when it has none."""
     table = W.VALENCE if table is None else table
     groups = {float(v): members for v, members in by_value(table).items()}
-    return F.when(word.isin(_checked(list(table))), choose(word, groups, F.lit(0.0))).otherwise(F.lit(0.0))
+    return F.when(word.isin(list(table)), choose(word, groups, F.lit(0.0))).otherwise(F.lit(0.0))

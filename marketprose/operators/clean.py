@@ -11,6 +11,7 @@ from marketprose.functions import text as X
 from marketprose.functions import words as W
 from marketprose.operators import lookups as J
 from marketprose.operators import select as S
+from marketprose.operators.lexicon import Found, look_up
 from marketprose.operators.select import once
 from marketprose.operators.stopwords import CLEANING
 
@@ -80,6 +81,40 @@ def clean_by_tables(
     )
 
 
+def clean_nouns_by_lexicon(
+    df: DataFrame, key: str, text: Column, lexicon: DataFrame, stops: Sequence[str] = CLEANING, out: str = "clean", **join
+) -> DataFrame:
+    """``clean_nouns`` with parts of speech and noun lemmas from a table of any size, and the rules for other words."""
+    kept = F.filter(X.split_tokens(X.basic_cleanup(text)), lambda w: _kept(w, stops))
+    found = look_up(once(df, "_tokens", kept), key, F.col("_tokens"), lexicon, **join)
+    said = Found(lexicon)
+
+    def shaped(w: Column, i: Column) -> Column:
+        code = X.is_code(w)
+        noun = F.when(said.pos(w, i).isin("NOUN", "PROPN") | said.pos(w, i).startswith("NN"), said.noun(w, i))
+        return F.when(code, F.upper(w)).otherwise(noun)
+
+    words = F.filter(F.transform("_tokens", shaped), lambda w: w.isNotNull())
+    return found.withColumn(out, X.join_tokens(words)).drop("_tokens", "_found")
+
+
+def lemmatize_by_lexicon(df: DataFrame, key: str, tokens: Column, lexicon: DataFrame, out: str = "lemmas", **join) -> DataFrame:
+    """Add the tokens' noun lemmas as an array: those of a table of any size, by the rules for other words."""
+    found = look_up(once(df, "_tokens", tokens), key, F.col("_tokens"), lexicon, **join)
+    return found.withColumn(out, F.transform("_tokens", Found(lexicon).noun)).drop("_tokens", "_found")
+
+
+def keep_pos_by_lexicon(
+    df: DataFrame, key: str, text: Column, lexicon: DataFrame, kept: Sequence[str] = W.KEPT_POS, out: str = "kept", **join
+) -> DataFrame:
+    """``keep_pos`` with parts of speech from a table of any size, and the rules for other words."""
+    found = once(df, "_tokens", X.word_tokens(text))
+    found = look_up(found, key, F.transform("_tokens", F.lower), lexicon, **join)
+    said = Found(lexicon)
+    words = F.filter("_tokens", lambda w, i: said.pos(F.lower(w), i).isin(list(kept)))
+    return found.withColumn(out, X.join_tokens(words)).drop("_tokens", "_found")
+
+
 def preprocess_text(
     df: DataFrame,
     text_col: str | None = None,

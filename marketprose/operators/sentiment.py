@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marketprose.functions import lexical as L
 from marketprose.functions import text as X
 from marketprose.functions import words as W
+from marketprose.operators.lexicon import look_up
 from marketprose.operators.select import once
 
 _ASCII_PUNCT = r"!-/:-@\[-`{-~"
@@ -62,9 +63,53 @@ def _idiom(words: Column, i: Column, value: Column) -> Column:
     return F.coalesce(found, value) - F.when(damped, W.BOOST).otherwise(0.0)
 
 
-def _word_score(words: Column, low: Column, mixed_case: Column, i: Column, table: Mapping[str, float]) -> Column:
-    lexicon = list(table)
+class Inline:
+    """Valences of a word list that sits in the plan."""
 
+    def __init__(self, table: Mapping[str, float]):
+        self.table = table
+
+    def value(self, low: Column, i: Column) -> Column:
+        return L.valence(F.get(low, i), self.table)
+
+    def lists(self, low: Column, i: Column) -> Column:
+        return F.coalesce(F.get(low, i).isin(list(self.table)), F.lit(False))
+
+
+class LookedUp:
+    """Valences found in a table, one per word of the text."""
+
+    def __init__(self, found: str = "_found"):
+        self.found = found
+
+    def value(self, low: Column, i: Column) -> Column:
+        return F.get(self.found, i)["valence"]
+
+    def lists(self, low: Column, i: Column) -> Column:
+        return self.value(low, i).isNotNull()
+
+
+def first_places(slots: Column) -> Column:
+    """For (w, p) pairs by p: (p, first), the place at which the same word comes first; n log n steps."""
+
+    def grouped(by_word: Column) -> Column:
+        fresh = lambda j: (j == 0) | (F.get(by_word, j - 1)["w"] != F.get(by_word, j)["w"])
+        begin = F.filter(F.transform(by_word, lambda _, j: F.when(fresh(j), j)), lambda j: j.isNotNull())
+
+        def group(starts: Column) -> Column:
+            def one(start: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(starts, k + 1), F.size(by_word))
+                first = F.get(by_word, start)["p"]
+                return F.transform(F.slice(by_word, start + 1, end - start), lambda s: F.struct(s["p"].alias("p"), first.alias("first")))
+
+            return F.array_sort(F.flatten(F.transform(starts, one)))
+
+        return X.bind(begin, group)
+
+    return X.bind(F.array_sort(slots), grouped)
+
+
+def _word_score(words: Column, low: Column, mixed_case: Column, i: Column, table: Inline | LookedUp) -> Column:
     def step(d: int, value: Column) -> Column:
         prev = F.get(low, i - d)
         sign = F.when(value < 0, -1.0).otherwise(1.0)
@@ -83,16 +128,16 @@ def _word_score(words: Column, low: Column, mixed_case: Column, i: Column, table
         out = boosted * factor
         if d == 3:
             out = X.bind(out, lambda v: _idiom(words, i, v))
-        return F.when((i >= d) & ~prev.isin(lexicon), out).otherwise(value)
+        return F.when((i >= d) & ~table.lists(low, i - d), out).otherwise(value)
 
-    base = L.valence(F.get(low, i), table)
+    base = table.value(low, i)
     shout = F.when(_is_upper(F.get(words, i)) & mixed_case, W.CAPS_BOOST).otherwise(0.0)
     value = X.bind(base, lambda v: v + F.when(v > 0, shout).otherwise(-shout))
     for d in (1, 2, 3):
         value = X.bind(value, partial(step, d))
     before = F.get(low, i - 2)
     least = (i > 0) & (F.get(low, i - 1) == "least") & ((i == 1) | ~before.isin("at", "very"))
-    value = value * F.when(least & ~F.lit("least").isin(lexicon), W.NEGATION).otherwise(1.0)
+    value = value * F.when(least & ~table.lists(low, i - 1), W.NEGATION).otherwise(1.0)
     kind_of = (F.get(low, i) == "kind") & (F.coalesce(F.get(low, i + 1), F.lit("")) == "of")
     skipped = kind_of | F.get(low, i).isin([*W.BOOST_UP, *W.BOOST_DOWN])
     return F.when(skipped, 0.0).otherwise(value)
@@ -104,13 +149,13 @@ def _emphasis(text: Column) -> Column:
     return marks + F.when(asks <= 1, 0.0).when(asks <= 3, asks * 0.18).otherwise(0.96)
 
 
-def compound_score(text: Column, table: Mapping[str, float] | None = None) -> Column:
+def compound_score(text: Column, table: Mapping[str, float] | LookedUp | None = None, words: Column | None = None) -> Column:
     """Compound score in -1..1, four decimals; null text scores 0.
 
-    A repeated word takes the surroundings of its first occurrence, as the published tool does.
+    A repeated word takes the surroundings of its first occurrence, as the published tool does. ``words`` are the text's
+    words where they are known already.
     """
-    table = W.VALENCE if table is None else table
-    lexicon = list(table)
+    table = table if isinstance(table, LookedUp) else Inline(W.VALENCE if table is None else table)
 
     def scored(words: Column) -> Column:
         capitals = F.size(F.filter(words, _is_upper))
@@ -119,16 +164,17 @@ def compound_score(text: Column, table: Mapping[str, float] | None = None) -> Co
         def with_low(low: Column) -> Column:
             def with_case(mixed_case: Column) -> Column:
                 slots = F.filter(
-                    F.transform(low, lambda w, p: F.when(w.isin(lexicon), p)), lambda p: p.isNotNull()
+                    F.transform(words, lambda w, p: F.when(table.lists(low, p), F.struct(w.alias("w"), p.alias("p")))),
+                    lambda s: s.isNotNull(),
                 )
                 but = F.array_position(low, "but") - 1
 
-                def one(p: Column) -> Column:
-                    first = F.array_position(words, F.get(words, p)).cast("int") - 1
+                def one(slot: Column) -> Column:
+                    p, first = slot["p"], slot["first"]
                     raw = X.bind(first, lambda i: _word_score(words, low, mixed_case, i, table))
                     return raw * F.when((but < 0) | (p == but), 1.0).when(p < but, 0.5).otherwise(1.5)
 
-                return F.aggregate(F.transform(slots, one), F.lit(0.0), lambda a, x: a + x)
+                return F.aggregate(F.transform(first_places(slots), one), F.lit(0.0), lambda a, x: a + x)
 
             return X.bind(mixed, with_case)
 
@@ -138,14 +184,27 @@ def compound_score(text: Column, table: Mapping[str, float] | None = None) -> Co
         moved = total + F.when(total > 0, _emphasis(text)).when(total < 0, -_emphasis(text)).otherwise(0.0)
         return X.bind(moved, lambda s: F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s / F.sqrt(s * s + W.NORMAL_ALPHA))), 4))
 
-    return F.when(text.isNull(), 0.0).otherwise(X.bind(X.bind(sentiment_words(text), scored), compound))
+    found = sentiment_words(text) if words is None else words
+    return F.when(text.isNull(), 0.0).otherwise(X.bind(X.bind(found, scored), compound))
 
 
 def sentiment_label(score: Column) -> Column:
     return F.when(score >= 0.05, "Positive").when(score <= -0.05, "Negative").otherwise("Neutral")
 
 
-def add_sentiment(df: DataFrame, text: str = "content", table: Mapping[str, float] | None = None) -> DataFrame:
-    """Add ``compound_score`` and ``sentiment_label``; the score is computed once."""
-    scored = once(df, "compound_score", compound_score(F.col(text), table))
+def add_sentiment(
+    df: DataFrame, text: str = "content", table: Mapping[str, float] | DataFrame | None = None, key: str = "doc_id", **join
+) -> DataFrame:
+    """Add ``compound_score`` and ``sentiment_label``; the score is computed once.
+
+    ``table`` is a word list or, for any size, a DataFrame (word, valence); words without a valence are not listed. With a
+    DataFrame, ``key`` is unique.
+    """
+    if isinstance(table, DataFrame):
+        listed = table.select("word", F.col("valence").cast("double").alias("valence")).filter("valence IS NOT NULL")
+        held = once(df, "_ws", sentiment_words(F.coalesce(F.col(text), F.lit(""))))
+        found = look_up(held, key, F.transform("_ws", F.lower), listed, **join)
+        scored = once(found, "compound_score", compound_score(F.col(text), LookedUp(), F.col("_ws"))).drop("_ws", "_found")
+    else:
+        scored = once(df, "compound_score", compound_score(F.col(text), table))
     return scored.withColumn("sentiment_label", sentiment_label(F.col("compound_score")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marketprose.functions import lexical as L
 from marketprose.functions import text as X
 from marketprose.functions import words as W
+from marketprose.operators.lexicon import Found, look_up
 from marketprose.operators.select import once
 from marketprose.operators.stopwords import protected_words, token_stops
 
@@ -62,11 +63,14 @@ def raw_tokens(plain: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def tag_tokens(raw: Column, phrases: Sequence[tuple[str, str]] = W.PROTECTED_PHRASES) -> Column:
+def tag_tokens(
+    raw: Column, phrases: Sequence[tuple[str, str]] = W.PROTECTED_PHRASES, said: Found | None = None
+) -> Column:
     """Array of (low, pos, norm): lower-case token, part of speech, lemma.
 
     ``pos`` is PROTECTED for protected phrases, WEB for addresses, END for sentence ends, PROPN for
-    a capitalized word inside a sentence, else what the lexicon says.
+    a capitalized word inside a sentence, else what the lexicon says: the seed lists, or what was
+    found (``said``) in a table for the lower-case tokens.
     """
     single = [token for _, token in phrases]
     ends = lambda w: F.left(w, F.lit(1)).isin(".", "!", "?") & w.rlike(f"^{SENTENCE_END}\\z")
@@ -80,13 +84,16 @@ def tag_tokens(raw: Column, phrases: Sequence[tuple[str, str]] = W.PROTECTED_PHR
                 .when(ends(word), F.lit("END"))
                 .when((word.contains(".") | word.contains("://")) & word.rlike(WEB_TOKEN), F.lit("WEB"))
                 .when(word.rlike(r"^\p{Lu}") & inside, F.lit("PROPN"))
-                .otherwise(L.pos_tag(low))
+                .otherwise(said.pos(low, i) if said else L.pos_tag(low))
             )
             return F.struct(low.alias("low"), pos.alias("pos"))
 
         return F.transform(tokens, one)
 
-    lemma = lambda t: F.struct(t["low"].alias("low"), t["pos"].alias("pos"), L.token_lemma(t["low"], t["pos"]).alias("norm"))
+    def lemma(t: Column, i: Column) -> Column:
+        norm = said.lemma(t["low"], t["pos"], i) if said else L.token_lemma(t["low"], t["pos"])
+        return F.struct(t["low"].alias("low"), t["pos"].alias("pos"), norm.alias("norm"))
+
     return F.transform(X.bind(raw, tag), lemma)
 
 
@@ -131,16 +138,23 @@ def tokenize_articles(
     stops: Sequence[str] | None = None,
     chained: bool = False,
     nouns: bool = True,
+    lexicon: DataFrame | None = None,
+    key: str = "doc_id",
+    **join,
 ) -> DataFrame:
     """Add tokens, tokens_with_ngrams and clean_text, and with ``nouns`` the noun columns.
 
-    Every column comes from one tagging of the text.
+    Every column comes from one tagging of the text. ``lexicon`` is a table of any size (``operators.lexicon``) in
+    place of the seed lists; it needs a unique ``key``.
     """
     stops = token_stops(phrases) if stops is None else stops
     # in steps: each is evaluated once per row, and shallow expressions run faster than one deep one
     plain = once(articles, "_plain", plain_text(F.coalesce(F.col(text), F.lit("")), phrases))
     raw = once(plain, "_raw", raw_tokens(F.col("_plain"))).drop("_plain")
-    tagged = once(raw, "_tagged", tag_tokens(F.col("_raw"), phrases)).drop("_raw")
+    said = None
+    if lexicon is not None:
+        raw, said = look_up(raw, key, F.transform("_raw", F.lower), lexicon, **join), Found(lexicon)
+    tagged = once(raw, "_tagged", tag_tokens(F.col("_raw"), phrases, said)).drop("_raw", "_found")
     out = once(tagged, "tokens", kept_tokens(F.col("_tagged"), stops))
     if nouns:
         out = once(out, "tokens_nouns", kept_nouns(F.col("_tagged"), stops))

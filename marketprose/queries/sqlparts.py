@@ -67,27 +67,39 @@ def runs(x: str) -> str:
 def noun(x: str) -> str:
     """CASE over the exception table and the ending rules."""
     cases = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in W.NOUN_LEMMAS.items())
-    return f"""CASE {x} {cases} ELSE CASE
+    return f"CASE {x} {cases} ELSE {noun_rules(x)} END"
+
+
+def noun_rules(x: str) -> str:
+    return f"""CASE
       WHEN length({x}) > 4 AND {x} LIKE '%ies' THEN concat({x}[:-4], 'y')
       WHEN regexp_matches({x}, '(ss|us|is)$') THEN {x}
       WHEN regexp_matches({x}, '(sses|shes|ches|xes|zes)$') THEN {x}[:-3]
-      WHEN length({x}) > 3 AND {x} LIKE '%s' THEN {x}[:-2] ELSE {x} END END"""
+      WHEN length({x}) > 3 AND {x} LIKE '%s' THEN {x}[:-2] ELSE {x} END"""
 
 
 def verb(x: str) -> str:
     cases = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in W.VERB_LEMMAS.items())
-    return f"""CASE {x} {cases} ELSE CASE
+    return f"CASE {x} {cases} ELSE {verb_rules(x)} END"
+
+
+def verb_rules(x: str) -> str:
+    return f"""CASE
       WHEN length({x}) > 4 AND regexp_matches({x}, '(ies|ied)$') THEN concat({x}[:-4], 'y')
       WHEN regexp_matches({x}, '(sses|shes|ches|xes|zes)$') THEN {x}[:-3]
       WHEN length({x}) > 5 AND {x} LIKE '%ing' THEN {x}[:-4]
       WHEN length({x}) > 4 AND {x} LIKE '%ed' THEN {x}[:-3]
       WHEN regexp_matches({x}, '(ss|us|is)$') THEN {x}
-      WHEN length({x}) > 3 AND {x} LIKE '%s' THEN {x}[:-2] ELSE {x} END END"""
+      WHEN length({x}) > 3 AND {x} LIKE '%s' THEN {x}[:-2] ELSE {x} END"""
 
 
 def pos(x: str) -> str:
     cases = " ".join(f"WHEN {x} IN {words(ws)} THEN {q(tag)}" for tag, ws in W.POS_WORDS.items())
-    return rf"""CASE {cases} WHEN regexp_matches({x}, '^\p{{N}}') THEN 'NUM'
+    return f"CASE {cases} ELSE {pos_rules(x)} END"
+
+
+def pos_rules(x: str) -> str:
+    return rf"""CASE WHEN regexp_matches({x}, '^\p{{N}}') THEN 'NUM'
       WHEN length({x}) >= 4 AND regexp_matches({x}, 'ly$') THEN 'ADV'
       WHEN length({x}) >= 5 AND regexp_matches({x}, '(ing|ed)$') THEN 'VERB'
       WHEN length({x}) >= 5 AND regexp_matches({x}, '(ous|ful|able|ible|ish|less)$') THEN 'ADJ' ELSE 'NOUN' END"""
@@ -140,7 +152,12 @@ def split_case(day: str) -> str:
 
 
 def kept_words(text: str) -> str:
-    """Words with a kept part of speech: addresses, numbers with separators, abbreviations, words with apostrophes."""
+    """Words with a kept part of speech."""
+    return f"array_to_string(list_filter({spoken_words(text)}, lambda w: {pos('lower(w)')} IN {words(W.KEPT_POS)}), ' ')"
+
+
+def spoken_words(text: str) -> str:
+    """Addresses, numbers with separators, abbreviations, words with apostrophes."""
     blank = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}"
     kinds = [
         rf"(?:https?://|www\.)[^{blank}]*[^{blank}.,!?;:)\x{{22}}\x{{27}}]",
@@ -149,5 +166,4 @@ def kept_words(text: str) -> str:
         r"(?:\p{L}\.)(?:\p{L}\.)+",
         r"[\p{L}\p{N}_]+(?:[\x{27}’][\p{L}\p{N}_]+)*",
     ]
-    found = f"regexp_extract_all({text}, '{'|'.join(kinds)}')"
-    return f"array_to_string(list_filter({found}, lambda w: {pos('lower(w)')} IN {words(W.KEPT_POS)}), ' ')"
+    return f"regexp_extract_all({text}, '{'|'.join(kinds)}')"

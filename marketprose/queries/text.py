@@ -362,25 +362,31 @@ def protect_phrases(spark, sf_dir):
 _STOPS = SW.token_stops(PHRASES)
 _PLAIN = P.sub(_sql_protect(P.spaces("coalesce(content, '')")), r"(?i)n['’]t\b|['’](?:s|re|ve|ll|d|m)\b", " ")
 # token rows in place of the nested arrays of the Spark side
-_TAGGED = f"""tagged AS (
-  SELECT doc_id, i, low, pos, CASE WHEN pos IN ('VERB', 'AUX') THEN {P.verb('low')}
-    WHEN pos = 'NOUN' THEN {P.noun('low')} ELSE low END AS norm
-  FROM (SELECT doc_id, i, lower(tok) AS low, CASE
+def tagged_sql(pos: str, verb: str, noun: str, more: str = "", lexicon: str = "") -> str:
+    """Tagged and kept tokens; ``lexicon`` joins ``lower(tok)`` and ``more`` hands its columns on."""
+    return f"""tagged AS (
+  SELECT doc_id, i, low, pos, CASE WHEN pos IN ('VERB', 'AUX') THEN {verb}
+    WHEN pos = 'NOUN' THEN {noun} ELSE low END AS norm
+  FROM (SELECT doc_id, i, lower(tok) AS low{more}, CASE
       WHEN lower(tok) IN {P.words(t for _, t in PHRASES)} THEN 'PROTECTED'
       WHEN regexp_full_match(tok, '[.!?]+') THEN 'END'
       WHEN regexp_full_match(tok, {P.q(T.URL_TOKEN)}) OR regexp_full_match(tok, {P.q(T.EMAIL_TOKEN)})
         OR regexp_full_match(tok, {P.q(T.DOMAIN_TOKEN)}) THEN 'WEB'
       WHEN regexp_matches(tok, '^\\p{{Lu}}') AND i > 1 AND NOT regexp_full_match(before, '[.!?]+') THEN 'PROPN'
-      ELSE {P.pos('lower(tok)')} END AS pos
+      ELSE {pos} END AS pos
     FROM (SELECT doc_id, i, tok, lag(tok) OVER (PARTITION BY doc_id ORDER BY i) AS before
       FROM (SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS i
-        FROM (SELECT doc_id, regexp_extract_all({_PLAIN}, {P.q(T.TOKEN_PATTERN)}) AS t FROM articles))))),
+        FROM (SELECT doc_id, regexp_extract_all({_PLAIN}, {P.q(T.TOKEN_PATTERN)}) AS t FROM articles))){lexicon})),
 kept AS (SELECT * FROM tagged WHERE pos = 'PROTECTED' OR (pos <> 'END' AND norm NOT IN {P.words(_STOPS)}
     AND NOT regexp_full_match(norm, '\\p{{N}}+') AND regexp_matches(norm, '[a-z0-9_]')))"""
 
 
-def _sql_tokens(condition: str, column: str) -> str:
-    return f"""WITH articles AS ({I.ARTICLES}), {_TAGGED}
+_TAGGED = tagged_sql(P.pos("lower(tok)"), P.verb("low"), P.noun("low"))
+NOUNS = "pos IN ('PROTECTED', 'PROPN', 'NOUN')"
+
+
+def sql_tokens(condition: str, column: str, tagged: str = _TAGGED) -> str:
+    return f"""WITH articles AS ({I.ARTICLES}), {tagged}
     SELECT a.doc_id, coalesce(out, '') AS {column} FROM articles a LEFT JOIN (
       SELECT doc_id, string_agg(norm, ' ' ORDER BY i) AS out FROM kept WHERE {condition} GROUP BY doc_id) k ON a.doc_id = k.doc_id"""
 
@@ -389,12 +395,12 @@ def tokenized(spark, sf_dir, **options):
     return T.tokenize_articles(I.articles(spark, sf_dir), "content", PHRASES, **options)
 
 
-@query("tokens_all", _sql_tokens("true", "clean_text"))
+@query("tokens_all", sql_tokens("true", "clean_text"))
 def tokens_all(spark, sf_dir):
     return tokenized(spark, sf_dir, nouns=False).select("doc_id", "clean_text")
 
 
-@query("tokens_nouns", _sql_tokens("pos IN ('PROTECTED', 'PROPN', 'NOUN')", "clean_text_nouns"))
+@query("tokens_nouns", sql_tokens(NOUNS, "clean_text_nouns"))
 def tokens_nouns(spark, sf_dir):
     return tokenized(spark, sf_dir).select("doc_id", "clean_text_nouns")
 
@@ -473,8 +479,13 @@ def _idiom_sql(x: str) -> str:
     return f"CASE {x} {cases} END"
 
 
-_SENTIMENT = f"""WITH articles AS ({I.ARTICLES}),
-lex AS (SELECT * FROM {P.values([(P.q(k), f'CAST({v} AS DOUBLE)') for k, v in W.VALENCE.items()], 'word, v')}),
+SEED_VALENCES = f"SELECT * FROM {P.values([(P.q(k), f'CAST({v} AS DOUBLE)') for k, v in W.VALENCE.items()], 'word, v')}"
+
+
+def sentiment_sql(valences: str) -> str:
+    """Scores of all articles by the words and values ``v`` that ``valences`` selects."""
+    return f"""WITH articles AS ({I.ARTICLES}),
+lex AS ({valences}),
 split AS (SELECT doc_id, content, {_SENT_WORDS} AS ws FROM articles WHERE content IS NOT NULL),
 toks AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split),
 caps AS (SELECT doc_id, count(*) FILTER (upper(w) = w AND lower(w) <> w) AS up, count(*) AS n,
@@ -495,8 +506,8 @@ s4 AS (SELECT *, CASE WHEN l3 IS NULL OR l3 IN (SELECT word FROM lex) THEN d0 EL
       {_idiom_sql("concat(w3, ' ', w2)")}, d0)
     - CASE WHEN concat(w3, ' ', w2) IN {P.words(W.BOOST_DOWN_PHRASES)} OR concat(w2, ' ', w1) IN {P.words(W.BOOST_DOWN_PHRASES)}
       THEN 0.293 ELSE 0 END END AS d FROM s3),
-s5 AS (SELECT doc_id, i, but, CASE WHEN l0 = 'kind' AND lower(n1) = 'of' THEN 0.0
-    WHEN l1 = 'least' AND (l2 IS NULL OR l2 NOT IN ('at', 'very')) THEN d * -0.74 ELSE d END AS e FROM s4),
+s5 AS (SELECT doc_id, i, but, CASE WHEN l0 = 'kind' AND lower(n1) = 'of' OR l0 IN {P.words((*W.BOOST_UP, *W.BOOST_DOWN))} THEN 0.0
+    WHEN l1 = 'least' AND 'least' NOT IN (SELECT word FROM lex) AND (l2 IS NULL OR l2 NOT IN ('at', 'very')) THEN d * -0.74 ELSE d END AS e FROM s4),
 total AS (SELECT doc_id, sum(e * CASE WHEN but IS NULL OR i = but THEN 1.0 WHEN i < but THEN 0.5 ELSE 1.5 END) AS s FROM s5 GROUP BY doc_id),
 marks AS (SELECT doc_id, least(len(regexp_extract_all(content, '!')), 4) * 0.292 + CASE WHEN len(regexp_extract_all(content, '\\?')) <= 1 THEN 0
     WHEN len(regexp_extract_all(content, '\\?')) <= 3 THEN len(regexp_extract_all(content, '\\?')) * 0.18 ELSE 0.96 END AS m
@@ -508,6 +519,6 @@ SELECT doc_id, score AS compound_score, CASE WHEN score >= 0.05 THEN 'Positive'
   ELSE 'Neutral' END AS sentiment_label FROM final"""
 
 
-@query("sentiment_lexicon", _SENTIMENT)
+@query("sentiment_lexicon", sentiment_sql(SEED_VALENCES))
 def sentiment(spark, sf_dir):
     return V.add_sentiment(I.articles(spark, sf_dir)).select("doc_id", "compound_score", "sentiment_label")

@@ -109,8 +109,8 @@ def test_noun_lemma(spark, word, lemma):
 def test_own_tables(spark):
     assert values(spark, ["foo", "cars"], lambda w: L.noun_lemma(w, {"foo": "bar"})) == ["bar", "car"]
     assert values(spark, ["zoom", "x"], lambda w: L.pos_tag(w, {"VERB": ["zoom"]})) == ["VERB", "NOUN"]
-    with pytest.raises(ValueError):
-        L.noun_lemma(F.lit("x"), {str(i): "y" for i in range(L.MAX_INLINE + 1)})
+    long = {f"w{i}": f"v{i}" for i in range(20_500)}
+    assert values(spark, ["w20400", "cars"], lambda w: L.noun_lemma(w, long)) == ["v20400", "car"]
 
 
 def test_ngrams_shorter_than_n(spark):
