@@ -169,9 +169,11 @@ class Merged:
     def frequent(self, least: int, edges: Sequence[Key]) -> Iterator[tuple[int, bytes, int]]:
         """(words, phrase, count) of n-grams with ``least`` occurrences here, or that begin one of ``edges``."""
         words = list(self.number)
-        columns = [np.concatenate(c) for c in self.columns]
+        columns = []
+        while self.columns:
+            columns.append(np.concatenate(self.columns.pop(0)))
         counts = np.concatenate(self.counts)
-        self.columns, self.counts = [], []
+        self.counts = []
         wide = len(words)
         cut = [[self.number.get(w) for w in edge] for edge in edges]
         group = np.zeros(len(counts), np.int64)
@@ -261,7 +263,7 @@ def count_ngrams(
     lang: str = "lang",
     text: str = "text",
     block_words: int = 1 << 21,
-    part_windows: int = 1 << 22,
+    part_windows: int = 1 << 20,
     chunk: int = 1 << 19,
 ) -> tuple[DataFrame, DataFrame]:
     """N-grams of 1 to ``longest`` words with ``least`` occurrences or more (lang, size, phrase, f), and words per lang (lang, n).
