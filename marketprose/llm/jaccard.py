@@ -14,6 +14,7 @@ as pairs.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +24,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketprose.llm.common import as_key, forget_recent, keyed, shingle_hashes, word_hashes
 from marketprose.llm.graph import components
-from marketprose.operators.lookups import keyed_join
+from marketprose.operators import lookups
 from marketprose.session import written
 
+MAX_SENT = 8 << 20  # bytes of a table that goes to all tasks; many go in one run
 GROUP = 48  # documents of a group, on average
 FREQUENT = 16  # classes that share a token before it is put last
 LED_PERCENT = 30  # of a prefix
 
 
+keyed_join = functools.partial(lookups.keyed_join, max_bytes=MAX_SENT)
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Tokens of which two sets above the threshold must share one."""
     return n - -(-percent * n // 100) + 1 if n else 0
