@@ -72,6 +72,7 @@ class Codec:
         self.vocabulary = {rank: token for token, rank in ranks.items()}
         self.pieces = splitter(pattern)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.two = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]  # rank of every pair of bytes
         self.known = ByteCache(self._piece)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -84,7 +85,8 @@ class Codec:
         after = list(range(1, n + 1))  # start of the next part; the parts are a linked list over byte positions
         before = list(range(-1, n - 1))
         # rank of the part at this position joined with the next one, -1 if none
-        pair = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]
+        two = self.two
+        pair = [two[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
         pair.append(-1)
         for i, rank in enumerate(pair):
             if rank >= 0:

@@ -40,22 +40,35 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 
 
 class ByteCache(dict):
-    """Key to packed result, computed when first seen; starts anew when its entries pass ``limit`` bytes."""
+    """Key to packed result, computed when first seen and kept within ``limit`` bytes.
+
+    The entries are those of two generations of half the limit each: when the young one is full it becomes the old one, and what is
+    asked for again moves over.
+    """
 
     ENTRY = 100  # a slot of the table and a share of its spare room
 
-    def __init__(self, compute: Callable[[str], bytes], limit: int = 64 << 20):
-        self.compute, self.limit, self.used = compute, limit, 0
+    def __init__(self, compute: Callable[[str], bytes], limit: int = 96 << 20):
+        self.compute, self.limit = compute, limit
+        self.older: dict[str, bytes] = {}
+        self.used = self.used_by_older = 0
 
     def __missing__(self, key: str) -> bytes:
-        value = self.compute(key)
-        if len(key) <= 256:  # long ones hardly come again
-            self.used += sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
-            if self.used > self.limit:
-                self.forget()
-            self[key] = value
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > 256:  # long ones hardly come again
+                return value
+        size = sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
+        if 2 * (self.used + size) > self.limit:
+            self.older, self.used_by_older = dict(self), self.used
+            self.clear()
+            self.used = 0
+        self.used += size
+        self[key] = value
         return value
 
     def forget(self) -> None:
         self.clear()
-        self.used = 0
+        self.older = {}
+        self.used = self.used_by_older = 0

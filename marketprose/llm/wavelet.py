@@ -206,7 +206,7 @@ class PieceEncoder:
     the plain byte-level one, and texts that hold the string of an added token, go to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 64 << 20):
+    def __init__(self, path: str, limit: int = 96 << 20):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.signs = byte_signs()

@@ -26,5 +26,10 @@ def test_cache_is_bounded():
     cache = pretokens.ByteCache(lambda k: seen.append(k) or k.encode(), limit=5_000)
     for k in [*map(str, range(300)), "x" * 300, "x" * 300]:
         assert cache[k] == k.encode()
-        assert cache.used <= 5_000
+        assert cache.used + cache.used_by_older <= 5_000
     assert len(seen) == 302 and cache["299"] == b"299" and len(seen) == 302
+    for _ in range(50):  # what is asked for again stays
+        assert cache["299"] == b"299" and cache[f"new {len(seen)}"]
+    assert seen.count("299") == 1
+    cache.forget()
+    assert not cache and not cache.older and cache["299"] == b"299"
