@@ -134,15 +134,16 @@ class WaveletMatrix:
 
     def unpack(self) -> np.ndarray:
         """All ids in order: planes undone from the lowest to the highest."""
-        value = np.zeros(self.size, np.uint32)
         depth = len(self.planes)
+        kind = np.uint16 if depth <= 16 else np.uint32
+        value = np.zeros(self.size, kind)
         for k in range(depth - 1, -1, -1):
-            bits = np.unpackbits(self.planes[k].view(np.uint8), count=self.size, bitorder="little").astype(bool)
+            bits = np.unpackbits(self.planes[k].view(np.uint8), count=self.size, bitorder="little").view(bool)
             level = np.empty_like(value)
             level[~bits] = value[: int(self.zeros[k])]
-            level[bits] = value[int(self.zeros[k]) :] | np.uint32(1 << (depth - 1 - k))
+            level[bits] = value[int(self.zeros[k]) :] | kind(1 << (depth - 1 - k))
             value = level
-        return value
+        return value.astype(np.uint32)
 
 
 def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -155,7 +156,7 @@ def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -
         matrix.zeros,
         *[part for pair in zip(matrix.planes, matrix.ones, strict=True) for part in pair],
     ]
-    press = zstandard.ZstdCompressor(level=3)
+    press = zstandard.ZstdCompressor(level=1)  # planes hardly shrink further
     out = [MAGIC, struct.pack("<IQQ", len(matrix.planes), len(doc_ids), len(ids))]
     for section in sections:
         frame = press.compress(section.tobytes())
