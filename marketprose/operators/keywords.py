@@ -7,21 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketprose.functions import text as X
-from marketprose.operators.lookups import drop_stopwords, explode_tokens, keyed_join
-from marketprose.operators.select import once
+from marketprose.functions import wordrules as R
+from marketprose.operators import sentences as E
+from marketprose.operators.lookups import drop_stopwords, keyed_join
+from marketprose.operators.select import once, unnest
 from marketprose.operators.stopwords import KEYWORDS
 from marketprose.session import written
 
-KEYWORD_TOKEN = rf"[{X.WORD}$]+"
-
-
-def keyword_tokens(
-    df: DataFrame, text: str, doc: str, lowercase: bool = True, alpha_only: bool = True
-) -> DataFrame:
-    """One row per token (doc, pos, token); nulls hold no tokens."""
-    value = F.lower(F.col(text)) if lowercase else F.col(text)
-    tokens = explode_tokens(df, F.regexp_extract_all(value, F.lit(KEYWORD_TOKEN), F.lit(0)), doc)
-    return tokens.filter(X.is_alpha(F.col("token"))) if alpha_only else tokens
+KEYWORD_TOKEN = rf"[{X.WORD}$]+"  # for token rows without sentences
 
 
 def appearance(tokens: DataFrame, doc: str) -> Column:
@@ -35,11 +28,36 @@ def appearance(tokens: DataFrame, doc: str) -> Column:
     return F.struct(doc, "pos")
 
 
-def count_keywords(tokens: DataFrame, doc: str) -> DataFrame:
-    """(word, freq, first) where ``first`` sorts by the earliest (doc, pos)."""
-    return tokens.groupBy(F.col("token").alias("word")).agg(
-        F.count("*").alias("freq"), F.min(appearance(tokens, doc)).alias("first")
-    )
+def chunk_counts(df: DataFrame, text: str, doc: str, lowercase: bool = True) -> DataFrame:
+    """Each distinct chunk (chunk, last, n, first): ``last`` marks a period that a text ends with, ``first`` sorts by the
+    earliest (doc, pos). Nulls hold no chunks."""
+    value = F.lower(F.col(text)) if lowercase else F.col(text)
+    held = once(df.select(doc, value.alias("_t")), "_c", R.chunks(F.col("_t")))
+    rows = held.select(doc, F.size("_c").alias("size"), F.posexplode("_c").alias("pos", "chunk"))
+    last = (F.col("pos") == F.col("size") - 1) & F.col("chunk").rlike(R.PERIOD)
+    return rows.groupBy("chunk", last.alias("last")).agg(F.count("*").alias("n"), F.min(appearance(rows, doc)).alias("first"))
+
+
+def keyword_counts(
+    df: DataFrame,
+    text: str,
+    doc: str,
+    lowercase: bool = True,
+    alpha_only: bool = True,
+    abbreviated: DataFrame | None = None,
+) -> DataFrame:
+    """(word, freq, first) of all words; ``first`` sorts by the earliest (doc, chunk, place in the chunk).
+
+    Texts become counts of distinct chunks first; sentence ends and words are worked out once per chunk.
+    ``abbreviated`` is a table (``word``, lower case, without the closing period); by default it is learned from the texts.
+    """
+    counted = written(chunk_counts(df, text, doc, lowercase), "keyword-chunks")
+    if abbreviated is None:
+        abbreviated = E.abbreviations(written(E.period_counts(counted), "period-counts"))
+    ended = E.with_ends(counted, abbreviated, spread=["chunk"])
+    words = unnest(ended, ["n", "first"], R.chunk_words(F.col("chunk"), F.col("ends")), "place", "word")
+    words = words.filter(X.is_alpha(F.col("word"))) if alpha_only else words
+    return words.groupBy("word").agg(F.sum("n").alias("freq"), F.min(F.struct("first", "place")).alias("first"))
 
 
 def top_keywords(counts: DataFrame, topn: int = 20) -> DataFrame:
@@ -55,14 +73,15 @@ def keyword_frequency(
     topn: int = 20,
     lowercase: bool = True,
     alpha_only: bool = True,
+    abbreviated: DataFrame | None = None,
 ) -> DataFrame:
-    """Top-n tokens (word, freq). ``stops`` is a word list, or a table for long ones."""
-    tokens = keyword_tokens(df, text, doc, lowercase, alpha_only)
+    """Top-n words (word, freq). ``stops`` is a word list, or a table for long ones."""
+    counts = keyword_counts(df, text, doc, lowercase, alpha_only, abbreviated)
     if isinstance(stops, DataFrame):
-        tokens = drop_stopwords(tokens, stops, spread=[doc, "pos"])
+        counts = drop_stopwords(counts, stops, "word")
     elif stops:
-        tokens = tokens.filter(~F.col("token").isin(list(stops)))
-    return top_keywords(count_keywords(tokens, doc), topn)
+        counts = counts.filter(~F.col("word").isin(list(stops)))
+    return top_keywords(counts, topn)
 
 
 # ---- word cloud ---------------------------------------------------------------

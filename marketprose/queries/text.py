@@ -250,17 +250,54 @@ def protect_stops(spark, sf_dir):
 
 # ---- keywords ----------------------------------------------------------------
 
-_COUNTED = rf"""counted AS (
-  SELECT token AS word, CAST(count(*) AS BIGINT) AS freq, min(struct_pack(a := doc_id, b := pos)) AS first
-  FROM tokens WHERE regexp_full_match(token, '\p{{L}}+') AND token NOT IN {P.words(SW.KEYWORDS)} GROUP BY token)"""
 
-
-@query("keyword_frequency", f"WITH {_TOKEN_ROWS}, {_COUNTED} SELECT word, freq FROM counted ORDER BY freq DESC, first LIMIT 20")
+def _sql_words(chunk: str) -> str:
+    """Words of a chunk by replacing step by step, each mark set off by blanks."""
+    x = f"CASE WHEN ends THEN regexp_replace({chunk}, {P.q(_SQL_END)}, {P.q(r'\1 . \2')}) ELSE {chunk} END"
+    x = P.sub(P.sub(x, r",(\p{Nd})", r"＜\1"), r":(\p{Nd})", r"＞\1")
+    for mark in (r"\.{2,}", "--", "''", r"[][;@#$%&?!*(){}<>\"`«»“”„‘’:,]"):
+        x = P.sub(x, f"({mark})", r" \1 ")
+    x = f"trim(translate({x}, '＜＞', ',:'))"
+    x = P.sub(x, " +", " ")
+    x = P.sub(x, rf"'([^\P{{L}}dmnst]|[\p{{N}}_])([^{P.WD}]|$)", r"' \1\2")
+    x = P.sub(x, r"([^' ])('[smd]?)( |$)", r"\1 \2\3")
+    x = P.sub(x, r"([^' ])('ll|'re|'ve|n't)( |$)", r"\1 \2\3")
+    for joined in ("(can)(not)", "(d)('ye)", "(gim)(me)", "(gon)(na)", "(got)(ta)", "(lem)(me)", "(more)('n)", "(wan)(na)"):
+        x = P.sub(x, rf"(^|[^{P.WD}]){joined}($|[^{P.WD}])", r"\1\2 \3\4")
+    x = P.sub(x, rf"(^| )('t)(is|was)($|[^{P.WD}])", r"\1\2 \3\4")
+    return f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+
+
+_SQL_END = r"""([^.])\.([\])}>"'»”’]*)$"""
+_SQL_CHUNKS = P.split("lower(text)")
+_COUNTED = rf"""chunk_rows AS (
+  SELECT doc_id, unnest(c) AS chunk, generate_subscripts(c, 1) - 1 AS pos, len(c) AS size FROM (SELECT doc_id, {_SQL_CHUNKS} AS c FROM documents)),
+dotted_rows AS (SELECT doc_id, chunk, pos, regexp_matches(chunk, {P.q(_SQL_END)}) AS dotted, pos = size - 1 AS last,
+  regexp_replace(chunk, {P.q(rf'^[^{P.WD}]+|\.?[^{P.WD}.]*$')}, '', 'g') AS raw FROM chunk_rows),
+word_rows AS (SELECT doc_id, chunk, pos, dotted, last,
+  CASE WHEN regexp_full_match(raw, '\p{{Nd}}+([.,]\p{{Nd}}+)*') THEN '0' ELSE raw END AS bare_word FROM dotted_rows),
+per_word AS (SELECT bare_word, count(*) FILTER (dotted) AS d, count(*) FILTER (NOT dotted) AS b FROM word_rows
+  WHERE bare_word <> '' GROUP BY bare_word),
+totals AS (SELECT sum(d) / sum(d + b) AS p FROM per_word),
+sized AS (SELECT bare_word, d, b, p, len(bare_word) - len(replace(bare_word, '.', '')) AS inner_dots,
+  len(replace(bare_word, '.', '')) AS letters FROM per_word, totals WHERE d > 0 AND bare_word <> '0'),
+short AS (SELECT bare_word FROM sized WHERE
+  2 * (d * ln(0.99 / p) + b * ln(0.01 / (1 - p))) * exp(-letters) * (inner_dots + 1) * pow(letters, -b) >= 0.3),
+ended AS (SELECT doc_id, chunk, pos, dotted AND (last OR (bare_word NOT IN (SELECT bare_word FROM short)
+  AND NOT regexp_full_match(bare_word, '\p{{L}}') AND bare_word <> '0')) AS ends FROM word_rows),
+split_rows AS (SELECT doc_id, pos, {_sql_words('chunk')} AS w FROM ended),
+placed AS (SELECT doc_id, pos, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM split_rows),
+counted AS (
+  SELECT word, CAST(count(*) AS BIGINT) AS freq, min(struct_pack(a := doc_id, b := pos, c := place)) AS first
+  FROM placed WHERE regexp_full_match(word, '\p{{L}}+') AND word NOT IN {P.words(SW.KEYWORDS)} GROUP BY word)"""
+
+
+@query("keyword_frequency", f"WITH {_COUNTED} SELECT word, freq FROM counted ORDER BY freq DESC, first LIMIT 20")
 def keyword_frequency(spark, sf_dir):
     return K.keyword_frequency(I.table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
-@query("topk_keywords", f"WITH {_TOKEN_ROWS}, {_COUNTED} SELECT word, freq FROM counted ORDER BY freq DESC, first LIMIT 500")
+@query("topk_keywords", f"WITH {_COUNTED} SELECT word, freq FROM counted ORDER BY freq DESC, first LIMIT 500")
 def topk_keywords(spark, sf_dir):
     docs = I.table(spark, sf_dir, "documents")
     stops = J.word_table(spark, SW.KEYWORDS)
@@ -269,16 +306,16 @@ def topk_keywords(spark, sf_dir):
 
 @query(
     "keyword_counts",
-    f"WITH {_TOKEN_ROWS}, {_COUNTED} SELECT word, freq, first.a AS first_doc, CAST(first.b AS BIGINT) AS first_pos FROM counted",
+    f"WITH {_COUNTED} SELECT word, freq, first.a AS first_doc, CAST(first.b AS BIGINT) AS first_pos FROM counted",
 )
 def keyword_counts(spark, sf_dir):
-    tokens = K.keyword_tokens(I.table(spark, sf_dir, "documents"), "text", "doc_id")
-    counts = K.count_keywords(tokens.filter(~F.col("token").isin(list(SW.KEYWORDS))), "doc_id")
-    return counts.select(
+    """Counts of all keywords with the document and the chunk in which each comes first."""
+    counts = K.keyword_counts(I.table(spark, sf_dir, "documents"), "text", "doc_id")
+    return counts.filter(~F.col("word").isin(list(SW.KEYWORDS))).select(
         "word",
         "freq",
-        F.expr("first div 10000000000").alias("first_doc"),
-        F.expr("first % 10000000000").cast("bigint").alias("first_pos"),
+        F.expr("first.first div 10000000000").alias("first_doc"),
+        F.expr("first.first % 10000000000").cast("bigint").alias("first_pos"),
     )
 
 
