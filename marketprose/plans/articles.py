@@ -27,7 +27,7 @@ class ArticleReport:
     per_month: DataFrame  # year, month_no, month_name, n
     mean_words: DataFrame
     word_histogram: DataFrame
-    keywords: DataFrame  # word, freq
+    keywords: Callable[[], DataFrame]  # word, freq; runs when called
     cloud: Callable[[], DataFrame]  # term, freq, weight; runs when called
 
 
@@ -41,7 +41,7 @@ def article_report(articles: DataFrame, doc: str, text: str = "content", stops:
         A.by_year_month(A.monthly_counts(articles)),
         A.mean_of(lengths),
         A.histogram(lengths, "word_count"),
-        keyword_frequency(articles, text, doc, stops),
+        lambda: keyword_frequency(articles, text, doc, stops),
         lambda: cloud_weights(articles, text, doc, stops=stops),
     )
 

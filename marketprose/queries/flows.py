@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketprose.functions import words as W
+from marketprose.operators import stopwords as SW
 from marketprose.plans import articles as PA
 from marketprose.plans import ingest as PI
 from marketprose.plans import posts as PP
@@ -78,9 +79,47 @@ def post_topics(spark, sf_dir):
     return PP.post_topics(I.posts(spark, sf_dir), "post_id").posts.select("post_id", "topic_id", "topic_score")
 
 
+def _report(spark, sf_dir):
+    return PA.article_report(I.articles(spark, sf_dir), "doc_id")
+
+
+def _on_articles(sql: str) -> str:
+    """The same SQL over the contents of the articles."""
+    return sql.replace("FROM documents", f"FROM (SELECT doc_id, content AS text FROM ({I.ARTICLES}))")
+
+
+@query("article_report_months", SQL["articles_by_year_month"])
+def article_report_months(spark, sf_dir):
+    return _report(spark, sf_dir).per_month
+
+
+@query("article_report_mean", SQL["mean_word_count"])
+def article_report_mean(spark, sf_dir):
+    return _report(spark, sf_dir).mean_words.select(F.round("mean", 6).alias("mean"))
+
+
+@query("article_report_histogram", SQL["wordcount_histogram"])
+def article_report_histogram(spark, sf_dir):
+    bins = _report(spark, sf_dir).word_histogram
+    return bins.select("bin", F.round("bin_low", 6).alias("bin_low"), F.round("bin_high", 6).alias("bin_high"), "freq")
+
+
 @query(
-    "article_report_months",
-    SQL["articles_by_year_month"],
+    "article_report_cleaned",
+    P.with_articles(
+        f"""SELECT doc_id, {P.clean(P.to_text('content'), SW.CLEANING, False)} AS clean,
+        CAST(len({P.runs(P.to_text('content'))}) AS BIGINT) AS word_count FROM articles"""
+    ),
 )
-def article_report_months(spark, sf_dir):
-    return PA.article_report(I.articles(spark, sf_dir), "doc_id").per_month
+def article_report_cleaned(spark, sf_dir):
+    return _report(spark, sf_dir).cleaned.select("doc_id", "clean", "word_count")
+
+
+@query("article_report_keywords", _on_articles(SQL["keyword_frequency"]))
+def article_report_keywords(spark, sf_dir):
+    return _report(spark, sf_dir).keywords()
+
+
+@query("article_report_cloud", _on_articles(SQL["wordcloud_weights"]))
+def article_report_cloud(spark, sf_dir):
+    return _report(spark, sf_dir).cloud().withColumn("weight", F.round("weight", 6))
