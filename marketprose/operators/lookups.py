@@ -133,27 +133,3 @@ def regroup_tokens(tokens: DataFrame, doc: str, value: Column, out: str = "token
 def link_pages(pages: DataFrame, links: DataFrame, url: str = "link", how: str = "left", **join) -> DataFrame:
     """Pages with their row of the link table, where there is one; ``links`` has one row per url."""
     return keyed_join(pages, links, url, how, **join)
-
-
-PROBE = 8  # first characters of a keyword that a text must hold before the keyword is looked for
-
-
-def rule_flag_table(df: DataFrame, key: str, text: str, rules: DataFrame, **join) -> DataFrame:
-    """``rule_flag`` for rules kept as a table (rule_pos, label, keyword) of any length: (key, flag_case).
-
-    The first rule by position, then keyword, that the text holds as a substring, ignoring case; null if none. Keys are
-    unique. Every text's distinct short character runs meet the first characters of the keywords; only keywords found
-    that way are looked for, so the work follows the hits and not texts times rules. Empty keywords match any text.
-    """
-    table = rules.select("rule_pos", "label", F.lower("keyword").alias("_keyword")).filter("_keyword IS NOT NULL")
-    table = table.withColumn("_probe", F.substring("_keyword", 1, PROBE)).distinct()
-    low = df.select(key, F.lower(F.col(text)).alias("_low"))
-    lengths = [r[0] for r in table.select(F.length("_probe")).distinct().collect()]  # at most PROBE + 1 numbers
-    runs = [F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths if n]
-    runs = F.array_distinct(F.concat(*runs, F.array(F.lit(""))))
-    probes = table.select("_probe").distinct()
-    held = keyed_join(unnest(low, [key], runs, "_probe"), probes, "_probe", "left_semi", spread=[key], **join)
-    found = held.join(table, "_probe").select(key, "rule_pos", "label", "_keyword")
-    hits = found.join(low, key).filter(F.col("_low").contains(F.col("_keyword")))
-    first = hits.groupBy(key).agg(F.min_by("label", F.struct("rule_pos", "_keyword", "label")).alias("flag_case"))
-    return df.select(key).join(first, key, "left")

@@ -11,6 +11,7 @@ from marketprose.operators import aggregates as A
 from marketprose.operators import clean as C
 from marketprose.operators import lookups as J
 from marketprose.operators import ordering as O
+from marketprose.operators import patterns as PT
 from marketprose.operators import select as S
 from marketprose.operators import windows as N
 from marketprose.operators.stopwords import CLEANING
@@ -141,7 +142,7 @@ def rule_flag_table(spark, sf_dir):
     rules = items.select(
         F.col("item_id").alias("rule_pos"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("label"), F.col("text").alias("keyword")
     )
-    return J.rule_flag_table(I.articles(spark, sf_dir), "doc_id", "content", rules)
+    return PT.rule_flag_table(I.articles(spark, sf_dir), "doc_id", "content", rules)
 
 
 @query(

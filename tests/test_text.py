@@ -7,7 +7,7 @@ from marketprose.functions import dates as D
 from marketprose.functions import lexical as L
 from marketprose.functions import text as X
 from marketprose.operators import clean as C
-from marketprose.operators import lookups as J
+from marketprose.operators import patterns as PT
 from marketprose.operators import select as S
 from marketprose.operators import tokens as T
 from marketprose.operators import stopwords as SW
@@ -179,9 +179,9 @@ def test_rule_flag_table(spark):
     rules += [(100 + k, f"r{k}", f"key-{k:05d}") for k in range(50_000)]
     table = spark.createDataFrame(rules, "rule_pos int, label string, keyword string")
     for limit in (1 << 26, 0):
-        got = {r["id"]: r["flag_case"] for r in J.rule_flag_table(df, "id", "t", table, max_bytes=limit).collect()}
+        got = {r["id"]: r["flag_case"] for r in PT.rule_flag_table(df, "id", "t", table, max_bytes=limit).collect()}
         assert got == {0: "first", 1: None, 2: None, 3: None, 4: "r42", 5: "lines", 6: "short", 7: "first"}
-    none = J.rule_flag_table(df, "id", "t", table.limit(0)).collect()
+    none = PT.rule_flag_table(df, "id", "t", table.limit(0)).collect()
     assert len(none) == len(texts) and all(r["flag_case"] is None for r in none)
 
 
