@@ -1,8 +1,8 @@
 """Many literal patterns looked for in texts at once, through the rarest gram of every pattern.
 
 A pattern is cut into tiles of at most ``TILE`` characters, and each tile is found by the one of its grams that the texts
-hold least often. A text gives one short window per place; the window meets the tiles of its gram and holds all that is
-needed to compare them, so no text is moved or joined, whatever the number of patterns and the length of either.
+hold least often. A text is opened in short windows; a gram meets its tiles with its window, which holds all that is needed to
+compare them, so no text is moved or joined, whatever the number of patterns and the length of either.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from marketprose.session import written
 
 TILE = 32  # characters compared at once
 GRAM = 3  # characters of a gram; shorter tiles are their own gram
-PIECE = 4096  # places of a text that are opened together
+PIECE = 4096  # places of a text that are counted together
+WINDOW = 96  # places of a text that share a window
 
 
-def _pieces(df: DataFrame, key: str, text: Column, overlap: int) -> DataFrame:
-    """(key, no, piece): PIECE characters of a text, with the ``overlap`` characters after them."""
-    cut = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{PIECE + overlap}}})).{{1,{PIECE}}}"), F.lit(1))
+def _pieces(df: DataFrame, key: str, text: Column, size: int, overlap: int) -> DataFrame:
+    """(key, no, piece): ``size`` characters of a text, with the ``overlap`` characters after them."""
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{size + overlap}}})).{{1,{size}}}"), F.lit(1))
     return unnest(df, [key], cut, "no", "piece")
 
 
@@ -30,7 +31,7 @@ def _grams(length: int) -> Column:
 
 def gram_counts(df: DataFrame, key: str, text: str, grams: DataFrame, lengths: list[int], **join) -> DataFrame:
     """How often the texts hold each of the grams (column ``gram``): (gram, n), about."""
-    pieces = _pieces(df, key, F.col(text), GRAM - 1)
+    pieces = _pieces(df, key, F.col(text), PIECE, GRAM - 1)
     held = unnest(pieces, [key], F.concat(*[_grams(n) for n in lengths]), "gram")
     counts = held.groupBy("gram").agg(F.count("*").alias("n"))  # combined before it meets the list
     return keyed_join(counts, grams, "gram", "left_semi", **join)
@@ -77,20 +78,19 @@ def occurrences(df: DataFrame, key: str, text: str, patterns: DataFrame, pattern
     lengths = [r[0] for r in index.select(width).distinct().collect()]  # at most GRAM numbers
 
     padded = F.concat(F.repeat(F.lit("\0"), F.lit(back)), F.col(text))
-    pieces = _pieces(df, key, padded, back + ahead - 1)
-    around = F.regexp_extract_all("piece", F.lit(rf"(?s)(?=(.{{{back + 1},{back + ahead}}}))."), F.lit(1))
-    windows = unnest(pieces, [key, "no"], around, "i", "window").filter(F.col("i") < PIECE)
-    place = (F.col("no").cast("bigint") * PIECE + F.col("i")).alias("place")
-    probes = [F.substring("window", back + 1, n) for n in lengths or [GRAM]]
-    if len(probes) == 1:
-        windows = windows.select(key, place, "window", probes[0].alias("gram"))
-    else:  # at the end of a text a long probe is a short one, which is there already
-        held = F.array_distinct(F.array(*probes))
-        windows = windows.select(key, place, "window", F.explode(held).alias("gram"))
-
-    met = keyed_join(windows, index, "gram", "inner", spread=[key, "place"], **join)
-    start = F.col("place") - F.col("offset") - F.col("at")
-    same = F.substring("window", F.lit(back + 1) - F.col("offset"), F.char_length("tile")) == F.col("tile")
+    pieces = _pieces(df, key, padded, WINDOW, back + ahead - 1)
+    if len(lengths) < 2:
+        grams = unnest(pieces, [key, "no", "piece"], _grams(*lengths or [GRAM]), "i", "gram")
+    else:
+        each = [F.transform(_grams(n), lambda g, i: F.struct(i.alias("i"), g.alias("gram"))) for n in lengths]
+        grams = unnest(pieces, [key, "no", "piece"], F.concat(*each), "_g").select(key, "no", "piece", "_g.*")
+    # the text begins after the padding; the places after the last one are the next window's
+    grams = grams.filter(F.col("i").between(back, back + WINDOW - 1))
+    place = F.col("no").cast("bigint") * WINDOW + F.col("i") - back
+
+    met = keyed_join(grams, index, "gram", "inner", spread=[key, "no", "i"], **join)
+    start = place - F.col("offset") - F.col("at")
+    same = F.substring("piece", F.col("i") - F.col("offset") + 1, F.char_length("tile")) == F.col("tile")
     hits = met.filter(same & (start >= 0)).select(key, start.alias("start"), "tiles", "row")
     if most > 1:  # a pattern of several tiles is there where all of them are
         hits = hits.groupBy(key, "start", "tiles", "row").agg(F.count("*").alias("_n")).filter("_n = tiles")
