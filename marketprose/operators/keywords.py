@@ -97,7 +97,25 @@ def cloud_words(text: Column, min_word_length: int = 0, include_numbers: bool =
     return F.filter(words, lambda w: F.length(w) >= min_word_length) if min_word_length > 0 else words
 
 
-def _forms(tokens: DataFrame, doc: str) -> DataFrame:
+def cloud_forms(
+    df: DataFrame, text: str, doc: str, stops: Sequence[str], pairs: bool, min_word_length: int = 0, include_numbers: bool = False
+) -> DataFrame:
+    """(form, n, first): spellings of words that are no stop words and, with ``pairs``, of two such words in a row.
+
+    Each text is split once; words and pairs are counted by one aggregation.
+    """
+    stops = [w.lower() for w in stops]
+    words = once(df.select(doc, text), "_w", cloud_words(F.col(text), min_word_length, include_numbers))
+    after = F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1)))
+    joined = F.zip_with("_w", after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    tokens = once(words, "_p", joined).select(doc, F.posexplode("_p").alias("pos", "p"))
+    tokens = tokens.filter(~F.lower("p.a").isin(stops))
+    word, second = F.col("p.a"), F.col("p.b")
+    if pairs:
+        pair = F.when(second.isNotNull() & ~F.lower(second).isin(stops), F.array(word, F.concat_ws(" ", word, second)))
+        tokens = tokens.select(doc, "pos", F.explode(F.coalesce(pair, F.array(word))).alias("form"))
+    else:
+        tokens = tokens.select(doc, "pos", word.alias("form"))
     return tokens.groupBy("form").agg(F.count("*").alias("n"), F.min(appearance(tokens, doc)).alias("first"))
 
 
@@ -159,33 +177,20 @@ def cloud_counts(
 ) -> DataFrame:
     """(term, freq) of words and word pairs; a pair that scores above the threshold is a term of its
     own and is taken off the counts of its words. Pairs never cross documents."""
-    stops = [w.lower() for w in stops]
-    words = once(df.select(doc, text), "_w", cloud_words(F.col(text), min_word_length, include_numbers))
-    singles = words.select(doc, F.posexplode("_w").alias("pos", "form")).filter(~F.lower("form").isin(stops))
-    forms = written(_forms(singles, doc), "cloud-words")
-    folded = fold_forms(forms, normalize_plurals)
-    counts = folded.groupBy(F.col("standard").alias("term")).agg(F.first("total").alias("freq"))
+    forms = cloud_forms(df, text, doc, stops, collocations, min_word_length, include_numbers)
+    folded = fold_forms(forms, normalize_plurals)  # a pair holds a space and no word does, so both fold together
+    by_term = lambda keys: keys.groupBy(F.col("standard").alias("term")).agg(F.first("total").alias("freq"))
     if not collocations:
-        return counts
+        return by_term(folded)
     folded = written(folded, "cloud-folded")
-    counts = folded.groupBy(F.col("standard").alias("term")).agg(F.first("total").alias("freq"))
-    n = F.coalesce(forms.agg(F.sum("n")).scalar(), F.lit(0))
-
-    doubles = (
-        once(words, "_p", F.zip_with("_w", F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-        .select(doc, F.posexplode("_p").alias("pos", "p"))
-        .filter(F.col("p.b").isNotNull() & ~F.lower("p.a").isin(stops) & ~F.lower("p.b").isin(stops))
-        .select(doc, "pos", F.concat_ws(" ", "p.a", "p.b").alias("form"))
-    )
-    two = fold_forms(_forms(doubles, doc), normalize_plurals)
-    two = two.groupBy(F.col("standard").alias("term")).agg(F.first("total").alias("freq"))
-    two = written(
-        two.withColumns({"k1": F.lower(F.split_part("term", F.lit(" "), F.lit(1))),
-                         "k2": F.lower(F.split_part("term", F.lit(" "), F.lit(2)))}),
-        "cloud-pairs",
-    )
+    is_pair = F.contains("key", F.lit(" "))
+    words = folded.filter(~is_pair)
+    counts = by_term(words)
+    n = F.coalesce(counts.agg(F.sum("freq")).scalar(), F.lit(0))
+    part = lambda i: F.lower(F.split_part("term", F.lit(" "), F.lit(i)))
+    two = by_term(folded.filter(is_pair)).withColumns({"k1": part(1), "k2": part(2)})
     for side in ("1", "2"):
-        one = folded.select(F.col("key").alias("k" + side), F.col("standard").alias("w" + side), F.col("total").alias("c" + side))
+        one = words.select(F.col("key").alias("k" + side), F.col("standard").alias("w" + side), F.col("total").alias("c" + side))
         two = keyed_join(two, one, "k" + side, "inner", spread=["term"])
     score = log_likelihood(F.col("freq"), F.col("c1"), F.col("c2"), n)
     strong = written(two.filter(score > threshold).select("term", "freq", "w1", "w2"), "cloud-strong")
