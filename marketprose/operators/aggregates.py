@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from marketprose.functions.dates import coerce_date
 from marketprose.operators.lookups import keyed_join
 from marketprose.operators.select import once, unnest
-from marketprose.operators.windows import offsets
+from marketprose.operators.windows import numbered, range_buckets
 from marketprose.session import written
 
 
@@ -105,9 +105,8 @@ def daily_text(
     ``seq`` counts a day's documents from 0 in ``order``; joined by a space in that order they are the day's text.
     Null texts and null dates are left out, equal keys of ``order`` follow their texts' order.
 
-    Documents are numbered inside buckets of a day, from the sizes of its earlier buckets; no day has to fit in one
-    task. ``bucket`` must not decrease with ``order``; by default it is 1024 whole-number ids, and for any other order the
-    partitions of a range sort, which is written so that it stays the same.
+    Documents are numbered inside buckets of like size, from the sizes of a day's earlier buckets; no day has to fit in one
+    task, whatever the values of ``order`` are. A caller's ``bucket`` must not decrease with ``order``.
     """
     rows = articles.filter(F.col(date).isNotNull() & F.col(text).isNotNull()).select(
         F.col(date).alias("date"),
@@ -115,15 +114,9 @@ def daily_text(
         F.col(text).alias("_t"),
         *([] if bucket is None else [bucket.alias("_bucket")]),
     )
-    if bucket is None and dict(rows.dtypes)["_o"] in ("tinyint", "smallint", "int", "bigint"):
-        rows = rows.withColumn("_bucket", F.floor(F.col("_o") / 1024))
-    elif bucket is None:
-        ranged = rows.repartitionByRange("date", "_o").withColumn("_bucket", F.spark_partition_id())
-        rows = written(ranged, "daily-text")
-    inside = Window.partitionBy("date", "_bucket").orderBy("_o", "_t")
-    numbered = rows.join(offsets(rows, ["date"], "_bucket", F.lit(1)), ["date", "_bucket"])
-    seq = (F.col("before") + F.row_number().over(inside) - 1).cast("bigint")
-    return numbered.select("date", seq.alias("seq"), F.col("_t").alias(text))
+    if bucket is None:
+        rows = range_buckets(rows, ["date", "_o", F.substring("_t", 1, 64)])  # a text's beginning sorts as the text does
+    return numbered(rows, ["date"], ["_o", "_t"], "seq").select("date", (F.col("seq") - 1).alias("seq"), F.col("_t").alias(text))
 
 
 def row_max(weights: Column) -> Column:

@@ -1,17 +1,21 @@
 """Ordered operators: day numbers, lagged prices, up flags, first or top rows per key.
 
-No window here runs over a whole ticker. Rows are numbered inside calendar buckets and shifted by
+No window here runs over a whole ticker. Rows are numbered inside buckets of like size and shifted by
 the sizes of the earlier buckets; lags run inside fixed blocks of day numbers that carry the last
 few rows of the block before. One ticker may therefore hold any share of the rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketprose.functions import words as W
+from marketprose.session import written
+
+BUCKET_ROWS = 1_000_000
 
 
 def month_bucket(df: DataFrame, order: str) -> Column:
@@ -30,23 +34,46 @@ def offsets(df: DataFrame, keys: Sequence[str], bucket: str, amount: Column) ->
     )
 
 
+def range_buckets(df: DataFrame, order: Sequence[str | Column], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows with ``_bucket``, a number that does not decrease with ``order``; buckets are of like size.
+
+    The bounds come from samples of the order's values, whatever their distribution: a value with very many rows is cut by
+    the columns after it. Only rows that are equal in all of ``order`` stay together. The rows are written with
+    their bucket, so that it is the same wherever they are read; the input is evaluated for the samples and once more.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    n = df.count()
+    buckets = max(1, math.ceil(n / bucket_rows), min(tasks, math.ceil(n / 10_000)))
+    ranged = df.repartitionByRange(buckets, *order) if buckets > 1 else df.coalesce(1)
+    return written(ranged.withColumn("_bucket", F.spark_partition_id()), "range-buckets")
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
+    """Rows with ``_bucket`` numbered from 1 per key: a row's place in its bucket, after all rows of earlier ones."""
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    with_before = rows.join(offsets(rows, keys, "_bucket", F.lit(1)), [*keys, "_bucket"])
+    return with_before.withColumn(name, (F.col("before") + F.row_number().over(inside)).cast("bigint")).drop("_bucket", "before")
+
+
 def day_order(
     prices: DataFrame,
     order: str = "datetime",
     by: str = "ticker",
     bucket: Column | None = None,
     tie: Sequence[str] = (),
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Add ``day_order``, 1..n in time order per ticker.
+    """Add ``day_order``, 1..n in time order per ticker; rows without a ticker are left out.
 
-    ``bucket`` must not decrease with ``order``; months suit daily bars, hours suit ticks.
+    Buckets are cut by the data. A caller's ``bucket`` must not decrease with ``order`` (``month_bucket`` suits daily bars)
+    and saves the sort by range.
     """
-    rows = prices.withColumn("_bucket", month_bucket(prices, order) if bucket is None else bucket)
-    inside = Window.partitionBy(by, "_bucket").orderBy(order, *tie)
-    numbered = rows.join(offsets(rows, [by], "_bucket", F.lit(1)), [by, "_bucket"])
-    return numbered.withColumn(
-        "day_order", (F.col("before") + F.row_number().over(inside)).cast("bigint")
-    ).drop("_bucket", "before")
+    prices = prices.filter(F.col(by).isNotNull())
+    if bucket is None:
+        rows = range_buckets(prices, [by, order, *tie, F.xxhash64(*prices.columns)], bucket_rows)
+    else:
+        rows = prices.withColumn("_bucket", bucket)
+    return numbered(rows, [by], [order, *tie], "day_order")
 
 
 def lag_prices(

@@ -360,9 +360,8 @@ def mean_word_count(spark, sf_dir):
     ),
 )
 def daily_text_concat(spark, sf_dir):
-    # small buckets, so that the test data has days of several
     dated = I.articles(spark, sf_dir).withColumn("date", coerce_date(F.col("date")))
-    return A.daily_text(dated, text="content", bucket=F.floor(F.col("doc_id") / 64))
+    return A.daily_text(dated, text="content")
 
 
 @query(

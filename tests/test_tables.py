@@ -92,6 +92,23 @@ def test_daily_text_pieces_keep_order_and_everything(spark):
         assert all(sorted(pieces) == list(range(len(pieces))) for pieces in got.values())
 
 
+def test_buckets_are_of_like_size_whatever_the_keys(spark):
+    """Random 64-bit ids of one day, ticks of one ticker in one month, and one time that most rows share."""
+    rng = random.Random(8)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(40_000)]
+    same = [0 if rng.random() < 0.7 else rng.randrange(1000) for _ in ids]
+    df = spark.createDataFrame([("A", i, t) for i, t in zip(ids, same)], "ticker string, id long, time int")
+    for order in (["ticker", "id"], ["ticker", "time", "id"]):
+        sizes = [r["count"] for r in N.range_buckets(df, order, bucket_rows=2000).groupBy("_bucket").count().collect()]
+        assert len(sizes) >= 19 and sum(sizes) == len(ids) and max(sizes) <= 2 * 2000
+    got = {r["id"]: r["day_order"] for r in N.day_order(df, "id", bucket_rows=2000).collect()}
+    assert got == {i: n + 1 for n, i in enumerate(sorted(ids))}
+    tied = N.day_order(df, "time", tie=["id"], bucket_rows=2000).orderBy("day_order").collect()
+    assert [(r["time"], r["id"]) for r in tied] == sorted(zip(same, ids))
+    assert [r["day_order"] for r in tied] == list(range(1, len(ids) + 1))
+    assert N.day_order(df.limit(0), "id").collect() == []
+
+
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(spark, how):
     rng = random.Random(1)
