@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from marketprose.functions import words as W
 from marketprose.session import written
 
-BUCKET_ROWS = 1_000_000
-
 
 def month_bucket(df: DataFrame, order: str) -> Column:
     """Calendar month of a date, a timestamp or ``yyyyMMdd`` text."""
@@ -34,17 +32,16 @@ def offsets(df: DataFrame, keys: Sequence[str], bucket: str, amount: Column) ->
     )
 
 
-def range_buckets(df: DataFrame, order: Sequence[str | Column], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def range_buckets(df: DataFrame, order: Sequence[str | Column], bucket_rows: int | None = None) -> DataFrame:
     """The rows with ``_bucket``, a number that does not decrease with ``order``; buckets are of like size.
 
     The bounds come from samples of the order's values, whatever their distribution: a value with very many rows is cut by
-    the columns after it. Only rows that are equal in all of ``order`` stay together. The rows are written with
-    their bucket, so that it is the same wherever they are read; the input is evaluated for the samples and once more.
+    the columns after it. Only rows that are equal in all of ``order`` stay together. There are as many buckets as the
+    session has shuffle partitions, fewer for little data, or as many as ``bucket_rows`` asks for. The rows are written
+    with their bucket, so that it is the same wherever they are read.
     """
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    n = df.count()
-    buckets = max(1, math.ceil(n / bucket_rows), min(tasks, math.ceil(n / 10_000)))
-    ranged = df.repartitionByRange(buckets, *order) if buckets > 1 else df.coalesce(1)
+    count = [] if bucket_rows is None else [max(1, math.ceil(df.count() / bucket_rows))]
+    ranged = df.repartitionByRange(*count, *order)
     return written(ranged.withColumn("_bucket", F.spark_partition_id()), "range-buckets")
 
 
@@ -61,7 +58,7 @@ def day_order(
     by: str = "ticker",
     bucket: Column | None = None,
     tie: Sequence[str] = (),
-    bucket_rows: int = BUCKET_ROWS,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """Add ``day_order``, 1..n in time order per ticker; rows without a ticker are left out.
 
