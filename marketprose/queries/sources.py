@@ -137,15 +137,31 @@ def search_links(spark, sf_dir):
     return links.select("link", "title", (F.array_position(terms, F.col("query")) - 1).cast("int").alias("query_pos"), "date")
 
 
-@query(
-    "stream_new_links",
-    P.with_items("SELECT DISTINCT trim(link) AS link FROM search_items WHERE feedname = 'articles' AND trim(link) <> ''"),
-)
+_NEW_LINKS = P.with_items("SELECT DISTINCT trim(link) AS link FROM search_items WHERE feedname = 'articles' AND trim(link) <> ''")
+
+
+def _landed(spark, pages, path):
+    pages.select(collapse_whitespace(F.col("body"))).write.mode("append").text(path)
+
+
+@query("stream_new_links", _NEW_LINKS)
 def stream_new_links(spark, sf_dir):
-    """All landed pages as a stream, one page per line, read until none is left."""
-    landed = scratch_path(spark, "landed-pages")
-    I.search_pages(spark, sf_dir).select(collapse_whitespace(F.col("body"))).write.text(landed)
-    out = scratch_path(spark, "new-links")
-    stream = ST.new_links(ST.stream_pages(spark, landed, whole_files=False))
+    """All landed pages as a stream with bounded state, one page per line, read until none is left."""
+    landed, out = scratch_path(spark, "landed-pages"), scratch_path(spark, "new-links")
+    _landed(spark, I.search_pages(spark, sf_dir), landed)
+    stream = ST.new_links(ST.stream_pages(spark, landed, whole_files=False), within=ST.RECENT)
     ST.write_new_links(stream, os.path.join(out, "rows"), os.path.join(out, "checkpoint")).awaitTermination()
     return spark.read.parquet(os.path.join(out, "rows")).select("link")
+
+
+@query("stream_links_restarted", _NEW_LINKS)
+def stream_links_restarted(spark, sf_dir):
+    """The same links when pages land in two parts that share links, with a restart between them, in small batches."""
+    landed, out = scratch_path(spark, "landed-pages"), scratch_path(spark, "new-links")
+    rows, state = os.path.join(out, "rows"), os.path.join(out, "checkpoint")
+    pages = I.search_pages(spark, sf_dir)
+    for part in (pages.filter("query_pos % 2 = 0"), pages):  # the second brings the pages of the first again
+        _landed(spark, part, landed)
+        stream = ST.new_links(ST.stream_pages(spark, landed, files_per_batch=4, whole_files=False), within=ST.RECENT)
+        ST.write_new_links(stream, rows, state).awaitTermination()
+    return spark.read.parquet(rows).select("link")

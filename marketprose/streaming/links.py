@@ -11,14 +11,18 @@ from marketprose.sources import schemas
 from marketprose.sources.search import page_json
 
 
+RECENT = ("landed_at", "30 days")  # search results name the same links for some weeks
+
+
 def stream_pages(
     spark: SparkSession, path: str, files_per_batch: int | None = None, whole_files: bool = True
 ) -> DataFrame:
-    """Landed pages as a stream (``body``): one page per file, or one per line."""
+    """Landed pages as a stream (``body``, ``landed_at``, the time of its file): one page per file, or one per line."""
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(path, wholetext=whole_files).withColumnRenamed("value", "body")
+    text = reader.text(path, wholetext=whole_files)
+    return text.select(F.col("value").alias("body"), F.col("_metadata.file_modification_time").alias("landed_at"))
 
 
 def page_links(items: Column, feed: str) -> Column:
@@ -39,7 +43,9 @@ def new_links(pages: DataFrame, feed: str = "articles", within: tuple[str, str]
     """Links not seen before (link, title, pubdate), in order of arrival.
 
     Repeats inside a page go before the shuffle, so a link in every item costs one row per page.
-    ``within`` = (time column, delay) forgets links after the delay and so bounds the state.
+    ``within`` = (time column, delay), such as ``RECENT``, bounds the state: a link is forgotten once the newest time seen
+    is two delays past its first one, and comes out again if it lands after that; rows that are later than the delay are
+    left out. Without it every link is kept for ever.
     """
     parsed = F.from_json(page_json(F.col("body")), schemas.SEARCH_PAGE)["items"]
     carried = [within[0]] if within else []
@@ -47,7 +53,7 @@ def new_links(pages: DataFrame, feed: str = "articles", within: tuple[str, str]
     links = once(items, "links", page_links(F.col("items"), feed))
     rows = links.select(*carried, F.inline("links"))
     if within:
-        return rows.withWatermark(*within).dropDuplicatesWithinWatermark(["link"])
+        return rows.withWatermark(*within).dropDuplicatesWithinWatermark(["link"]).drop(within[0])
     return rows.dropDuplicates(["link"])
 
 

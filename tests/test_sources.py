@@ -169,6 +169,27 @@ def test_stream_gives_each_link_once_also_after_a_restart(spark, tmp_path):
     assert run() == sorted(r["link"] for r in ingest_links(pages).collect()) == ["l1", "l2", "l3"]
 
 
+def test_bounded_state_forgets_old_links_and_drops_late_ones(spark, tmp_path):
+    src, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    schema = "body string, seen timestamp"
+
+    def land(*rows):
+        pages = [(search_page([{"feedname": "articles", "link": l, "title": "t", "pubdate": ""}]), f"2024-01-{d:02d}") for l, d in rows]
+        df = spark.createDataFrame(pages, "body string, seen string").withColumn("seen", F.to_timestamp("seen"))
+        df.write.mode("append").parquet(src)
+        stream = L.new_links(spark.readStream.schema(schema).parquet(src), within=("seen", "2 days"))
+        query = L.write_new_links(stream, out, state)  # every call is a restart from the stored state
+        query.awaitTermination()
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        return sorted(r["link"] for r in spark.read.parquet(out).collect()), kept[-1]
+
+    assert land(("a", 1), ("b", 1), ("a", 1)) == (["a", "b"], 2)
+    assert land(("a", 2), ("c", 2)) == (["a", "b", "c"], 3)  # repeated inside the delay, after a restart
+    assert land(("d", 20)) == (["a", "b", "c", "d"], 1)  # a, b and c are forgotten
+    assert land(("e", 5), ("d", 19)) == (["a", "b", "c", "d"], 1)  # e is too late, d is known
+    assert land(("a", 21)) == (["a", "a", "b", "c", "d"], 2)  # long after: news again
+
+
 def test_links_of_a_page_are_unique_before_the_shuffle(spark):
     page = search_page([{"feedname": "articles", "link": f"l{i % 3}", "title": str(i), "pubdate": ""} for i in range(500)])
     df = spark.createDataFrame([(page,)], "body string")
