@@ -7,6 +7,7 @@ fitted on held-out folds turns its margin into a probability. Every model has th
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,22 +22,25 @@ BITS = 20  # of a hashed indicator
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
+class Signs(Recent):
+    """Code point to the sign of its class: B a capital, a another letter or mark, 0 a digit; others stand for themselves."""
+
+    _classes = ((regex.compile(r"[\p{Lu}\p{Lt}]"), "B"), (regex.compile(r"[\p{L}\p{M}]"), "a"), (regex.compile(r"\p{N}"), "0"))
+
+    def compute(self, point: int) -> str:
+        sign = chr(point)
+        return next((s for pattern, s in self._classes if pattern.match(sign)), sign)
+
+
 class Shapes(Recent):
-    """Hash of a word's shape: runs of lower-case letters, capitals and digits as one sign each, other signs as runs."""
+    """Hash of a word's shape, from its signs: runs of capitals, other letters and digits as one sign each, others as two."""
 
-    _runs = (
-        (regex.compile(r"[\p{Lu}\p{Lt}]{2,}"), "C"),
-        (regex.compile(r"[\p{Lu}\p{Lt}]"), "B"),
-        (regex.compile(r"[\p{L}\p{M}--[A-Z]]+", regex.V1), "a"),
-        (regex.compile(r"\p{N}+"), "0"),
-        (regex.compile(r"([^aBC0])\1+"), r"\1\1"),
-    )
+    _runs = ((re.compile(r"([aB0])\1+"), r"\1"), (re.compile(r"([^aB0])\1+"), r"\1\1"))
 
-    def compute(self, word: str) -> int:
-        shape = word
-        for pattern, sign in self._runs:
-            shape = pattern.sub(sign, shape)
-        return hash_text(shape)
+    def compute(self, signs: str) -> int:
+        for pattern, short in self._runs:
+            signs = pattern.sub(short, signs)
+        return hash_text(signs)
 
 
 def hash_text(text: str) -> int:
@@ -44,13 +48,14 @@ def hash_text(text: str) -> int:
     return int(hashes[0]) if len(hashes) else 0
 
 
-_SHAPES = Shapes(48 << 20)
+_SIGNS, _SHAPES = Signs(8 << 20), Shapes()
 
 
 def indicators(text: str) -> np.ndarray:
     """Sorted distinct hashed n-grams of a whole text. An empty text has those of its two ends."""
     hashes = word_hashes(text)
-    shapes = np.fromiter(map(_SHAPES.__getitem__, text.split()), np.uint64)
+    # signs of a whole text at once: far fewer of them than words differ
+    shapes = np.fromiter(map(_SHAPES.__getitem__, text.translate(_SIGNS).split()), np.uint64)
     ends = np.array([1], np.uint64), np.array([2], np.uint64)
     hashes, shapes = (np.concatenate([ends[0], x, ends[1]]) for x in (hashes, shapes))
     with np.errstate(over="ignore"):

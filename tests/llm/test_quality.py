@@ -16,6 +16,18 @@ def rows(n: int, seed: int = 1):
     return [text(r, g) for g in good], np.array(good)
 
 
+def test_shapes_are_worked_out_once_per_pattern_of_signs():
+    r = random.Random(3)
+    words = list({"".join(r.choice("abcdeinorst") for _ in range(6)).capitalize() + "," for _ in range(3000)})
+    quality.forget_recent()
+    quality.indicators(" ".join(words))
+    assert len(words) > 2000 and len(quality._SHAPES) == 1
+    signs = ["ABc--12", "Xyz-1", "É\u0301é...", "...", "\U0001d400\u00b2", "C0ba,,,"]
+    same = ["QRs----9", "Ab-77", "Ha....", "..", "Z3", "M1x,,"]
+    for a, b in zip(signs, same, strict=True):
+        assert quality._SHAPES[a.translate(quality._SIGNS)] == quality._SHAPES[b.translate(quality._SIGNS)]
+
+
 def test_held_out_accuracy():
     texts, good = rows(400)
     model = quality.fit([quality.indicators(t) for t in texts], good)
