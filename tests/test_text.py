@@ -197,3 +197,29 @@ def test_keep_pos(spark):
     ]
     marks = 'The , cars . - ... the, (of) "and" fast; U.S. 3.5'
     assert values(spark, [marks, "", " , . "], C.keep_pos) == ["cars fast U.S.", "", ""]
+
+
+def test_words_beside_marks_and_spaces(spark):
+    marks = "a.b@mail.org x@y http://h www.a.b/c. 3.5 U.S. é.com -a@b.de it's can't… a+b@c.io _x:y 12 \u00b2 日本. \u00a0 x  \ty\n"
+    texts = [marks, f" {marks} ", marks.replace(" ", "\u3000"), "a", "", "\x1c.\x85!", "https://a,b.c a_b-c.org tesla.com,x", None]
+    plain = lambda pattern: values(spark, texts, lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+    assert values(spark, texts, T.raw_tokens) == plain(T.TOKEN_PATTERN)
+    assert values(spark, texts, X.word_tokens) == plain(X.WORD_TOKENS)
+    odd = [*texts, "A @me, HTTP://X.y\u3000z 漢字 $TSLA 5% \U0001f680b www.q ²m 100m", "   ", " a  b\t"]
+    assert values(spark, odd, X.cleanup_tokens) == values(spark, odd, lambda t: X.split_tokens(X.basic_cleanup(t)))
+    assert values(spark, odd, X.collapse_whitespace) == values(
+        spark, odd, lambda t: F.trim(F.regexp_replace(t, f"[{X.SPACE}]+", " "))
+    )
+    assert values(spark, odd, X.strip_text) == values(
+        spark, odd, lambda t: F.regexp_replace(t, rf"^[{X.SPACE}]+|[{X.SPACE}]+\z", "")
+    )
+
+
+def test_words_are_put_in_lower_case_once(spark):
+    df = spark.createDataFrame([(1, "Cars")], "doc_id int, content string")
+    plan = lambda d: d._jdf.queryExecution().analyzed().toString()
+    # once per word, once for the phrases
+    assert plan(T.tokenize_articles(df, phrases=[], nouns=False)).lower().count("lower(") <= 2
+    assert plan(df.select(C.keep_pos(F.col("content")))).lower().count("lower(") <= 2
+    few = T.tokenize_articles(df, words=False)
+    assert few.columns == ["doc_id", "content", "tokens_nouns", "clean_text_nouns"]
