@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from marketprose.llm.common import as_key, forget_recent, keyed, shingle_hashes, word_hashes
 from marketprose.llm.graph import components
 from marketprose.operators import lookups
-from marketprose.session import written
+from marketprose.session import discard, small_batches, written
 
 MAX_SENT = 8 << 20  # bytes of a table that goes to all tasks; many go in one run
 GROUP = 48  # documents of a group, on average
@@ -147,49 +147,54 @@ class Join:
     def __init__(self, docs: DataFrame, percent: int, size: int, key: str, text: str):
         self.docs, self.percent, self.size, self.key, self.text = docs, percent, size, key, text
         sets = token_sets(docs, size, key, text, percent, whole=False)
-        self.found = written(sets.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
-        self.rows = self.found.select("doc_id", "n", "node")
+        found = written(sets.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
+        self.rows = written(found.select("doc_id", "n", "node"), "jaccard-rows")
         self.prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-        nodes = self._nodes()
-        matrix = self._matrix(nodes)
-        near = written(self._opened(self._stars(matrix), nodes), "jaccard-links")
+        self.nodes = self._nodes(found)
+        discard(found)
+        matrix = self._matrix()
+        near = written(self._opened(self._stars(matrix), self.nodes), "jaccard-links")
         # classes so far; a group is now the part of an old group that lies in one class
-        classes = components(near).withColumnRenamed("component", "class")
-        placed = nodes.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        placed = written(placed.withColumn("group", F.xxhash64("group", "class")), "jaccard-placed")
-        self.links = near.unionByName(self._opened(self._between(matrix, placed), placed))
-
-    def _nodes(self) -> DataFrame:
-        """node, row and doc_id of its first document, n, group."""
-        first = F.min(F.struct("doc_id", "row"))
-        lowest = F.min(F.substring("tokens", 1, 8))
-        nodes = self.found.filter("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(
-            first.alias("first"), F.min("n").alias("n"), lowest.alias("lowest")
-        )
-        sharing = nodes.groupBy("lowest").agg(F.count("*").alias("sharing")).filter("sharing > 1")
-        part = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("sharing", F.lit(1)) / GROUP).cast("bigint"))
-        nodes = nodes.join(sharing, "lowest", "left").withColumn("group", F.xxhash64("lowest", part))
-        return written(nodes.select("node", "first.row", "first.doc_id", "n", "group"), "jaccard-nodes")
+        classes = written(components(near).withColumnRenamed("component", "class"), "jaccard-classes")
+        placed = self._classed(self.nodes, classes).withColumn("group", F.xxhash64("group", "class"))
+        self.links = near.unionByName(self._opened(self._between(matrix, classes, placed), placed))
 
-    def _reserves(self, nodes: DataFrame) -> DataFrame:
-        """The nodes with their smallest hashes (tokens)."""
-        return keyed_join(self.found.select("row", "tokens"), nodes, "row", "inner").drop("row")
+    @staticmethod
+    def _classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """Rows of nodes with their class; a node without links is one of its own."""
+        return keyed_join(rows, classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+    def _nodes(self, found: DataFrame) -> DataFrame:
+        """node, row and doc_id of its first document, n, group and its smallest hashes (tokens)."""
+        rows = found.filter("n > 0 AND doc_id IS NOT NULL")
+        several = rows.groupBy("node").agg(F.count("*").alias("_copies"), F.min(F.struct("doc_id", "row"))["row"].alias("_first"))
+        several = written(several.filter("_copies > 1").drop("_copies"), "copied-nodes")
+        repeated = keyed_join(rows.select("node", "doc_id"), several.select("node"), "node", "left_semi")
+        self.repeated = bool(repeated.groupBy("node", "doc_id").count().filter("count > 1").limit(1).count())
+        nodes = keyed_join(rows, several, "node").filter("_first IS NULL OR row = _first").drop("_first")
+        nodes = nodes.withColumn("lowest", F.substring("tokens", 1, 8))
+        sharing = nodes.groupBy("lowest").agg(F.count("*").alias("sharing")).filter(F.col("sharing") > GROUP)
+        part = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("sharing", F.lit(1)) / GROUP).cast("bigint"))
+        nodes = keyed_join(nodes, written(sharing, "crowded-groups"), "lowest").withColumn("group", F.xxhash64("lowest", part))
+        return written(nodes.select("node", "row", "doc_id", "n", "group", "tokens"), "jaccard-nodes")
 
     def _whole(self, nodes: DataFrame) -> DataFrame:
         """node, n, group and the whole set (tokens), computed again from the texts of the nodes."""
-        ids = nodes.select(F.col("doc_id").alias(self.key)).distinct()
+        wanted = written(nodes.select("node", "doc_id", "group"), "wanted-nodes")
+        ids = wanted.select(F.col("doc_id").alias(self.key)).distinct()
         chosen = keyed_join(self.docs.select(self.key, self.text), ids, self.key, "left_semi")
         sets = token_sets(chosen, self.size, self.key, self.text, self.percent, whole=True)
-        wanted = nodes.select("node", "doc_id", "group")
-        return sets.join(wanted, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "n", "group", "tokens")
+        sets = keyed_join(sets, wanted, ["node", "doc_id"], "inner").select("node", "n", "group", "tokens")
+        return sets.dropDuplicates(["node"]) if self.repeated else sets
 
-    def _matrix(self, nodes: DataFrame) -> DataFrame:
-        """The token-group matrix by rows token, rank, node, n, group, for tokens that several nodes have."""
-        kept = self._reserves(nodes.select("row")).select("tokens")
-        shared = exploded(kept, self.percent).groupBy("token").agg(F.count("*").alias("nodes")).filter("nodes > 1")
-        shared = written(shared.select("token"), "shared-tokens")
-        every = exploded(self._reserves(nodes.select("row", "node", "n", "group")), self.percent)
-        return written(keyed_join(every, shared, "token", "left_semi"), "token-groups")
+    def _matrix(self) -> DataFrame:
+        """The token-group matrix by rows token, rank, node, n, group, for tokens that several nodes have.
+
+        Tokens meet with no more than a row number and a rank; the few that are shared get the rest by the row.
+        """
+        every = exploded(self.nodes.select("row", "tokens"), self.percent)
+        every = every.withColumn("_nodes", F.count("*").over(Window.partitionBy("token"))).filter("_nodes > 1").drop("_nodes")
+        return written(every.join(self.nodes.select("row", "node", "n", "group"), "row").drop("row"), "token-groups")
 
     def _stars(self, matrix: DataFrame) -> DataFrame:
         """Pairs of groups first, second that are worth opening first, and groups of several with themselves.
@@ -207,55 +212,42 @@ class Join:
         several = several.filter("_low < _high").select(F.col("group").alias("first"), F.col("group").alias("second"))
         return pairs.unionByName(several)
 
-    def _between(self, matrix: DataFrame, placed: DataFrame) -> DataFrame:
-        """Pairs of groups of different classes that share a token of their prefixes, frequent tokens put last."""
-        where = placed.select("node", "class", "group")
-        rows = keyed_join(matrix.drop("group"), where, "node", "inner")
+    def _between(self, matrix: DataFrame, classes: DataFrame, placed: DataFrame) -> DataFrame:
+        """Pairs of groups of different classes that share a token of their prefixes, frequent tokens put last.
+
+        Nodes without enough other tokens among their smallest hashes are short: they meet the others by the prefix of
+        their whole sets, and each other in an order of their own, tokens of few classes first.
+        """
+        rows = self._classed(matrix.drop("group"), classes)
         several = rows.groupBy("token").agg(F.min("class").alias("_low"), F.max("class").alias("_high"))
         rows = written(rows.join(several.filter("_low < _high").select("token"), "token"), "token-classes")
         frequent = written(self._crowded(rows), "frequent-tokens")
-        # nodes without enough other tokens among their smallest hashes are ordered by their whole sets; what is
-        # frequent there is put last too, until nothing more is
-        while True:
-            flagged = exploded(self._reserves(placed.select("row", "node", "n")), self.percent)
-            flagged = written(keyed_join(flagged, frequent, "token", "left_semi").select("node", "n", "rank"), "flagged")
-            reserve = F.least(F.col("n"), F.floor(self.prefix * 3 / 2) + 2)
-            lost = flagged.groupBy("node", "n").agg(F.count("*").alias("lost"))
-            short = lost.filter(reserve - F.col("lost") < F.least(self.prefix, F.col("n"))).select("node")
-            short = written(short, "short-nodes")
-            whole = self._whole(keyed_join(placed, short, "node", "left_semi")).select("node", "n", "tokens")
-            whole = written(keyed_join(exploded(whole, self.percent), where, "node", "inner"), "short-sets")
-            more = written(self._crowded(whole).join(frequent, "token", "left_anti"), "frequent-tokens")
-            if not more.limit(1).count():
-                break
-            frequent = written(frequent.unionByName(more), "frequent-tokens")
+        flagged = written(keyed_join(rows, frequent, "token", "left_semi").select("node", "n", "rank"), "flagged")
+        reserve = F.least(F.col("n"), F.floor(self.prefix * 3 / 2) + 2)
+        lost = flagged.groupBy("node", "n").agg(F.count("*").alias("lost"))
+        short = lost.filter(reserve - F.col("lost") < F.least(self.prefix, F.col("n"))).select("node")
+        short = written(short, "short-nodes")
+        whole = self._whole(keyed_join(self.nodes.drop("tokens"), short, "node", "left_semi")).select("node", "n", "tokens")
+        whole = written(self._classed(exploded(whole, self.percent), classes), "short-sets")
         # frequent tokens before a token move it up
-        rows = rows.join(frequent, "token", "left_anti").select("node", "n", "rank", "token", "class", F.lit(0).alias("frequent"))
+        rows = keyed_join(rows, frequent, "token", "left_anti").select("node", "n", "rank", "token", "class", F.lit(0).alias("frequent"))
         rows = rows.unionByName(flagged.withColumn("frequent", F.lit(1)), allowMissingColumns=True)
         before = Window.partitionBy("node").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("moved", F.coalesce(F.sum("frequent").over(before), F.lit(0)))
         kept = rows.filter((F.col("frequent") == 0) & (F.col("rank") - F.col("moved") < self.prefix))
-        usable = kept.join(short, "node", "left_anti").select("token", "class")
-        last = F.coalesce(F.col("last"), F.lit(0))
-        order = Window.partitionBy("node").orderBy(last, "rank")
-        whole = keyed_join(whole, frequent.withColumn("last", F.lit(1)), "token").withColumn("_place", F.row_number().over(order))
-        whole = written(whole.filter(F.col("_place") <= self.prefix).select("token", "class"), "short-tokens")
+        usable = keyed_join(kept, short, "node", "left_anti").select("token", "class")
+        order = Window.partitionBy("node").orderBy(F.coalesce(F.col("last"), F.lit(0)), "rank")
+        first = keyed_join(whole, frequent.withColumn("last", F.lit(1)), "token").withColumn("_place", F.row_number().over(order))
+        first = first.filter((F.col("_place") <= self.prefix) & F.col("last").isNull())
+        first = written(first.select("token", "class").distinct(), "short-tokens")
         # what those start with may be further back, and without a mark, in the smallest hashes of the others
-        wanted = whole.select("token").distinct().join(frequent, "token", "left_anti")
-        others = placed.join(short, "node", "left_anti").select("row", "n", "class")
-        others = keyed_join(exploded(self._reserves(others), self.percent), wanted, "token", "left_semi")
-        usable = usable.unionByName(whole).unionByName(others.select("token", "class"))
-        usable = written(usable.distinct(), "token-candidates")
-        # many tokens are shared by the same few classes: those pair off once for all of them
-        few = usable.groupBy("token").agg(F.count("*").alias("classes")).filter("classes > 1")
-        usable = usable.join(few, "token")
-        alike = usable.filter(F.col("classes") <= 4 * FREQUENT).groupBy("token").agg(F.array_sort(F.collect_list("class")).alias("of"))
-        alike = alike.groupBy("of").agg(F.count("*").alias("tokens")).withColumn("a", F.explode("of"))
-        alike = alike.withColumn("b", F.explode("of")).filter("a < b").select("a", "b")
-        crowded = usable.filter(F.col("classes") > 4 * FREQUENT).select("token", "class")  # of nodes with none but frequent ones
-        other = crowded.select("token", F.col("class").alias("b"))
-        crowded = crowded.withColumnRenamed("class", "a").join(other, "token").filter("a < b").select("a", "b")
-        pairs = written(alike.unionByName(crowded).distinct(), "class-pairs")
+        others = keyed_join(placed.select("node", "n", "class", "tokens"), short, "node", "left_anti").drop("node", "n")
+        others = keyed_join(exploded(others, self.percent), first.select("token").distinct(), "token", "left_semi")
+        usable = written(usable.unionByName(others.select("token", "class")).distinct(), "token-candidates")
+        mixed = usable.withColumnRenamed("class", "a").join(first.withColumnRenamed("class", "b"), "token").filter("a != b")
+        mixed = mixed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = self._met(usable).unionByName(mixed).unionByName(self._met_short(whole))
+        pairs = written(pairs.distinct(), "class-pairs")
         sizes = F.struct(F.min("n").alias("low"), F.max("n").alias("high")).alias("sizes")
         groups = written(placed.groupBy("class", "group").agg(sizes), "class-groups")
         one = groups.select(F.col("class").alias("a"), F.col("group").alias("first"), F.col("sizes").alias("_one"))
@@ -263,6 +255,39 @@ class Join:
         met = pairs.join(one, "a").join(two, "b").filter(fits(F.col("_one"), F.col("_two"), self.percent))
         return met.select("first", "second")
 
+    @staticmethod
+    def _met(rows: DataFrame) -> DataFrame:
+        """Pairs a, b of classes that share a token (rows: token, class, each once; few classes a token).
+
+        Many tokens are shared by the same classes: those pair off once for all of them.
+        """
+        alike = rows.groupBy("token").agg(F.array_sort(F.collect_list("class")).alias("of")).filter(F.size("of") > 1)
+        alike = alike.select("of").distinct().withColumn("a", F.explode("of"))
+        return alike.withColumn("b", F.explode("of")).filter("a < b").select("a", "b")
+
+    def _met_short(self, whole: DataFrame) -> DataFrame:
+        """Pairs a, b of classes among nodes that have mostly frequent tokens, from their whole sets.
+
+        What comes before the first token that two sets share is in one of them only, and so is the difference of what
+        is left from there. That bounds, from place and size alone, which nodes a token of many classes can link, so
+        the classes meet only where places and sizes allow a link.
+        """
+        classes = whole.select("token", "class").distinct().groupBy("token").agg(F.count("*").alias("classes"))
+        order = Window.partitionBy("node").orderBy("classes", "token")
+        rows = whole.join(classes, "token").withColumn("place", F.row_number().over(order) - 1)
+        rows = rows.filter((F.col("classes") > 1) & (F.col("place") < self.prefix))
+        rows = written(rows.select("token", "class", "place", "n", "classes").distinct(), "short-candidates")
+        few = rows.filter(F.col("classes") <= 4 * FREQUENT).select("token", "class").distinct()
+        many = rows.filter(F.col("classes") > 4 * FREQUENT).drop("classes")
+        kinds = many.select("token", "place", "n").distinct()
+        one, two = (kinds.select("token", F.struct("n", "place").alias(c)) for c in ("_one", "_two"))
+        n, m, i, j = F.col("_one.n"), F.col("_two.n"), F.col("_one.place"), F.col("_two.place")
+        apart = i + j + F.abs((n - i) - (m - j))
+        kinds = one.join(two, "token").filter((apart * (100 + self.percent) <= (n + m) * (100 - self.percent)) & (F.col("_one") <= F.col("_two")))
+        a, b = (many.select("token", F.struct("n", "place").alias(c), F.col("class").alias(name)) for c, name in (("_one", "a"), ("_two", "b")))
+        many = kinds.join(a, ["token", "_one"]).join(b, ["token", "_two"]).filter("a != b")
+        return self._met(few).unionByName(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
     @staticmethod
     def _crowded(rows: DataFrame) -> DataFrame:
         """Tokens of many classes."""
@@ -280,7 +305,7 @@ class Join:
 
         def members(of: DataFrame) -> DataFrame:
             used = of.select(F.col("first").alias("group")).unionByName(of.select(F.col("second").alias("group")))
-            return keyed_join(nodes, used.distinct(), "group", "left_semi")
+            return keyed_join(nodes, written(used.distinct(), "used-groups"), "group", "left_semi")
 
         def sides(of: DataFrame, sets: DataFrame) -> DataFrame:
             lists = sets.groupBy("group").agg(F.collect_list(F.struct("node", "n", "tokens")).alias("docs"))
@@ -305,10 +330,9 @@ class Join:
                         yield pd.DataFrame(out, columns=["a", "b"])
 
         between = pairs.filter("first != second")
-        reserves = self._reserves(members(between).select("row", "node", "n", "group"))
-        between = sides(between, reserves).mapInPandas(bound, "first bigint, second bigint")
+        between = sides(between, members(between).select("node", "n", "group", "tokens")).mapInPandas(bound, "first bigint, second bigint")
         qualified = written(pairs.filter("first = second").unionByName(between), "qualified-groups")
-        opened = sides(qualified, written(self._whole(members(qualified)), "whole-sets"))
+        opened = sides(qualified, written(self._whole(members(qualified).drop("tokens")), "whole-sets"))
         return opened.mapInPandas(search, "a bigint, b bigint")
 
 
@@ -334,6 +358,7 @@ def jaccard_components(
     sequence as one shingle. Texts without words, null texts and rows with a null id link with nothing and are their
     own component. Rows that share an id are documents of their own.
     """
+    small_batches(docs.sparkSession)
     join = Join(docs, percent, size, key, text)
     classes = components(join.links).select("node", "component")
     done = written(join.rows.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-done")

@@ -82,3 +82,27 @@ def test_frequent_tokens_at_a_low_bound(make, monkeypatch):
 def test_empty(make):
     assert jaccard.jaccard_components(make([])).count() == 0
     assert [tuple(r) for r in jaccard.jaccard_components(make([(7, None)])).collect()] == [(7, 0, 7)]
+
+
+def test_family_beyond_the_threshold_is_not_paired_off(make, monkeypatch):
+    r = random.Random(5)
+    words = prose(r, 150)
+    rows = [(0, " ".join(words))]
+    for k in range(1, 240):  # three to five words changed: too many for a link to the original or to each other
+        copy = list(words)
+        for at in r.sample(range(4, 146), r.randint(3, 5) if k % 20 else 1):
+            copy[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    seen = {}
+
+    def spy(df, name="table", *args, put=jaccard.written):
+        out = put(df, name, *args)
+        seen.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", spy)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(make(rows), 85, 4).collect())
+    assert got == by_hand(rows, 85, 4)
+    assert max(component for *_, component in got) > 200
+    assert seen["class-pairs"][-1] < 4 * len(rows)
+    assert seen["group-pairs"][-1] < 4 * len(rows)
