@@ -11,15 +11,21 @@ from marketprose.llm import bpe, jaccard, mixing, quality
 from marketprose.llm.common import remainder
 from marketprose.llm.queries import KEEP_FROM, three_weights
 from marketprose.operators.lookups import keyed_join
-from marketprose.session import ship, written
+from marketprose.session import ship, small_batches, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENS = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def prepare(spark: SparkSession) -> None:
+    """The package on the workers, and whole texts in small batches: executors also hold what the stage before left."""
+    ship(spark)
+    small_batches(spark)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones, does not reject."""
-    ship(spark)
+    prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit_labelled(docs.select("doc_id", "text"), labels, remainder("doc_id", 5) != 0)
     return quality.score(docs.select(*COLUMNS), model, name="_score").filter(F.col("_score") >= KEEP_FROM).select(*COLUMNS)
@@ -31,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents without words have no shingles and all stay, as do rows without an id; of rows that repeat id and text
     one stays.
     """
-    ship(spark)
+    prepare(spark)
     found = jaccard.jaccard_components(docs, percent=80, size=5)
     kept = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     kept = written(kept, "kept-ids")
@@ -42,13 +48,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of the sources takes them: weights 3, 1, 2 in turn, half as many words again in all."""
-    ship(spark)
+    prepare(spark)
     return mixing.Mix(docs, three_weights).documents(docs).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to, as digests."""
-    ship(spark)
+    prepare(spark)
     return bpe.decode_ids(bpe.encode_texts(docs, *TOKENS), *TOKENS).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
