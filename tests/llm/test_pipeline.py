@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import tiktoken
 from marketprose.llm import bpe
@@ -75,3 +76,17 @@ def test_run_and_edges(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_texts_come_in_small_batches(spark):
+    def lengths(batches):
+        for batch in batches:
+            yield pd.DataFrame({"rows": [len(batch)], "size": [int(batch["text"].str.len().sum())]})
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:1]:
+        stage(spark, docs, SF)
+    short = spark.range(0, 5000, numPartitions=1).selectExpr("'x' AS text").mapInPandas(lengths, "rows int, size bigint").collect()
+    assert sum(r.rows for r in short) == 5000 and max(r.rows for r in short) <= 1000
+    long = spark.range(0, 40, numPartitions=1).selectExpr("repeat('x', 1048576) AS text").mapInPandas(lengths, "rows int, size bigint").collect()
+    assert sum(r.rows for r in long) == 40 and max(r.size for r in long) <= 10 << 20
