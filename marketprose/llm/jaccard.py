@@ -31,6 +31,7 @@ MAX_SENT = 8 << 20  # bytes of a table that goes to all tasks; many go in one ru
 GROUP = 48  # documents of a group, on average
 FREQUENT = 16  # classes that share a token before it is put last
 LED_PERCENT = 30  # of a prefix
+MARKS = 16  # 64-bit words of a node's marks, a power of two
 
 
 keyed_join = functools.partial(lookups.keyed_join, max_bytes=MAX_SENT)
@@ -91,6 +92,15 @@ def exploded(nodes: DataFrame, percent: int) -> DataFrame:
     return nodes.mapInPandas(run, schema).select("token", "rank", *others)
 
 
+def marked(whole: DataFrame) -> DataFrame:
+    """node and its marks: 64 * MARKS bits, each whether an odd number of the node's tokens falls on it.
+
+    A token that is in one of two sets only changes one bit, so two nodes are apart by at least the bits that differ.
+    """
+    number, bit = F.shiftright("token", 6).bitwiseAND(MARKS - 1), F.expr("shiftleft(1L, cast(token & 63 AS int))")
+    return whole.groupBy("node").agg(*[F.coalesce(F.bit_xor(F.when(number == k, bit)), F.lit(0)).alias(f"mark{k}") for k in range(MARKS)])
+
+
 def fits(a: Column, b: Column, percent: int) -> Column:
     """Can sets whose sizes lie in ``a`` and ``b`` (structs low, high) reach the threshold?"""
     return (a["low"] * percent <= b["high"] * 100) & (b["low"] * percent <= a["high"] * 100)
@@ -269,23 +279,33 @@ class Join:
         """Pairs a, b of classes among nodes that have mostly frequent tokens, from their whole sets.
 
         What comes before the first token that two sets share is in one of them only, and so is the difference of what
-        is left from there. That bounds, from place and size alone, which nodes a token of many classes can link, so
-        the classes meet only where places and sizes allow a link.
+        is left from there. That bounds, from place and size alone, which nodes a token of many classes can link; the
+        nodes' marks bound it again. So classes meet at such a token only where places, sizes and marks allow a link,
+        and not where both have the same token before it: there they have met already.
         """
         classes = whole.select("token", "class").distinct().groupBy("token").agg(F.count("*").alias("classes"))
         order = Window.partitionBy("node").orderBy("classes", "token")
-        rows = whole.join(classes, "token").withColumn("place", F.row_number().over(order) - 1)
+        rows = whole.join(classes, "token").withColumns({"place": F.row_number().over(order) - 1, "before": F.lag("token").over(order)})
         rows = rows.filter((F.col("classes") > 1) & (F.col("place") < self.prefix))
-        rows = written(rows.select("token", "class", "place", "n", "classes").distinct(), "short-candidates")
+        rows = written(rows.select("token", "before", "node", "class", "place", "n", "classes"), "short-candidates")
         few = rows.filter(F.col("classes") <= 4 * FREQUENT).select("token", "class").distinct()
-        many = rows.filter(F.col("classes") > 4 * FREQUENT).drop("classes")
+        many = rows.filter(F.col("classes") > 4 * FREQUENT).join(marked(whole), "node")
         kinds = many.select("token", "place", "n").distinct()
         one, two = (kinds.select("token", F.struct("n", "place").alias(c)) for c in ("_one", "_two"))
         n, m, i, j = F.col("_one.n"), F.col("_two.n"), F.col("_one.place"), F.col("_two.place")
-        apart = i + j + F.abs((n - i) - (m - j))
-        kinds = one.join(two, "token").filter((apart * (100 + self.percent) <= (n + m) * (100 - self.percent)) & (F.col("_one") <= F.col("_two")))
-        a, b = (many.select("token", F.struct("n", "place").alias(c), F.col("class").alias(name)) for c, name in (("_one", "a"), ("_two", "b")))
-        many = kinds.join(a, ["token", "_one"]).join(b, ["token", "_two"]).filter("a != b")
+
+        def near(apart: Column) -> Column:
+            return apart * (100 + self.percent) <= (n + m) * (100 - self.percent)
+
+        kinds = one.join(two, "token").filter(near(i + j + F.abs((n - i) - (m - j))) & (F.col("_one") <= F.col("_two")))
+        sides = []
+        for kind, name in (("_one", "a"), ("_two", "b")):
+            marks = [F.col(f"mark{k}").alias(f"{name}{k}") for k in range(MARKS)]
+            sides.append(many.select("token", F.struct("n", "place").alias(kind), F.col("class").alias(name), F.col("before").alias(f"{name}_before"), *marks).distinct())
+        apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(MARKS)), F.lit(0))
+        first = F.col("a_before").isNull() | F.col("b_before").isNull() | (F.col("a_before") != F.col("b_before"))
+        once = (F.col("a") != F.col("b")) & ((F.col("_one") != F.col("_two")) | (F.col("a") < F.col("b")))
+        many = kinds.join(sides[0], ["token", "_one"]).join(sides[1], ["token", "_two"]).filter(once & first & near(apart))
         return self._met(few).unionByName(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
     @staticmethod

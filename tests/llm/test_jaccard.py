@@ -106,3 +106,24 @@ def test_family_beyond_the_threshold_is_not_paired_off(make, monkeypatch):
     assert max(component for *_, component in got) > 200
     assert seen["class-pairs"][-1] < 4 * len(rows)
     assert seen["group-pairs"][-1] < 4 * len(rows)
+
+
+def test_family_that_lacks_words_is_not_paired_off(make, monkeypatch):
+    r = random.Random(6)
+    words = prose(r, 160)
+    rows = [(0, " ".join(words))]
+    for k in range(1, 240):  # four words less: 28 apart from the original, 56 from each other, but only 24 own tokens
+        gone = r.sample(range(5, 155, 5), 4 if k % 20 else 1)
+        rows.append((k, " ".join(w for at, w in enumerate(words) if at not in gone)))
+    seen = {}
+
+    def spy(df, name="table", *args, put=jaccard.written):
+        out = put(df, name, *args)
+        seen.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", spy)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(make(rows), 85, 4).collect())
+    assert got == by_hand(rows, 85, 4)
+    assert max(component for *_, component in got) > 200
+    assert seen["class-pairs"][-1] < 16 * len(rows)  # those with a word less in common; all pairs are 28,680
