@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import posixpath
 import sys
@@ -10,17 +11,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as fs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from marketprose.llm.pretokens import ByteCache
 from marketprose.session import scratch_path
 
 
 class Recent(dict):
     """Key to value, computed when first seen and remembered up to ``limit`` bytes; then it starts anew.
 
-    Bounds memory, never results. ``forget_recent`` empties all such tables; tasks that fill them do so at their end,
+    Bounds memory, never results. ``forget_recent`` empties all such tables; tasks that fill them do so at their ends,
     since the worker lives on.
     """
 
@@ -57,8 +60,16 @@ _HASHES = Hashes()
 
 
 def forget_recent() -> None:
+    """Empty what this worker remembers, also from the stages before, and hand the memory back to the system."""
     for table in Recent.tables:
         table.forget()
+    for table in ByteCache.tables:
+        if (known := table()) is not None:
+            known.forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
 
 
 def words(text: str) -> list[bytes]:

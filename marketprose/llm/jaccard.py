@@ -65,6 +65,7 @@ def token_sets(docs: DataFrame, size: int, key: str, text: str, percent: int, wh
     rows = docs.select(as_key(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_recent()
         for batch in batches:
             sets = [shingle_hashes(word_hashes(t), size) for t in batch["text"]]
             n = [len(s) for s in sets]
@@ -88,6 +89,7 @@ def exploded(nodes: DataFrame, percent: int) -> DataFrame:
             at = np.repeat(np.arange(len(batch)), lengths)
             rank = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             yield batch[others].iloc[at].assign(token=token, rank=rank.astype(np.int32))
+        forget_recent()
 
     return nodes.mapInPandas(run, schema).select("token", "rank", *others)
 
@@ -340,6 +342,7 @@ class Join:
                     a, b = (([unpacked(d["tokens"]) for d in g], [d["n"] for d in g]) for g in (mine, theirs))
                     keep.append(qualifies(a, b, percent) and qualifies(b, a, percent))
                 yield batch[["first", "second"]][np.array(keep, bool)]
+            forget_recent()
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -348,6 +351,7 @@ class Join:
                     out = connecting(mine, None if first == second else theirs, percent)
                     if out:
                         yield pd.DataFrame(out, columns=["a", "b"])
+            forget_recent()
 
         between = pairs.filter("first != second")
         between = sides(between, members(between).select("node", "n", "group", "tokens")).mapInPandas(bound, "first bigint, second bigint")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+import weakref
 from collections.abc import Callable
 
 import regex
@@ -47,8 +48,10 @@ class ByteCache(dict):
     """
 
     ENTRY = 100  # a slot of the table and a share of its spare room
+    tables: list[weakref.ref[ByteCache]] = []
 
     def __init__(self, compute: Callable[[str], bytes], limit: int = 96 << 20):
+        ByteCache.tables = [t for t in ByteCache.tables if t() is not None] + [weakref.ref(self)]
         self.compute, self.limit = compute, limit
         self.older: dict[str, bytes] = {}
         self.used = self.used_by_older = 0

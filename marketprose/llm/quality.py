@@ -213,6 +213,7 @@ def fit_labelled(
     rows = rows.join(F.broadcast(sample), "_key")  # at most max_rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_recent()
         for batch in batches:
             found = [indicators(t).tobytes() for t in batch["_text"]]
             yield pd.DataFrame({"key": batch["_key"], "good": batch["good"], "found": found})
@@ -234,6 +235,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
     @F.pandas_udf("double")
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget_recent()
         for texts in batches:
             yield texts.map(shared.value.score).astype(float)
         forget_recent()

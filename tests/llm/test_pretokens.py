@@ -2,7 +2,7 @@ import random
 
 import public_tokenizers
 import regex
-from marketprose.llm import pretokens
+from marketprose.llm import common, pretokens
 
 SIGNS = [chr(c) for c in range(0x250)] + [chr(c) for c in range(0x2010, 0x2060)] + ["€", "漢", "🚀", " ", "́", "Ⅷ"]
 
@@ -33,3 +33,10 @@ def test_cache_is_bounded():
     assert seen.count("299") == 1
     cache.forget()
     assert not cache and not cache.older and cache["299"] == b"299"
+
+
+def test_other_work_empties_the_caches():
+    cache = pretokens.ByteCache(str.encode, limit=1_000)
+    assert all(cache[str(k)] for k in range(20)) and cache and cache.older
+    common.forget_recent()
+    assert not cache and not cache.older and not cache.used and cache["7"] == b"7"
