@@ -61,9 +61,13 @@ class WaveletMatrix:
             counts = np.bitwise_count(plane).reshape(blocks, BLOCK_WORDS).sum(1, dtype=np.uint32)
             planes.append(plane)
             ones.append(np.concatenate([[0], np.cumsum(counts)]).astype("<u4"))
-            left = np.compress(~bits, level)
-            zeros.append(len(left))
-            level = np.concatenate([left, np.compress(bits, level)])
+            count = int(ones[-1][-1])
+            zeros.append(len(ids) - count)
+            # a mask is the faster of the two where nearly all bits are alike
+            if 8 * min(count, len(ids) - count) < len(ids):
+                level = np.concatenate([level[~bits], level[bits]])
+            else:
+                level = np.concatenate([np.compress(~bits, level), np.compress(bits, level)])
         return cls(len(ids), np.array(zeros, "<u8"), planes, ones)
 
     def _bit(self, k: int, at: np.ndarray) -> np.ndarray:
@@ -207,7 +211,7 @@ class PieceEncoder:
     the plain byte-level one, and texts that hold the string of an added token, go to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 96 << 20):
+    def __init__(self, path: str, limit: int = 192 << 20):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.signs = byte_signs()
@@ -223,7 +227,10 @@ class PieceEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        signs = piece.encode().decode("latin-1").translate(self.signs)
+        if piece.isascii() and piece.isprintable():  # these stand for themselves, but the space
+            signs = piece.replace(" ", self.signs[32])
+        else:
+            signs = piece.encode().decode("latin-1").translate(self.signs)
         return self._packed([t.id for t in self.model.tokenize(signs)])
 
     def __call__(self, text: str) -> bytes:
