@@ -16,14 +16,17 @@ from __future__ import annotations
 
 import bisect
 import struct
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from marketprose.session import written
+from marketprose.llm.common import forget_recent
+from marketprose.session import small_batches, written
 
 BREAK = b"\xff"  # no part of UTF-8 text
 _TABLE = bytearray(range(256))
@@ -116,30 +119,41 @@ def block_stream(numbers: Numbers, ids: np.ndarray, longest: int) -> Stream:
     order = sorted(range(len(known)), key=known.__getitem__)
     rank = np.zeros(len(known) + 1, np.int32)
     rank[np.array(order, np.int64) + 1] = np.arange(1, len(known) + 1)
-    ranked = np.concatenate([rank[ids], np.zeros(longest, np.int32)])
-    starts = np.flatnonzero(ranked > 0)
-    columns = [ranked[starts]]
-    for k in range(1, longest):
-        columns.append(np.where(columns[-1] > 0, ranked[starts + k], 0))
-    del ranked, starts
     bits = max(1, len(known).bit_length())
     per_key = max(1, 63 // bits)
-    keys = []
-    for lo in range(0, longest, per_key):
-        key = np.zeros(len(columns[0]), np.int64)
-        for c in columns[lo : lo + per_key]:
-            key = (key << bits) | c
-        keys.append(key)
+    keys = _window_keys(rank[ids], longest, bits, per_key)
     sort = np.lexsort(keys[::-1])
     fresh = np.zeros(len(sort), bool)
     fresh[:1] = True
-    for key in keys:
-        key[:] = key[sort]
-        fresh[1:] |= key[1:] != key[:-1]
+    for i in range(len(keys)):
+        keys[i] = keys[i][sort]
+        fresh[1:] |= keys[i][1:] != keys[i][:-1]
+    del sort
     at = np.flatnonzero(fresh)
-    counts = np.diff(np.append(at, len(sort)))
-    chosen = sort[at]
-    return Stream([known[i] for i in order], [c[chosen] for c in columns], counts.astype(np.int64))
+    counts = np.diff(np.append(at, len(fresh)))
+    columns = []
+    for lo in range(0, longest, per_key):
+        key, wide = keys.pop(0)[at], min(per_key, longest - lo)
+        columns += [((key >> (bits * k)) & ((1 << bits) - 1)).astype(np.int32) for k in range(wide - 1, -1, -1)]
+    return Stream([known[i] for i in order], columns, counts.astype(np.int64))
+
+
+def _window_keys(ranked: np.ndarray, longest: int, bits: int, per_key: int) -> list[np.ndarray]:
+    """The window at every word as a few numbers, ``per_key`` words in each; one column of words is held at a time."""
+    starts = np.flatnonzero(ranked > 0).astype(np.int32)
+    ranked = np.concatenate([ranked, np.zeros(longest, np.int32)])
+    column = ranked[starts]
+    keys = []
+    for k in range(longest):
+        if k:
+            starts += 1
+            column = np.where(column > 0, ranked[starts], 0)
+        if k % per_key == 0:
+            keys.append(column.astype(np.int64))
+        else:
+            keys[-1] <<= bits
+            keys[-1] |= column
+    return keys
 
 
 def bounds_of(samples: Sequence[tuple[str, Key]], parts: int) -> list[tuple[str, Key]]:
@@ -213,7 +227,11 @@ class Merged:
 
 
 def _streams(docs: DataFrame, lang: str, text: str, longest: int, block_words: int, chunk: int, sample: int) -> DataFrame:
-    """One row per chunk: lang, n (word occurrences), windows, heads (a key per ``sample`` windows), packed."""
+    """One row per chunk: lang, n (word occurrences), windows, heads (a key per ``sample`` windows), packed.
+
+    The first of the keys lies at another place in every chunk: blocks are alike, and keys at the same ranks of all of them
+    would leave long stretches of the order without any.
+    """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     fields = pa.schema(
         [("lang", pa.string()), ("n", pa.int64()), ("windows", pa.int64()), ("heads", pa.list_(pa.binary())), ("packed", pa.binary())]
@@ -221,19 +239,27 @@ def _streams(docs: DataFrame, lang: str, text: str, longest: int, block_words: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[Numbers, list[np.ndarray]]] = {}
-        size = 0
+        size, chunks = 0, 0
+        task = TaskContext.get().partitionId()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal size
+            nonlocal size, chunks
             while held:
                 of, (numbers, parts) = held.popitem()
-                stream = block_stream(numbers, np.concatenate(parts), longest)
+                ids = np.concatenate(parts)
+                parts.clear()
+                stream = block_stream(numbers, ids, longest)
+                del numbers, parts, ids
                 for lo in range(0, len(stream), chunk):
                     piece = stream.cut(lo, min(lo + chunk, len(stream)))
-                    heads = [b" ".join(piece.key(i)) for i in range(0, len(piece), sample)]
+                    begin = zlib.crc32(struct.pack("<II", task, chunks)) % sample
+                    chunks += 1
+                    heads = [b" ".join(piece.key(i)) for i in range(begin, len(piece), sample)]
                     row = [[of], [int(piece.counts.sum())], [len(piece)], [heads], [piece.pack()]]
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, fields, strict=True)], schema=fields)
+                stream = piece = heads = row = None
             size = 0
+            forget_recent()  # the block's memory goes back to the system: the worker lives on beside the next stage's
 
         for batch in batches:
             langs, texts = batch.column(0), batch.column(1)
@@ -269,8 +295,10 @@ def count_ngrams(
     """N-grams of 1 to ``longest`` words with ``least`` occurrences or more (lang, size, phrase, f), and words per lang (lang, n).
 
     Words and pieces as in ``collocations``. The driver holds the bounds of the parts: one window per ``part_windows``
-    distinct windows of the blocks, and 16 times as many samples while it chooses them. A task holds a block or a part.
+    distinct windows of the blocks, and 16 times as many samples while it chooses them. A task holds a block or a part,
+    and beside it a batch of texts or chunks of at most 8 MB.
     """
+    small_batches(docs.sparkSession)
     streams = written(_streams(docs, lang, text, longest, block_words, chunk, max(1, part_windows // 16)), "ngram-streams")
     sums = streams.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows"))
     totals = written(sums, "ngram-totals")
@@ -324,6 +352,7 @@ def count_ngrams(
                     if at is not None:
                         yield from close()
                     at, merged = here, Merged(longest)
+                    forget_recent()
                 merged.add(Stream.unpack(batch.column(2)[i].as_py()))
         if at is not None:
             yield from close()

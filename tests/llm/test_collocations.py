@@ -1,5 +1,7 @@
+import bisect
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -100,3 +102,44 @@ def test_counts_pass_64_bits(spark):
     f, l, r = 2**60 + 7, 2**60 + 11, 2**60 + 13
     expr = "cast(2000000 as decimal(10, 0)) * cast(f as decimal(20, 0)) div cast(l + r as decimal(20, 0)) as s"
     assert spark.createDataFrame([(f, l, r)], "f long, l long, r long").selectExpr(expr).first().s == 2_000_000 * f // (l + r)
+
+
+def test_a_block_takes_little_memory(spark):
+    rng = np.random.default_rng(5)
+    numbers = c.Numbers()
+    words = [b"w%d" % i for i in range(3_000)]
+    ids = np.array([numbers[w] for w in words], np.int32)[rng.zipf(1.3, 400_000) % 3_000]
+    ids[::50] = 0
+    tracemalloc.start()
+    stream = c.block_stream(numbers, ids, 4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 55 * len(ids)
+    windows = Counter()
+    names = [b"", *words]
+    for i in np.flatnonzero(ids).tolist():
+        ended = False
+        window = [names[w] if (ended := ended or w == 0) is False else b"" for w in ids[i : i + 4].tolist()]
+        windows[tuple(window + [b""] * (4 - len(window)))] += 1
+    assert [(stream.key(i), int(stream.counts[i])) for i in range(len(stream))] == sorted(windows.items())
+
+
+def test_texts_come_in_small_batches(spark):
+    docs = spark.range(5_000).selectExpr("'en' AS lang", "concat('one two three ', id % 7) AS text")
+    grams, _ = c.count_ngrams(docs, 1, 2)
+    assert grams.count() > 0
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
+def test_parts_are_of_like_size(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(400)]
+    rows = [("en", " ".join(words[min(rng.randrange(400), rng.randrange(400))] for _ in range(800))) for _ in range(96)]
+    docs = spark.sparkContext.parallelize(rows, 96).toDF("lang string, text string")
+    found = c._streams(docs, "lang", "text", 3, 1 << 20, 1 << 19, 200).collect()
+    streams = [c.Stream.unpack(bytes(r["packed"])) for r in found]
+    keys = sorted(("en", s.key(i)) for s in streams for i in range(len(s)))
+    bounds = c.bounds_of([("en", tuple(bytes(h).split(b" "))) for r in found for h in r["heads"]], -(-len(keys) // 3200))
+    sizes = Counter(bisect.bisect_right(bounds, k) for k in keys)
+    assert len(bounds) > 10 and max(sizes.values()) < 3 * 3200
