@@ -6,7 +6,7 @@ shuffled. Only words with a valence are visited.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -149,12 +149,16 @@ def _emphasis(text: Column) -> Column:
     return marks + F.when(asks <= 1, 0.0).when(asks <= 3, asks * 0.18).otherwise(0.96)
 
 
-def compound_score(text: Column, table: Mapping[str, float] | LookedUp | None = None, words: Column | None = None) -> Column:
+def compound_score(text: Column, table: Mapping[str, float] | LookedUp | None = None) -> Column:
     """Compound score in -1..1, four decimals; null text scores 0.
 
-    A repeated word takes the surroundings of its first occurrence, as the published tool does. ``words`` are the text's
-    words where they are known already.
+    A repeated word takes the surroundings of its first occurrence, as the published tool does.
     """
+    return F.when(text.isNull(), 0.0).otherwise(_compound(sentiment_words(text), _emphasis(text), table))
+
+
+def _compound(found: Column, emphasis: Column, table: Mapping[str, float] | LookedUp | None) -> Column:
+    """The score of a text that is not null, from its words and the weight of its marks."""
     table = table if isinstance(table, LookedUp) else Inline(W.VALENCE if table is None else table)
 
     def scored(words: Column) -> Column:
@@ -181,11 +185,10 @@ def compound_score(text: Column, table: Mapping[str, float] | LookedUp | None =
         return X.bind(F.transform(words, F.lower), with_low)
 
     def compound(total: Column) -> Column:
-        moved = total + F.when(total > 0, _emphasis(text)).when(total < 0, -_emphasis(text)).otherwise(0.0)
+        moved = total + F.when(total > 0, emphasis).when(total < 0, -emphasis).otherwise(0.0)
         return X.bind(moved, lambda s: F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s / F.sqrt(s * s + W.NORMAL_ALPHA))), 4))
 
-    found = sentiment_words(text) if words is None else words
-    return F.when(text.isNull(), 0.0).otherwise(X.bind(X.bind(found, scored), compound))
+    return X.bind(X.bind(found, scored), compound)
 
 
 def sentiment_label(score: Column) -> Column:
@@ -193,18 +196,28 @@ def sentiment_label(score: Column) -> Column:
 
 
 def add_sentiment(
-    df: DataFrame, text: str = "content", table: Mapping[str, float] | DataFrame | None = None, key: str = "doc_id", **join
+    df: DataFrame,
+    text: str = "content",
+    table: Mapping[str, float] | DataFrame | None = None,
+    key: str = "doc_id",
+    keep: Sequence[str] | None = None,
+    **join,
 ) -> DataFrame:
     """Add ``compound_score`` and ``sentiment_label``; the score is computed once.
 
     ``table`` is a word list or, for any size, a DataFrame (word, valence); words without a valence are not listed. With a
-    DataFrame, ``key`` is unique.
+    DataFrame, ``key`` is unique; ``keep`` names the columns that are wanted beside the new ones, all without, and the others
+    are neither stored nor moved.
     """
     if isinstance(table, DataFrame):
         listed = table.select("word", F.col("valence").cast("double").alias("valence")).filter("valence IS NOT NULL")
         held = once(df, "_ws", sentiment_words(F.coalesce(F.col(text), F.lit(""))))
+        held = once(held, "_marks", F.when(F.col(text).isNotNull(), _emphasis(F.col(text))))
+        held = held if keep is None else held.select(*keep, "_ws", "_marks")
         found = look_up(held, key, F.transform("_ws", F.lower), listed, **join)
-        scored = once(found, "compound_score", compound_score(F.col(text), LookedUp(), F.col("_ws"))).drop("_ws", "_found")
+        score = F.when(F.col("_marks").isNull(), 0.0).otherwise(_compound(F.col("_ws"), F.col("_marks"), LookedUp()))
+        scored = once(found, "compound_score", score).drop("_ws", "_marks", "_found")
     else:
         scored = once(df, "compound_score", compound_score(F.col(text), table))
+        scored = scored if keep is None else scored.select(*keep, "compound_score")
     return scored.withColumn("sentiment_label", sentiment_label(F.col("compound_score")))

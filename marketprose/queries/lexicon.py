@@ -77,7 +77,7 @@ def lemmatize_table(spark, sf_dir):
     SELECT a.doc_id, CASE WHEN a.content IS NOT NULL THEN coalesce(out, '') END AS kept FROM articles a LEFT JOIN kept k ON a.doc_id = k.doc_id""",
 )
 def pos_filter_table(spark, sf_dir):
-    return C.keep_pos_by_lexicon(I.articles(spark, sf_dir), "doc_id", F.col("content"), lexicon(spark, sf_dir)).select("doc_id", "kept")
+    return C.keep_pos_by_lexicon(I.articles(spark, sf_dir), "doc_id", F.col("content"), lexicon(spark, sf_dir), keep=["doc_id"])
 
 
 _TAGGED = f"lex AS ({LEXICON}), " + Q.tagged_sql(
@@ -91,12 +91,12 @@ _TAGGED = f"lex AS ({LEXICON}), " + Q.tagged_sql(
 
 @query("tokens_all_table", Q.sql_tokens("true", "clean_text", _TAGGED))
 def tokens_all_table(spark, sf_dir):
-    return Q.tokenized(spark, sf_dir, nouns=False, lexicon=lexicon(spark, sf_dir)).select("doc_id", "clean_text")
+    return Q.tokenized(spark, sf_dir, nouns=False, lexicon=lexicon(spark, sf_dir), keep=["doc_id"]).select("doc_id", "clean_text")
 
 
 @query("tokens_nouns_table", Q.sql_tokens(Q.NOUNS, "clean_text_nouns", _TAGGED))
 def tokens_nouns_table(spark, sf_dir):
-    return Q.tokenized(spark, sf_dir, lexicon=lexicon(spark, sf_dir)).select("doc_id", "clean_text_nouns")
+    return Q.tokenized(spark, sf_dir, words=False, lexicon=lexicon(spark, sf_dir), keep=["doc_id"]).select("doc_id", "clean_text_nouns")
 
 
 @query(
@@ -104,7 +104,7 @@ def tokens_nouns_table(spark, sf_dir):
     Q.sentiment_sql(f"SELECT word, CAST(valence AS DOUBLE) AS v FROM ({LEXICON}) WHERE valence IS NOT NULL"),
 )
 def sentiment_table(spark, sf_dir):
-    scored = V.add_sentiment(I.articles(spark, sf_dir), table=lexicon(spark, sf_dir))
+    scored = V.add_sentiment(I.articles(spark, sf_dir), table=lexicon(spark, sf_dir), keep=["doc_id"])
     return scored.select("doc_id", "compound_score", "sentiment_label")
 
 

@@ -67,3 +67,42 @@ def test_sentiment_of_a_long_document_is_not_quadratic(spark):
     seconds(100)
     small, large = min(seconds(5_000) for _ in range(2)), min(seconds(40_000) for _ in range(2))
     assert large < 20 * max(small, 0.3)
+
+
+def test_blocks_find_what_a_broadcast_finds(spark, lexicon, monkeypatch):
+    from marketprose.operators import lexicon as module
+
+    rows = [(k, [f"w{(k * 7 + i * i) % 300}" if i % 3 else "no" for i in range(k % 40)]) for k in range(600)]
+    rows += [(None, ["w1"]), (1000, None), (1001, ["w2 w3", "w2", None, ""]), (1002, [""]), (1003, []), (5, ["w2", "w9"])]
+    df = spark.createDataFrame(rows, "k int, _t array<string>").repartition(3)
+    found = lambda **join: sorted(map(repr, look_up(df, "k", F.col("_t"), lexicon, only=["noun"], **join).collect()))
+    plain = found()
+    monkeypatch.setattr(module, "BLOCK_WORDS", 90)
+    assert found(max_bytes=0) == plain
+    monkeypatch.setattr(module, "MAX_BLOCKS", 2)
+    assert found(max_bytes=0) == plain
+
+
+def test_a_word_goes_once_to_each_block_that_has_it(spark):
+    from marketprose.operators.lexicon import _listed
+
+    rows = spark.range(70_000).selectExpr("cast(id % 130 AS int) AS _block", "concat('w', id % 3 + id % 130 div 65 * 2) AS _word")
+    one = spark.createDataFrame([("w0", 1), ("w2", 2), ("w9", 3)], "_word string, v int").selectExpr("_word", "struct(v) AS _v")
+    got = _listed(rows, one, 130).select("_block", "_word").collect()
+    wanted = rows.filter("_word IN ('w0', 'w2')").distinct().collect()
+    assert sorted((r._block, r._word) for r in got) == sorted((r._block, r._word) for r in wanted)
+
+
+def test_only_what_is_read_is_stored(spark, lexicon, monkeypatch):
+    from marketprose.operators import lexicon as module
+
+    stored = []
+    monkeypatch.setattr(module, "written", lambda df, *a, f=module.written, **b: stored.append(df.columns) or f(df, *a, **b))
+    df = spark.createDataFrame([(1, "t", "w10 w11. W12!"), (2, "u", None)], "doc_id int, title string, content string")
+    kept = C.keep_pos_by_lexicon(df, "doc_id", F.col("content"), lexicon, kept=("NOUN",), keep=["doc_id"], max_bytes=0)
+    assert {r.doc_id: r.kept for r in kept.collect()} == {1: "w10 W12", 2: None} and kept.columns == ["doc_id", "kept"]
+    tokens = T.tokenize_articles(df, lexicon=lexicon, keep=["doc_id", "title"], words=False, max_bytes=0)
+    assert {(r.doc_id, r.title): r.clean_text_nouns for r in tokens.collect()}[1, "t"].split() == ["n10", "n12"]
+    scored = V.add_sentiment(df, table=lexicon, keep=["doc_id"], max_bytes=0)
+    assert scored.columns == ["doc_id", "compound_score", "sentiment_label"] and scored.count() == 2
+    assert not any("content" in columns for columns in stored)
