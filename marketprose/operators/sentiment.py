@@ -214,7 +214,7 @@ def add_sentiment(
         held = once(df, "_ws", sentiment_words(F.coalesce(F.col(text), F.lit(""))))
         held = once(held, "_marks", F.when(F.col(text).isNotNull(), _emphasis(F.col(text))))
         held = held if keep is None else held.select(*keep, "_ws", "_marks")
-        found = look_up(held, key, F.transform("_ws", F.lower), listed, **join)
+        found = look_up(held, key, F.transform("_ws", F.lower), listed, cheap=True, **join)
         score = F.when(F.col("_marks").isNull(), 0.0).otherwise(_compound(F.col("_ws"), F.col("_marks"), LookedUp()))
         scored = once(found, "compound_score", score).drop("_ws", "_marks", "_found")
     else:
