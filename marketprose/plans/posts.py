@@ -56,8 +56,8 @@ def post_topics(
     The cleaned posts are written once; counting, weighting and the result read that table.
     """
     clean = written(clean_posts(raw, key, **cleaning), "posts-clean")
-    cells, _ = tfidf(clean, "clean", key, ngram_range, min_df, max_df)
-    fit = fit_nmf(cells, key, topics=topics, max_iter=max_iter, seed=seed, init=init)
+    cells, vocab = tfidf(clean, "clean", key, ngram_range, min_df, max_df)
+    fit = fit_nmf(cells, key, topics=topics, max_iter=max_iter, seed=seed, init=init, vocab=vocab)
     assigned = attach_topic(clean, fit.doc_factors, key, topics)
     terms = topics_table(topic_terms(fit.term_factors), topn)
     return PostTopics(assigned, terms, topic_distribution(assigned, "topic_id"), fit.iterations)

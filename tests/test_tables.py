@@ -207,3 +207,18 @@ def test_typed_year_filter_reaches_the_scan(spark, tmp_path):
     plan = df.select("close")._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters"):]
     assert "EqualTo(ticker,TSLA)" in pushed and "GreaterThanOrEqual(date" in pushed and "LessThan(date" in pushed
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    from marketprose.session import checkpointed, written
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    rows = lambda: spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").count()
+    for keep in (written, checkpointed):
+        known = tracker.shuffleStatuses().size()
+        kept = keep(rows())
+        assert tracker.shuffleStatuses().size() <= known
+        assert kept.count() == 10
+    assert spark.conf.get(key) == before
